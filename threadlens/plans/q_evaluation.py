@@ -19,21 +19,28 @@ def _div(num: str, den: str) -> str:
     return f"CASE WHEN ({den}) <> 0 THEN CAST({num} AS DOUBLE) / ({den}) ELSE 0.0 END"
 
 
-_CELLS_SQL = """count_if(stereo = 0 AND stereo_pred = 0) AS TN, count_if(stereo = 0 AND stereo_pred = 1) AS FP,
+CELLS_SQL = _CELLS_SQL = """count_if(stereo = 0 AND stereo_pred = 0) AS TN, count_if(stereo = 0 AND stereo_pred = 1) AS FP,
   count_if(stereo = 1 AND stereo_pred = 0) AS FN, count_if(stereo = 1 AND stereo_pred = 1) AS TP"""
 
-_METRICS1_SQL = ",\n  ".join([
-    _r(_div("2*TN", "2*TN+FP+FN")) + " AS f1_neg",
-    _r(_div("2*TP", "2*TP+FP+FN")) + " AS f1_pos",
-    _r(f"({_div('TP', 'TP+FN')} + {_div('TN', 'TN+FP')}) / 2") + " AS roc_auc",
-    _r(_div("CAST(TP AS DOUBLE)*TN - CAST(FP AS DOUBLE)*FN",
-            "sqrt(CAST(TP+FP AS DOUBLE)*(TP+FN)*(TN+FP)*(TN+FN))")) + " AS mcc",
-    _r(_div("TN", "TN+FN")) + " AS precision_neg",
-    _r(_div("TP", "TP+FP")) + " AS precision_pos",
-    _r(_div("TN", "TN+FP")) + " AS recall_neg",
-    _r(_div("TP", "TP+FN")) + " AS recall_pos",
-    _r(_div("TP+TN", "TP+TN+FP+FN")) + " AS accuracy",
-])
+def metrics1_sql(rounded: bool = True) -> str:
+    r = _r if rounded else (lambda e: f"CAST({e} AS DOUBLE)")
+    return ",\n  ".join([
+        r(_div("2*TN", "2*TN+FP+FN")) + " AS f1_neg",
+        r(_div("2*TP", "2*TP+FP+FN")) + " AS f1_pos",
+        r(f"({_div('TP', 'TP+FN')} + {_div('TN', 'TN+FP')}) / 2") + " AS roc_auc",
+        r(_div("CAST(TP AS DOUBLE)*TN - CAST(FP AS DOUBLE)*FN",
+               "sqrt(CAST(TP+FP AS DOUBLE)*(TP+FN)*(TN+FP)*(TN+FN))")) + " AS mcc",
+        r(_div("TN", "TN+FN")) + " AS precision_neg",
+        r(_div("TP", "TP+FP")) + " AS precision_pos",
+        r(_div("TN", "TN+FP")) + " AS recall_neg",
+        r(_div("TP", "TP+FN")) + " AS recall_pos",
+        r(_div("TP+TN", "TP+TN+FP+FN")) + " AS accuracy",
+    ])
+
+
+_METRICS1_SQL = metrics1_sql(True)
+METRICS1_NAMES = ["f1_neg", "f1_pos", "roc_auc", "mcc", "precision_neg", "precision_pos", "recall_neg",
+                  "recall_pos", "accuracy"]
 
 
 @query("confusion", views=("preds",), sql=f"SELECT model, context, seed, {_CELLS_SQL} FROM preds GROUP BY model, context, seed")

@@ -28,8 +28,12 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
-def query(name: str, views: tuple[str, ...] = (), sql: str | None = None, round_digits: int | None = 6):
-    """Register a query; ``sql`` is the DuckDB body, prefixed with the adapter CTEs in ``views``."""
+def query(name: str, views: tuple[str, ...] = (), sql: str | None = None, round_digits: int | None = 6,
+          dbl: tuple[str, ...] | list[str] = ()):
+    """Register a query; ``sql`` is the DuckDB body, prefixed with the adapter CTEs in ``views``.
+
+    ``dbl`` names the double columns of the result; the oracle rounds them like the Spark side.
+    """
 
     def deco(fn: Builder) -> Builder:
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +43,9 @@ def query(name: str, views: tuple[str, ...] = (), sql: str | None = None, round_
         build.__name__ = fn.__name__
         build.__doc__ = fn.__doc__
         oracle = with_views(views, sql) if sql is not None else None
+        if oracle is not None and dbl:
+            repl = ", ".join(f'ROUND(CAST("{c}" AS DOUBLE), {round_digits or 6}) AS "{c}"' for c in dbl)
+            oracle = f"SELECT * REPLACE ({repl}) FROM (\n{oracle}\n) AS _q"
         REGISTRY[name] = Entry(name, build, oracle, round_digits)
         return fn
 
