@@ -144,3 +144,10 @@ def seed_convergence(preds: DataFrame, ns: Sequence[int], keys: Sequence[str], c
     long = j.select("n_seeds", "model", target, *labels).unpivot(
         ["n_seeds", "model", target], list(contexts), "context", "index").filter(F.col("index") != "")
     return long.groupBy("n_seeds", "model", target, "index").pivot("context", list(contexts)).count().fillna(0)
+
+
+def context_analysis(changes: DataFrame, attributes: DataFrame, keys: Sequence[str], mark=None) -> DataFrame:
+    """C1 rows of every model and class joined with the item attributes (1:1 by key), then P12 marks."""
+    extra = [c for c in attributes.columns if c not in changes.columns or c in keys]
+    out = changes.join(attributes.select(*extra), list(keys), "left")
+    return mark(out) if mark is not None else out
