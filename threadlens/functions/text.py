@@ -1,11 +1,175 @@
-"""Text cleaning as column expressions (F1-F10); every pattern is Unicode-aware via ``(?U)``."""
+"""Text cleaning as column expressions.
+
+Python regexes are Unicode-aware, Java's are not by default: every pattern carries ``(?U)``.
+Everything runs as ``regexp_replace`` / ``translate`` / higher-order array functions inside one
+projection (whole-stage codegen, no Python per row).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import string
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# --- fixed values (must equal the reference cleaning) ----------------------------------------
+LETTERS = "A-Za-zÑñÇçÀàÁáÈèÉéÍíÏïÒòÓóÚúÜü"  # letter class used when splitting letters from digits
+PUNCTUATION = string.punctuation.replace("@", "") + "¿?¡…"  # mapped to spaces (everything but "@")
+HASHTAG_TOKEN = "hashtag"
+EMOJI_WRAPPER = "emoji"
+KEEP_AS_IS = ("URL", "NUM", "jaja")  # mask tokens that are their own lemma
+_MARK = ""  # private-use marker, never in cleaned text
+
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``: remove leading and trailing Unicode whitespace."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def mask(c: Column, user: str = "@user", url: str = "URL", num: str = "NUM", laughter: str = "jaja") -> Column:
+    """user names, URLs, numbers and laughter -> tokens, in the reference order."""
+    steps = [
+        (r"(?U)@\w{2,}", user),
+        (r"(?U)http\S+", url),
+        (rf"(?U)([{LETTERS}])(\d+)", "$1 $2"),
+        (rf"(?U)(\d+)([{LETTERS}€])", "$1 $2"),
+        (r"(?U)(\d+\.)?\d+(,\d+)?", num),
+        (r"(?U)a?j+a+j\w+", laughter),
+        (r"(?U)a?h+a+h\w+", laughter),
+        (r"(?U)text+d+", laughter),
+        (r"(?U)[:;]\)", laughter),
+    ]
+    out = c
+    for pattern, repl in steps:
+        out = F.regexp_replace(out, pattern, F.lit(repl.replace("\\", "\\\\")) if "$" not in repl else repl)
+    return out
+
+
+def split_hashtags(c: Column, token: str = HASHTAG_TOKEN) -> Column:
+    """``#MiHashTag`` -> ``hashtag Mi Hash Tag``; tags need an ASCII letter and a non-word char before ``#``.
+
+    Mark each tag start, split on the marks, and rewrite the leading word run of every piece
+    (space before each run of capitals, stripped, prefixed by the token). No length limit on tags.
+    """
+    marked = F.regexp_replace(c, r"(?U)\B#(?=\w*[a-zA-Z])", _MARK)
+    pieces = F.split(marked, _MARK, -1)
+
+    def rewrite(piece: Column, i: Column) -> Column:
+        body = F.regexp_extract(piece, r"(?U)^(\w*)", 1)
+        rest = F.substring(piece, F.length(body) + 1, 1 << 30)
+        camel = strip_ws(F.regexp_replace(body, "([A-Z]+)", " $1"))
+        return F.when(i == 0, piece).otherwise(F.concat(F.lit(token + " "), camel, rest))
+
+    return F.array_join(F.transform(pieces, rewrite), "")
+
+
+def drop_short_words(c: Column, n: int = 1) -> Column:
+    """remove whole words of 1..n word characters."""
+    return F.regexp_replace(c, rf"(?U)\b\w{{1,{n}}}\b", "")
+
+
+def squeeze_repeats(c: Column, k: int = 2) -> Column:
+    """runs of k+ copies of one character -> k copies (Python ``.``: anything but ``\\n``)."""
+    return F.regexp_replace(c, "([^\\n])" + "\\1" * (k - 1) + "+", "$1" * k)
+
+
+def strip_punctuation(c: Column) -> Column:
+    """ASCII punctuation except ``@``, plus ``¿?¡…``, newlines and tabs -> spaces."""
+    chars = PUNCTUATION + "\n\t"
+    return F.translate(c, chars, " " * len(chars))
+
+
+def demojize(c: Column, emoji_names: Mapping[str, str], wrapper: str = EMOJI_WRAPPER) -> Column:
+    """each emoji -> `` emoji <name> emoji ``, then every ``_`` -> space.
+
+    ``emoji_names`` is the user's emoji -> name table (config-sized); it is embedded in the plan
+    as a literal map and applied with one ``aggregate`` over the emoji found in the text.
+    """
+    out = c
+    if emoji_names:
+        keys = sorted(emoji_names, key=len, reverse=True)
+        import re
+
+        pattern = "|".join(re.escape(k) for k in keys)
+        names = F.create_map(*[F.lit(x) for k in keys for x in (k, f" {wrapper} {emoji_names[k]} {wrapper} ")])
+        found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({pattern})"), 1))
+        out = F.aggregate(found, c, lambda acc, e: F.replace(acc, e, names[e]))
+    return F.regexp_replace(out, "_", " ")
+
+
+def squeeze_spaces(c: Column) -> Column:
+    """strip, then runs of 2+ whitespace -> one space."""
+    return F.regexp_replace(strip_ws(c), r"(?U)\s\s+", " ")
+
+
+def preprocess(c: Column, emoji_names: Mapping[str, str] | None = None, min_len: int = 1, shorten: int = 2,
+               lower: bool = True) -> Column:
+    """F8: F3 -> F4 -> F2 -> lower -> F1 -> F5 -> F6 -> F7 (this order: masks stay upper-case)."""
+    out = drop_short_words(c, min_len)
+    out = squeeze_repeats(out, shorten)
+    out = split_hashtags(out)
+    if lower:
+        out = F.lower(out)
+    out = mask(out)
+    out = strip_punctuation(out)
+    out = demojize(out, emoji_names or {})
+    return squeeze_spaces(out)
+
+
+def spanish_stop_words() -> list[str]:
+    """Spark's built-in Spanish stop-word list (313 words), read from the Spark ML jar resource
+    (same list as ``StopWordsRemover.loadDefaultStopWords("spanish")``, no JVM needed)."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    for jar in jars:
+        with zipfile.ZipFile(jar) as z:
+            name = "org/apache/spark/ml/feature/stopwords/spanish.txt"
+            if name in z.namelist():
+                return [w for w in z.read(name).decode("utf-8").splitlines() if w]
+    from pyspark.ml.feature import StopWordsRemover
+
+    return list(StopWordsRemover.loadDefaultStopWords("spanish"))
+
+
+def tokens_without_stopwords(c: Column, stop_words: Sequence[str]) -> Column:
+    """F9 (surface form): whitespace tokens of preprocessed text without stop words (case-sensitive)."""
+    tokens = F.filter(F.split(c, " "), lambda t: t != "")
+    stop = F.array(*[F.lit(w) for w in stop_words])
+    return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
+
+
+def lemmatize(df: DataFrame, key: Sequence[str], tokens_col: str, lemmas: DataFrame, out: str = "lemmas",
+              max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """F9 (lemma form): token -> lemma via a join with a (token, lemma) table; multi-word lemmas split
+    on spaces; mask tokens keep themselves. Tokens are exploded with their position, joined (the
+    lemma table is broadcast behind a row bound) and collected back in order per document.
+    """
+    from threadlens.session import maybe_broadcast
+
+    lem = maybe_broadcast(lemmas.select(F.col("token").alias("_tok"), F.col("lemma").alias("_lem")), max_broadcast_rows)
+    exploded = df.select(*key, F.posexplode(tokens_col).alias("_pos", "_tok"))
+    joined = exploded.join(lem, "_tok", "left")
+    lemma = F.when(F.col("_tok").isin(*KEEP_AS_IS), F.col("_tok")).otherwise(F.coalesce("_lem", "_tok"))
+    parts = joined.select(*key, "_pos", F.split(lemma, " ").alias("_parts"))
+    regrouped = parts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_parts"))).alias("_s"))
+    flat = regrouped.select(*key, F.flatten(F.col("_s._parts")).alias(out))
+    return df.join(flat, list(key), "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+
+
+def clean_corpus(df: DataFrame, text_columns: Sequence[str], pre: bool = True, mask_only: bool = False,
+                 stop_words: Sequence[str] | None = None, emoji_names: Mapping[str, str] | None = None) -> DataFrame:
+    """F8 (+F9 tokens when ``stop_words`` given) or F1 alone, over every text column in one projection."""
+    if mask_only:
+        return df.withColumns({c: mask(F.col(c)) for c in text_columns})
+    if not pre:
+        return df
+    cleaned = {c: preprocess(F.col(c), emoji_names) for c in text_columns}
+    if stop_words is not None:
+        cleaned = {c: tokens_without_stopwords(e, stop_words) for c, e in cleaned.items()}
+    return df.withColumns(cleaned)
