@@ -64,6 +64,17 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.concat(F.lit("news"), _as_str(F.col("item_id"))).alias("file_id"), F.col("text").alias("news_title"))
 
 
+def _tweet_labels(d: Column) -> list[Column]:
+    """Tweet labels: functions of the document id only."""
+    topic_mod = {t: (7 + 2 * i, 9 + i) for i, t in enumerate(TOPICS)}
+    return [
+        (d % 3 == 0).cast("int").alias("stereo"),
+        ((d * 3) % 5 < 2).cast("int").alias("implicit"),
+        (d % 4 == 1).cast("int").alias("contextual"),
+        *[((d % 3 == 0) & ((d * mult) % mod < 3)).cast("int").alias(t) for t, (mult, mod) in topic_mod.items()],
+    ]
+
+
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tweet table (StereoHoax-shaped) keyed by tweet_id, with father / head / hoax contexts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -71,10 +82,6 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = docs.select(F.col("doc_id").alias("h_id"), F.col("text").alias("h_text"))
     d = F.col("doc_id")
     joined = docs.join(parent, d - 1 == F.col("p_id"), "left").join(head, d - d % 6 == F.col("h_id"), "left")
-    topic_mod = {t: (7 + 2 * i, 9 + i) for i, t in enumerate(TOPICS)}
-    topics = [
-        ((d % 3 == 0) & ((d * mult) % mod < 3)).cast("int").alias(t) for t, (mult, mod) in topic_mod.items()
-    ]
     return joined.select(
         d.alias("tweet_id"),
         (d - d % 6).alias("conversation_id"),
@@ -85,10 +92,7 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("p_text")).alias("txt_father"),
         F.when(d % 6 == 0, F.lit("0")).otherwise(F.col("h_text")).alias("txt_head"),
         F.concat(F.lit("hoax "), F.col("source")).alias("rh_text"),
-        (d % 3 == 0).cast("int").alias("stereo"),
-        ((d * 3) % 5 < 2).cast("int").alias("implicit"),
-        (d % 4 == 1).cast("int").alias("contextual"),
-        *topics,
+        *_tweet_labels(d),
     )
 
 
@@ -139,7 +143,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task-3 table: gold stereo + topics and predictions, derived from `tweets`."""
-    t = tweets(spark, sf_dir)
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tweet_id"), *_tweet_labels(F.col("doc_id")))
     tid = F.col("tweet_id")
     cols = [tid, F.col("stereo"), F.col("implicit"), F.col("contextual"),
             ((F.col("stereo") + (tid % 7 == 0).cast("int")) % 2).cast("int").alias("stereo_pred")]
