@@ -174,3 +174,11 @@ SELECT *, {_METRICS1_SQL} FROM c""")
 def q_gold_upper_bound(spark, d):
     g = A.gold(spark, d).withColumn("data", F.lit(1))
     return M.gold_upper_bound(g, ["data"], "stereo", contextual=True)
+
+
+@query("bootstrap_ci")
+def q_bootstrap_ci(spark, d):
+    """Multinomial replicates of the cell counts (random by nature: rows-only check)."""
+    from threadlens.operators.resample import bootstrap_ci
+
+    return bootstrap_ci(A.preds(spark, d), RUN, "stereo", n=1000)
