@@ -109,6 +109,8 @@ def with_views(views: list[str] | tuple[str, ...], body: str) -> str:
         add(v)
     ctes = ",\n".join(f"{v} AS ({VIEWS[v]}\n)" for v in ordered)
     body = body.strip()
+    if not ordered:
+        return body
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
