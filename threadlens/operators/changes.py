@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.config import BETTER_TN, BETTER_TP, NO_CONTEXT, WORSE_FN, WORSE_FP
+from threadlens.functions.common import safe_div
 
 KINDS = [(0, WORSE_FP), (0, BETTER_TN), (1, WORSE_FN), (1, BETTER_TP)]
 
@@ -67,8 +68,8 @@ def no_context_counts(avg: DataFrame, thres: float = 0.3, target: str = "stereo"
     neg, pos = F.col("n_neg"), F.col("n_pos")
     return agg.select(
         model_col, fp.alias("FP"), F.col("TN"), fn.alias("FN"), F.col("TP"),
-        (fp / neg * 100).alias("FP_pct"), (F.col("TN") / neg * 100).alias("TN_pct"),
-        (fn / pos * 100).alias("FN_pct"), (F.col("TP") / pos * 100).alias("TP_pct"),
+        (safe_div(fp, neg, None) * 100).alias("FP_pct"), (safe_div(F.col("TN"), neg, None) * 100).alias("TN_pct"),
+        (safe_div(fn, pos, None) * 100).alias("FN_pct"), (safe_div(F.col("TP"), pos, None) * 100).alias("TP_pct"),
     )
 
 
@@ -92,7 +93,7 @@ def change_summary(changes: DataFrame, contexts: Sequence[str], target: str = "s
 
 def pct_change_label(n: Column, base: Column, arrow: Column) -> Column:
     """``"(" + round(100 n / base) + "% " + arrow + ")"`` when n > 0, else ``""`` (half-even)."""
-    pct = F.bround(n.cast("double") / base * 100, 0).cast("long").cast("string")
+    pct = F.bround(safe_div(n, base, None) * 100, 0).cast("long").cast("string")
     return F.when(n > 0, F.concat(F.lit("("), pct, F.lit("% "), arrow, F.lit(")"))).otherwise(F.lit(""))
 
 

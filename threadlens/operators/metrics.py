@@ -163,9 +163,9 @@ def confidence_prf(df: DataFrame, by: Sequence[str], target: str = "stereo", con
     out = []
     for label, suffix in ((0, "neg"), (1, "pos")):
         ctp, cfp, n = F.col(f"_ctp{label}"), F.col(f"_cfp{label}"), F.col(f"_n{label}")
-        prec, rec = ctp / (ctp + cfp), ctp / n
+        prec, rec = safe_div(ctp, ctp + cfp, None), safe_div(ctp, n, None)
         out += [prec.alias(f"c_precision_{suffix}"), rec.alias(f"c_recall_{suffix}"),
-                ((1 + b2) * prec * rec / (b2 * prec + rec)).alias(f"c_f1_{suffix}")]
+                safe_div((1 + b2) * prec * rec, b2 * prec + rec, None).alias(f"c_f1_{suffix}")]
     return g.select(*by, *out)
 
 

@@ -124,7 +124,8 @@ def metrics_long_to_wide(wide: DataFrame, id_col: str = "model", scale_ce: bool
     if scale_ce:
         w = Window.partitionBy("name")
         long = long.withColumn("value", F.when(F.col("name").contains("cross_entropy"),
-                                               F.col("value") / F.max("value").over(w)).otherwise(F.col("value")))
+                                               safe_div(F.col("value"), F.max("value").over(w), None))
+                               .otherwise(F.col("value")))
     has_stat = F.col("name").contains("--")
     stat = F.when(has_stat, F.substring_index("name", "--", -1)).otherwise(F.lit("median"))
     known = F.lit(["min", "max", "std", "q1", "q3", "ttest", "pvalue"])

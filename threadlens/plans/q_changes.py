@@ -88,8 +88,8 @@ counts AS (SELECT model, count_if(stereo = 0 AND p >= {HI}) AS FP, count_if(ster
 
 @query("no_context_counts", views=("preds",), dbl=("FP_pct", "TN_pct", "FN_pct", "TP_pct"), sql=f"""
 WITH {_COUNTS_SQL}
-SELECT model, FP, TN, FN, TP, FP / n_neg * 100 AS FP_pct, TN / n_neg * 100 AS TN_pct,
-  FN / n_pos * 100 AS FN_pct, TP / n_pos * 100 AS TP_pct FROM counts""")
+SELECT model, FP, TN, FN, TP, FP / nullif(n_neg, 0) * 100 AS FP_pct, TN / nullif(n_neg, 0) * 100 AS TN_pct,
+  FN / nullif(n_pos, 0) * 100 AS FN_pct, TP / nullif(n_pos, 0) * 100 AS TP_pct FROM counts""")
 def q_no_context_counts(spark, d):
     return C.no_context_counts(avg_runs(spark, d), T)
 
@@ -113,7 +113,7 @@ def q_change_summary(spark, d):
 
 
 def _pct_sql(c: str) -> str:
-    return (f"CASE WHEN {_q(c)} > 0 THEN '(' || CAST(CAST(round_even(CAST({_q(c)} AS DOUBLE) / total * 100, 0) AS BIGINT) AS VARCHAR)"
+    return (f"CASE WHEN {_q(c)} > 0 THEN '(' || CAST(CAST(round_even(CAST({_q(c)} AS DOUBLE) / nullif(total, 0) * 100, 0) AS BIGINT) AS VARCHAR)"
             f" || '% ' || arrows || ')' ELSE '' END AS {_q(c[0] + ' %')}")
 
 

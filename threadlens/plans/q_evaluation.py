@@ -152,9 +152,9 @@ def _cprf_sql() -> str:
         ctp = f"sum(CASE WHEN stereo_pred = {label} AND stereo = {label} THEN {m[label]} ELSE 0 END)"
         cfp = f"sum(CASE WHEN stereo_pred = {label} AND stereo <> {label} THEN {m[label]} ELSE 0 END)"
         n = f"count_if(stereo = {label})"
-        prec, rec = f"({ctp}) / (({ctp}) + ({cfp}))", f"({ctp}) / ({n})"
+        prec, rec = f"({ctp}) / nullif(({ctp}) + ({cfp}), 0)", f"({ctp}) / nullif({n}, 0)"
         parts += [_r(prec) + f" AS c_precision_{suf}", _r(rec) + f" AS c_recall_{suf}",
-                  _r(f"2 * ({prec}) * ({rec}) / (({prec}) + ({rec}))") + f" AS c_f1_{suf}"]
+                  _r(f"2 * ({prec}) * ({rec}) / nullif(({prec}) + ({rec}), 0)") + f" AS c_f1_{suf}"]
     return ",\n  ".join(parts)
 
 

@@ -113,10 +113,10 @@ def q_union_metrics(spark, d):
 WITH {SUMMARY_SQL},
 s AS (SELECT model || '-' || context AS model, metric, median, q1, q3, std FROM summary)
 SELECT model, metric,
-  CASE WHEN metric LIKE '%cross_entropy%' THEN median / max(median) OVER (PARTITION BY metric) ELSE median END AS median,
-  CASE WHEN metric LIKE '%cross_entropy%' THEN q1 / max(q1) OVER (PARTITION BY metric) ELSE q1 END AS q1,
-  CASE WHEN metric LIKE '%cross_entropy%' THEN q3 / max(q3) OVER (PARTITION BY metric) ELSE q3 END AS q3,
-  CASE WHEN metric LIKE '%cross_entropy%' THEN std / max(std) OVER (PARTITION BY metric) ELSE std END AS std
+  CASE WHEN metric LIKE '%cross_entropy%' THEN median / nullif(max(median) OVER (PARTITION BY metric), 0) ELSE median END AS median,
+  CASE WHEN metric LIKE '%cross_entropy%' THEN q1 / nullif(max(q1) OVER (PARTITION BY metric), 0) ELSE q1 END AS q1,
+  CASE WHEN metric LIKE '%cross_entropy%' THEN q3 / nullif(max(q3) OVER (PARTITION BY metric), 0) ELSE q3 END AS q3,
+  CASE WHEN metric LIKE '%cross_entropy%' THEN std / nullif(max(std) OVER (PARTITION BY metric), 0) ELSE std END AS std
 FROM s""")
 def q_metrics_long_to_wide(spark, d):
     sm = summary(spark, d).withColumn("model", F.concat_ws("-", "model", "context")).drop("context")
