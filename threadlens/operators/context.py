@@ -33,6 +33,21 @@ def mark_same_context(df: DataFrame, rules: Sequence[tuple[str, str, str, str]]
     return out
 
 
+def assert_no_nulls(df: DataFrame, raise_on_violation: bool = False) -> DataFrame:
+    """Nulls per column in ONE aggregation -> (column, n_null) violations table (non-zero rows).
+
+    With ``raise_on_violation`` the (tiny) table is read and a ``ValueError`` raised when not empty,
+    like the reference's assertion that dropping null rows drops none.
+    """
+    counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
+    long = counts.unpivot([], list(df.columns), "column", "n_null").filter(F.col("n_null") > 0)
+    if raise_on_violation:
+        bad = long.limit(50).collect()
+        if bad:
+            raise ValueError("null values in: " + ", ".join(f"{r['column']} ({r['n_null']})" for r in bad))
+    return long
+
+
 def is_missing(c: Column) -> Column:
     return c.isin(*MISSING_CONTEXT)
 

@@ -173,3 +173,17 @@ def gold_upper_bound(df: DataFrame, by: Sequence[str], target: str = "stereo", c
     """Task-1 metrics with the gold label as the prediction."""
     return task1_metrics(df.withColumn(target + "_pred", F.col(target)), by, target, confidence=(),
                          contextual=contextual)
+
+
+def accuracy_by_category(df: DataFrame, by: Sequence[str], categories: Sequence[str], target: str = "stereo",
+                         pred: str | None = None) -> DataFrame:
+    """For each implicitness category, accuracy over gold = 1 rows without (< 0.5) and with (>= 0.5)
+    the category; categories are unpivoted so one aggregation covers all of them (empty -> 0)."""
+    pred = pred or target + "_pred"
+    long = df.select(*by, target, pred, *[F.col(f"`{c}`").cast("double").alias(c) for c in categories]).unpivot(
+        [*by, target, pred], list(categories), "category", "value")
+    t, p, v = F.col(target), F.col(pred), F.col("value")
+    ok = (p == t).cast("double")
+    return long.groupBy(*by, "category").agg(
+        zero_if_null(F.avg(F.when((t == 1) & (v < 0.5), ok))).alias("accuracy_without"),
+        zero_if_null(F.avg(F.when((t == 1) & (v >= 0.5), ok))).alias("accuracy_with"))

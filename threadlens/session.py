@@ -61,3 +61,13 @@ def maybe_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster when its scan yields fewer partitions than cores.
+
+    Small inputs stored as one Parquet row group scan as one task; per-row CPU work (regexes,
+    generators) would then run on one core. On large inputs (many splits) this is a no-op.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -18,7 +18,10 @@ PRED_SEEDS = list(range(42, 52))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, spread over the cores when its scan has fewer splits than cores."""
+    from threadlens.session import spread
+
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _as_str(c: Column) -> Column:
