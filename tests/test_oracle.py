@@ -69,3 +69,10 @@ def test_every_query_has_a_builder_and_entry_contract():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 100
+
+
+def test_inventory_covered():
+    from threadlens.plans.inventory import INVENTORY
+
+    missing = [(k, q) for k, qs in INVENTORY.items() for q in qs if q not in REG]
+    assert not missing

@@ -43,6 +43,25 @@ def context_changes(avg: DataFrame, keys: Sequence[str], contexts: Sequence[str]
     return out.filter(F.greatest(*[F.col(c) != "" for c in contexts]) if len(contexts) > 1 else F.col(contexts[0]) != "")
 
 
+def context_changes_from_runs(preds: DataFrame, keys: Sequence[str], contexts: Sequence[str], thres: float = 0.3,
+                              target: str = "stereo", model_col: str = "model", context_col: str = "context",
+                              baseline: str = NO_CONTEXT) -> DataFrame:
+    """C1 fused with A6: ONE aggregation per (model, item) straight from the run rows.
+
+    Each context's seed-mean prediction is a conditional ``avg``, and the gold label is the
+    no-context run's label of the highest seed; Spark aggregates partially before the only shuffle.
+    """
+    ctx, pred = F.col(context_col), F.col(target + "_pred").cast("double")
+    base = ctx == baseline
+    aggs = [F.max_by(F.when(base, F.col(target)), F.when(base, F.col("seed"))).alias(target),
+            F.avg(F.when(base, pred)).alias("_p0"), F.count_if(base).alias("_n0")]
+    aggs += [F.avg(F.when(ctx == c, pred)).alias("_p_" + c) for c in contexts]
+    g = preds.groupBy(model_col, *keys).agg(*aggs).filter(F.col("_n0") > 0)
+    labels = [_change(F.col(target), F.col("_p0"), F.col("_p_" + c), thres).alias(c) for c in contexts]
+    out = g.select(model_col, *keys, target, *labels)
+    return out.filter(F.greatest(*[F.col(c) != "" for c in contexts]) if len(contexts) > 1 else F.col(contexts[0]) != "")
+
+
 def no_context_counts(avg: DataFrame, thres: float = 0.3, target: str = "stereo", model_col: str = "model",
                       context_col: str = "context", baseline: str = NO_CONTEXT, legacy_bases: bool = False) -> DataFrame:
     """Per model, hit/miss counts of the no-context run with their share of the class.

@@ -49,7 +49,7 @@ def avg_runs(spark, d):
 
 
 def changes(spark, d):
-    return C.context_changes(avg_runs(spark, d), ["doc_id"], CTX, T)
+    return C.context_changes_from_runs(A.preds(spark, d), ["doc_id"], CTX, T)
 
 
 @query("context_changes", views=("preds",), sql=f"WITH {changes_sql()} SELECT * FROM changes")
@@ -57,6 +57,12 @@ def q_context_changes(spark, d):
     return changes(spark, d)
 
 
+@query("context_changes_from_averages", views=("preds",), sql=f"WITH {changes_sql()} SELECT * FROM changes")
+def q_context_changes_from_averages(spark, d):
+    """C1 on an A6 output (seed averages per item x model x context), pivoted by context."""
+    return C.context_changes(avg_runs(spark, d), ["doc_id"], CTX, T)
+
+
 def _analysis_sql() -> str:
     return f"""WITH {changes_sql()},
 att AS (SELECT tweet_id AS doc_id, txt_father, txt_head, rh_text, implicit, contextual FROM tweets),
