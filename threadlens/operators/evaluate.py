@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from threadlens.operators import hierarchical as H
 from threadlens.operators import metrics as M
 from threadlens.operators import seeds as S
-from threadlens.session import maybe_broadcast
 
 
 class MergeError(ValueError):
@@ -31,7 +30,7 @@ def join_gold(preds: DataFrame, test: DataFrame, keys: Sequence[str], run: Seque
         if dup:
             raise MergeError("test table is not unique on " + ", ".join(keys))
     rejects = preds.groupBy(*run, *keys).count().filter(F.col("count") > 1).select(*run).distinct()
-    good = preds.join(maybe_broadcast(rejects, 100_000), run, "left_anti")
+    good = preds.join(rejects, run, "left_anti")
     extra = [c for c in test.columns if c not in preds.columns or c in keys]
     return good.join(test.select(*extra), keys, "left"), rejects
 

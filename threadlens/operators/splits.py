@@ -80,7 +80,7 @@ def candidate_group_splits(groups: DataFrame, group: str, ratio: float, eps: flo
     generated with ``sequence`` and joined by rank (equi-join with the small group table, broadcast
     behind a bound), checkpointed; the search stops when the frontier is empty.
     """
-    g = groups.select("rank", F.col(group).alias("gid"), F.col("size").cast("long").alias("gsize"))
+    g = cut_lineage(groups.select("rank", F.col(group).alias("gid"), F.col("size").cast("long").alias("gsize")))
     n = g.count()
     full = g.agg(F.sum("gsize")).first()[0]
     gb = maybe_broadcast(g, 1_000_000)
@@ -143,8 +143,7 @@ def rank_splits(scores: DataFrame, by: str = "MAPE", k: int = 5) -> DataFrame:
 
 def split_by_groups(df: DataFrame, group: str, chosen: DataFrame, inside: bool = True) -> DataFrame:
     """Rows whose group is (or is not) among the chosen groups (semi / anti join)."""
-    c = maybe_broadcast(chosen.select(group).distinct(), 5_000_000)
-    return df.join(c, group, "left_semi" if inside else "left_anti")
+    return df.join(chosen.select(group).distinct(), group, "left_semi" if inside else "left_anti")
 
 
 def best_candidate_groups(scores: DataFrame, candidates: DataFrame, group: str, by: str = "MAPE") -> DataFrame:
@@ -167,7 +166,7 @@ def group_disjoint_split(df: DataFrame, group: str, labels: Sequence[str], test_
     vcands = cut_lineage(candidate_group_splits(val_tbl, group, val_ratio, eps, nested_eps))
     val = best_candidate_groups(score_group_splits(rest, vcands, group, labels), vcands, group)
     tagged = (test.withColumn("split", F.lit("test"))).unionByName(val.withColumn("split", F.lit("val")))
-    out = df.join(maybe_broadcast(tagged, 5_000_000), group, "left")
+    out = df.join(tagged, group, "left")
     return out.withColumn("split", F.coalesce(F.col("split"), F.lit("train")))
 
 
@@ -184,7 +183,7 @@ def exact_rank(df: DataFrame, partition: Sequence[str], u: str, tiebreak: Sequen
     offs = counts.select(*partition, "_b", F.coalesce(F.sum("_c").over(wp.rowsBetween(Window.unboundedPreceding, -1)),
                                                         F.lit(0)).alias("_off"),
                          F.sum("_c").over(Window.partitionBy(*partition)).alias("_size"))
-    j = x.join(maybe_broadcast(offs, 2_000_000), [*partition, "_b"])
+    j = x.join(offs, [*partition, "_b"])
     w = Window.partitionBy(*partition, "_b").orderBy(F.col(u), *[F.col(c) for c in tiebreak])
     return j.withColumn("_rank", F.col("_off") + F.row_number().over(w)).drop("_b", "_off")
 
@@ -200,7 +199,7 @@ def stratified_split(df: DataFrame, key: Sequence[str], labels: Sequence[str], t
     combo = F.concat_ws("", *[F.col(c).cast("string") for c in labels])
     x = df.withColumn("_combo", combo).withColumn("_u", md5_uniform(*key, F.lit(seed)))
     size = x.groupBy("_combo").agg(F.count(F.lit(1)).alias("_cn"))
-    x = x.join(maybe_broadcast(size, 5_000_000), "_combo").withColumn(
+    x = x.join(size, "_combo").withColumn(
         "_combo", F.when(F.col("_cn") < min_stratum, F.lit("rare")).otherwise(F.col("_combo"))).drop("_cn")
     r = exact_rank(x, ["_combo"], "_u", list(key))
     n = F.col("_size")

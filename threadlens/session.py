@@ -57,7 +57,13 @@ def fits(df: DataFrame, max_rows: int) -> bool:
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only behind a checked row bound; otherwise leave the join to a shuffle."""
+    """Broadcast ``df`` only behind a checked row bound; otherwise leave the join to a shuffle.
+
+    Use it for raw dimension tables and materialised (checkpointed) data, where the bounded count is
+    cheap. For tables derived by an aggregation inside the same plan, join plainly: AQE measures the
+    finished shuffle stage and converts the join to a broadcast when it is small (and keeps the
+    shuffle join otherwise), without computing the aggregation twice.
+    """
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if fits(df, max_rows) else df
