@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.session import materialize_small
+
 
 A_PROP, B_PROP = 0.55, 1.5
 METRICS = ("ICM", "Hierarchical-F", "Propensity-F")
@@ -47,7 +49,7 @@ def hierarchical_metrics(df: DataFrame, by: Sequence[str], labels: Sequence[str]
     p = ["1", f"(1 - CAST(`{preds[0]}` AS INT))", *[f"CAST(`{c}` AS INT)" for c in preds]]
     m = len(y)
     stats = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_N"), *[F.expr(f"sum({y[k]})").alias(f"_Nc{k}") for k in range(m)])
-    j = x.join(stats, keys)  # tiny per (run, subset): AQE broadcasts it at runtime
+    j = x.join(materialize_small(stats), keys)  # one row per (run, subset)
     N = "CAST(_N AS DOUBLE)"
     nc = [f"CAST(_Nc{k} AS DOUBLE)" for k in range(m)]
     C = f"((log2({N}) - 1) * {(B_PROP + 1) ** A_PROP!r})"

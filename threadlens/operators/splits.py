@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions.common import md5_uniform
-from threadlens.session import cut_lineage, maybe_broadcast
+from threadlens.session import cut_lineage, materialize_small, maybe_broadcast
 
 FLOAT_EPS = 2.220446049250313e-16  # numpy float64 eps, floor of the MAPE denominator
 
@@ -183,7 +183,7 @@ def exact_rank(df: DataFrame, partition: Sequence[str], u: str, tiebreak: Sequen
     offs = counts.select(*partition, "_b", F.coalesce(F.sum("_c").over(wp.rowsBetween(Window.unboundedPreceding, -1)),
                                                         F.lit(0)).alias("_off"),
                          F.sum("_c").over(Window.partitionBy(*partition)).alias("_size"))
-    j = x.join(offs, [*partition, "_b"])
+    j = x.join(materialize_small(offs, 2_000_000), [*partition, "_b"])
     w = Window.partitionBy(*partition, "_b").orderBy(F.col(u), *[F.col(c) for c in tiebreak])
     return j.withColumn("_rank", F.col("_off") + F.row_number().over(w)).drop("_b", "_off")
 
@@ -199,7 +199,7 @@ def stratified_split(df: DataFrame, key: Sequence[str], labels: Sequence[str], t
     combo = F.concat_ws("", *[F.col(c).cast("string") for c in labels])
     x = df.withColumn("_combo", combo).withColumn("_u", md5_uniform(*key, F.lit(seed)))
     size = x.groupBy("_combo").agg(F.count(F.lit(1)).alias("_cn"))
-    x = x.join(size, "_combo").withColumn(
+    x = x.join(materialize_small(size, 2_000_000), "_combo").withColumn(
         "_combo", F.when(F.col("_cn") < min_stratum, F.lit("rare")).otherwise(F.col("_combo"))).drop("_cn")
     r = exact_rank(x, ["_combo"], "_u", list(key))
     n = F.col("_size")

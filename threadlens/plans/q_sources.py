@@ -116,4 +116,4 @@ def q_stream_evaluate(spark, d):
     q = stream_evaluate(spark, src, RUN_SCHEMA + ", file_name string", A.gold(spark, d), ["doc_id"], out, ck,
                         contextual=True)
     q.awaitTermination()
-    return spark.read.parquet(out).drop("batch_id")
+    return spark.read.parquet(out)

@@ -77,3 +77,17 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def materialize_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Materialise a small derived table (reliable checkpoint) and broadcast it when its row count,
+    now cheap to read, is within ``max_rows``; otherwise return it for a shuffle join.
+
+    Used for per-key aggregates (class counts per run, stratum sizes, rank offsets, rejected runs)
+    joined back to big tables: the big side is then never shuffled for that join, and the aggregate
+    is computed once.
+    """
+    from pyspark.sql import functions as F
+
+    m = cut_lineage(df)
+    return F.broadcast(m) if fits(m, max_rows) else m

@@ -1,9 +1,11 @@
-"""Score run files as they land, appending metrics keyed by run.
-
-A file-source stream (declared schema, ``availableNow`` trigger, checkpointed) hands complete files to
-``foreachBatch``; every micro-batch is evaluated with the batch operator (E15) and written to a
-Parquet table partitioned by ``batch_id`` with dynamic partition overwrite, so a replayed batch
-replaces its own output instead of duplicating it.
+"""Score run files as they land, keeping exact metrics per run.
+
+A file-source stream (declared schema, checkpointed, ``availableNow`` or continuous triggers) is
+joined with the static gold table (stream-static join) and aggregated with the same task-1 metric
+aggregation as the batch path (E15) as a STATEFUL streaming ``groupBy(run)``. A run whose rows
+arrive in several files or micro-batches is therefore merged in the state store, not scored in
+pieces. Every trigger emits the complete (small: one row per run) table, which ``foreachBatch``
+writes with overwrite semantics, so a replayed batch rewrites the same result.
 """
 
 from __future__ import annotations
@@ -14,26 +16,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadlens.operators.evaluate import evaluate_runs
+from threadlens.operators import metrics as M
 from threadlens.sources.io import parse_run
 
 
 def stream_evaluate(spark: SparkSession, source_dir: str, schema: T.StructType | str, test: DataFrame,
                     keys: Sequence[str], out_dir: str, checkpoint_dir: str, run: Sequence[str] = ("model", "context", "seed"),
-                    target: str = "stereo", contextual: bool = False, max_files_per_trigger: int | None = None):
-    """Start the stream (availableNow) and return the StreamingQuery; metrics land in ``out_dir``."""
+                    target: str = "stereo", contextual: bool = False, soft: bool = False,
+                    max_files_per_trigger: int | None = None, available_now: bool = True):
+    """Start the stream and return the StreamingQuery; the metrics table lands in ``out_dir``."""
     reader = spark.readStream.schema(schema).option("header", True).option("recursiveFileLookup", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.csv(source_dir).withColumn("file_name", F.col("_metadata.file_path"))
     name = F.regexp_extract(F.col("file_name"), r"([^/=]+\.csv_?)(?:/[^/]*)?$", 1)
-    stream = stream.withColumn("file_name", name)
+    runs = parse_run(stream.withColumn("file_name", name))
+    extra = [c for c in test.columns if c not in runs.columns or c in keys]
+    joined = runs.join(test.select(*extra), list(keys), "left")
+    metrics = M.task1_metrics(joined, list(run), target, soft=soft, contextual=contextual)
 
-    def score(batch: DataFrame, batch_id: int) -> None:
-        runs = parse_run(batch)
-        metrics, _ = evaluate_runs(runs, test, keys, list(run), task=1, target=target, contextual=contextual)
-        (metrics.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_dir))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out_dir)
 
-    return (stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint_dir)
-            .trigger(availableNow=True).start())
+    writer = metrics.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint_dir)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()
