@@ -102,16 +102,23 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All prediction runs in one long table: item x model x context x seed.
 
-    The run grid is a fixed 150-entry literal, generated per label row with ``explode``
-    (a Generate, no join); the item side is the whole ``labels`` table.
+    The run grid (3 models x 5 contexts x 10 seeds) is generated per label row with
+    ``explode(sequence(0, 149))`` (a Generate, no join); the item side is the whole ``labels`` table.
     """
     lab = table(spark, sf_dir, "labels")
-    grid = F.array(*[
-        F.struct(F.lit(mid).alias("mid"), F.lit(model).alias("model"), F.lit(kid).alias("kid"),
-                 F.lit(ctx).alias("context"), F.lit(seed).alias("seed"))
-        for mid, model in PRED_MODELS for kid, ctx in PRED_CONTEXTS for seed in PRED_SEEDS
-    ])
-    runs = lab.select("doc_id", "toxic", F.explode(grid).alias("r")).select("doc_id", "toxic", "r.*")
+    n_ctx, n_seed = len(PRED_CONTEXTS), len(PRED_SEEDS)
+    # run r in 0..149 -> (model r / 50, context (r / 10) % 5, seed 42 + r % 10): a few expressions, not 150 literals
+    r = F.col("_r")
+    runs = lab.select("doc_id", "toxic", F.explode(F.sequence(F.lit(0), F.lit(len(PRED_MODELS) * n_ctx * n_seed - 1))).alias("_r"))
+    m_idx, c_idx = (r / (n_ctx * n_seed)).cast("int"), ((r / n_seed).cast("int") % n_ctx)
+    runs = runs.select(
+        "doc_id", "toxic",
+        F.element_at(F.array(*[F.lit(mid) for mid, _ in PRED_MODELS]), m_idx + 1).alias("mid"),
+        F.element_at(F.array(*[F.lit(name) for _, name in PRED_MODELS]), m_idx + 1).alias("model"),
+        F.element_at(F.array(*[F.lit(kid) for kid, _ in PRED_CONTEXTS]), c_idx + 1).alias("kid"),
+        F.element_at(F.array(*[F.lit(name) for _, name in PRED_CONTEXTS]), c_idx + 1).alias("context"),
+        (F.lit(PRED_SEEDS[0]) + r % n_seed).alias("seed"),
+    )
     d, tox, s, m, k = F.col("doc_id"), F.col("toxic"), F.col("seed"), F.col("mid"), F.col("kid")
     flip_rate = (F.when((d * 37 + k * 53 + m * 11) % 100 < 20, 85)
                  .when((d * 37 + k * 53 + m * 11) % 100 < 50, 30).otherwise(5))
