@@ -1,6 +1,7 @@
 """Text cleaning as column expressions.
 
-Python regexes are Unicode-aware, Java's are not by default: every pattern carries ``(?U)``.
+Python regexes are Unicode-aware, Java's are not by default: every class is spelled with explicit
+Unicode properties (the sets Java's ``(?U)`` flag would use, at a fraction of its matching cost).
 Everything runs as ``regexp_replace`` / ``translate`` / higher-order array functions inside one
 projection (whole-stage codegen, no Python per row).
 """
@@ -19,26 +20,32 @@ PUNCTUATION = string.punctuation.replace("@", "") + "¿?¡…"  # mapped to spac
 HASHTAG_TOKEN = "hashtag"
 EMOJI_WRAPPER = "emoji"
 KEEP_AS_IS = ("URL", "NUM", "jaja")  # mask tokens that are their own lemma
+# Java's (?U) classes spelled as explicit Unicode property classes (same sets, much cheaper than the
+# UNICODE_CHARACTER_CLASS flag): \w, \s (White_Space) and \d.
+WORD = r"[\p{IsAlphabetic}\p{Mn}\p{Me}\p{Mc}\p{Nd}\p{Pc}\x{200C}\x{200D}]"
+WS = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+NOT_WS = "[^" + WS[1:]
+DIGIT = r"\p{Nd}"
 _MARK = ""  # private-use marker, never in cleaned text
 
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
 def mask(c: Column, user: str = "@user", url: str = "URL", num: str = "NUM", laughter: str = "jaja") -> Column:
     """user names, URLs, numbers and laughter -> tokens, in the reference order."""
     steps = [
-        (r"(?U)@\w{2,}", user),
-        (r"(?U)http\S+", url),
-        (rf"(?U)([{LETTERS}])(\d+)", "$1 $2"),
-        (rf"(?U)(\d+)([{LETTERS}€])", "$1 $2"),
-        (r"(?U)(\d+\.)?\d+(,\d+)?", num),
-        (r"(?U)a?j+a+j\w+", laughter),
-        (r"(?U)a?h+a+h\w+", laughter),
-        (r"(?U)text+d+", laughter),
-        (r"(?U)[:;]\)", laughter),
+        (f"@{WORD}{{2,}}", user),
+        (f"http{NOT_WS}+", url),
+        (f"([{LETTERS}])({DIGIT}+)", "$1 $2"),
+        (f"({DIGIT}+)([{LETTERS}€])", "$1 $2"),
+        (f"({DIGIT}+\\.)?{DIGIT}+(,{DIGIT}+)?", num),
+        (f"a?j+a+j{WORD}+", laughter),
+        (f"a?h+a+h{WORD}+", laughter),
+        ("text+d+", laughter),
+        (r"[:;]\)", laughter),
     ]
     out = c
     for pattern, repl in steps:
@@ -52,11 +59,11 @@ def split_hashtags(c: Column, token: str = HASHTAG_TOKEN) -> Column:
     Mark each tag start, split on the marks, and rewrite the leading word run of every piece
     (space before each run of capitals, stripped, prefixed by the token). No length limit on tags.
     """
-    marked = F.regexp_replace(c, r"(?U)\B#(?=\w*[a-zA-Z])", _MARK)
+    marked = F.regexp_replace(c, f"(?<!{WORD})#(?={WORD}*[a-zA-Z])", _MARK)
     pieces = F.split(marked, _MARK, -1)
 
     def rewrite(piece: Column, i: Column) -> Column:
-        body = F.regexp_extract(piece, r"(?U)^(\w*)", 1)
+        body = F.regexp_extract(piece, f"^({WORD}*)", 1)
         rest = F.substring(piece, F.length(body) + 1, 1 << 30)
         camel = strip_ws(F.regexp_replace(body, "([A-Z]+)", " $1"))
         return F.when(i == 0, piece).otherwise(F.concat(F.lit(token + " "), camel, rest))
@@ -66,7 +73,7 @@ def split_hashtags(c: Column, token: str = HASHTAG_TOKEN) -> Column:
 
 def drop_short_words(c: Column, n: int = 1) -> Column:
     """remove whole words of 1..n word characters."""
-    return F.regexp_replace(c, rf"(?U)\b\w{{1,{n}}}\b", "")
+    return F.regexp_replace(c, f"(?<!{WORD}){WORD}{{1,{n}}}(?!{WORD})", "")
 
 
 def squeeze_repeats(c: Column, k: int = 2) -> Column:
@@ -100,7 +107,7 @@ def demojize(c: Column, emoji_names: Mapping[str, str], wrapper: str = EMOJI_WRA
 
 def squeeze_spaces(c: Column) -> Column:
     """strip, then runs of 2+ whitespace -> one space."""
-    return F.regexp_replace(strip_ws(c), r"(?U)\s\s+", " ")
+    return F.regexp_replace(strip_ws(c), f"{WS}{{2,}}", " ")
 
 
 def preprocess(c: Column, emoji_names: Mapping[str, str] | None = None, min_len: int = 1, shorten: int = 2,

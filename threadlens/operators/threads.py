@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.functions.text import strip_ws
+from threadlens.functions.text import WS, strip_ws
 from threadlens.session import cut_lineage
 
 UNAVAILABLE = "UNAVAILABLE"
@@ -32,7 +32,7 @@ def normalise_thread_ids(df: DataFrame) -> DataFrame:
         parts[1].alias("sentence_pos"),
         F.concat(file_id, F.expr("substring(reply_to, 1, length(reply_to) - 1)")).alias("reply_to"),
         "user_id",
-        strip_ws(F.regexp_replace(F.col("sentence"), r"(?U)\s+", " ")).alias("sentence"),
+        strip_ws(F.regexp_replace(F.col("sentence"), WS + "+", " ")).alias("sentence"),
     )
 
 
