@@ -73,7 +73,7 @@ def split_hashtags(c: Column, token: str = HASHTAG_TOKEN) -> Column:
 
 def drop_short_words(c: Column, n: int = 1) -> Column:
     """remove whole words of 1..n word characters."""
-    return F.regexp_replace(c, f"(?<!{WORD}){WORD}{{1,{n}}}(?!{WORD})", "")
+    return F.regexp_replace(c, rf"(?U)\b\w{{1,{n}}}\b", "")  # word boundaries need the (?U) flag
 
 
 def squeeze_repeats(c: Column, k: int = 2) -> Column:
