@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# --- fixed values (must equal the reference cleaning) ----------------------------------------
+# --- fixed values (must equal the reference cleaning): classes, tokens, patterns ------------------
 LETTERS = "A-Za-zÑñÇçÀàÁáÈèÉéÍíÏïÒòÓóÚúÜü"  # letter class used when splitting letters from digits
 PUNCTUATION = string.punctuation.replace("@", "") + "¿?¡…"  # mapped to spaces (everything but "@")
 HASHTAG_TOKEN = "hashtag"
@@ -27,6 +27,18 @@ WS = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{2
 NOT_WS = "[^" + WS[1:]
 DIGIT = r"\p{Nd}"
 _MARK = ""  # private-use marker, never in cleaned text
+# Masking steps, in order (pattern, replacement or token name) -- fixed values of the cleaning.
+MASK_STEPS = [
+    (f"@{WORD}{{2,}}", "user"),
+    (f"http{NOT_WS}+", "url"),
+    (f"([{LETTERS}])({DIGIT}+)", "$1 $2"),
+    (f"({DIGIT}+)([{LETTERS}€])", "$1 $2"),
+    (f"({DIGIT}+\\.)?{DIGIT}+(,{DIGIT}+)?", "num"),
+    (f"a?j+a+j{WORD}+", "laughter"),
+    (f"a?h+a+h{WORD}+", "laughter"),
+    ("text+d+", "laughter"),
+    (r"[:;]\)", "laughter"),
+]
 
 
 def strip_ws(c: Column) -> Column:
@@ -36,20 +48,10 @@ def strip_ws(c: Column) -> Column:
 
 def mask(c: Column, user: str = "@user", url: str = "URL", num: str = "NUM", laughter: str = "jaja") -> Column:
     """user names, URLs, numbers and laughter -> tokens, in the reference order."""
-    steps = [
-        (f"@{WORD}{{2,}}", user),
-        (f"http{NOT_WS}+", url),
-        (f"([{LETTERS}])({DIGIT}+)", "$1 $2"),
-        (f"({DIGIT}+)([{LETTERS}€])", "$1 $2"),
-        (f"({DIGIT}+\\.)?{DIGIT}+(,{DIGIT}+)?", num),
-        (f"a?j+a+j{WORD}+", laughter),
-        (f"a?h+a+h{WORD}+", laughter),
-        ("text+d+", laughter),
-        (r"[:;]\)", laughter),
-    ]
+    tokens = {"user": user, "url": url, "num": num, "laughter": laughter}
     out = c
-    for pattern, repl in steps:
-        out = F.regexp_replace(out, pattern, F.lit(repl.replace("\\", "\\\\")) if "$" not in repl else repl)
+    for pattern, repl in MASK_STEPS:
+        out = F.regexp_replace(out, pattern, tokens.get(repl, repl))
     return out
 
 
