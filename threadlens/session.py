@@ -75,8 +75,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     Small inputs stored as one Parquet row group scan as one task; per-row CPU work (regexes,
     generators) would then run on one core. On large inputs (many splits) this is a no-op.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    except Exception:  # e.g. Spark Connect sessions expose no RDD / SparkContext: leave the plan as is
+        return df
 
 
 def materialize_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
