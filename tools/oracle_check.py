@@ -18,13 +18,16 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+DIGITS = 6 if os.environ.get("ORACLE_STRICT") else 5
+
+
 def canon(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 5)
+        return round(v, DIGITS)
     if hasattr(v, "item"):
         return canon(v.item())
     if isinstance(v, (list, tuple)):
