@@ -29,12 +29,20 @@ def md5_uniform(*parts: str | Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+ROUND_NUDGE = 1e-10  # exact decimal ties (e.g. 73.23 / 96 = 0.7628125) round the same way in every engine
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double/float column (for order-insensitive value comparison)."""
+    """Canonical rounding of every double/float column for cross-engine value comparison.
+
+    ``round(x + 1e-10, digits)``: summation order can move an exact tie by one ulp either way,
+    which would round to different sides; the nudge (far above ulps, far below 10^-digits) sends
+    ties the same way on both sides. The oracle SQL applies the same expression.
+    """
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
+            out.append(F.round(F.col(f"`{f.name}`").cast("double") + F.lit(ROUND_NUDGE), digits).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)

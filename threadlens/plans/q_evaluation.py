@@ -12,7 +12,7 @@ RUN = ["model", "context", "seed"]
 
 
 def _r(expr: str) -> str:
-    return f"ROUND(CAST({expr} AS DOUBLE), 6)"
+    return f"ROUND(CAST({expr} AS DOUBLE) + 1e-10, 6)"  # same canonical rounding as the Spark side
 
 
 def _div(num: str, den: str) -> str:

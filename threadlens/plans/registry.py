@@ -44,7 +44,7 @@ def query(name: str, views: tuple[str, ...] = (), sql: str | None = None, round_
         build.__doc__ = fn.__doc__
         oracle = with_views(views, sql) if sql is not None else None
         if oracle is not None and dbl:
-            repl = ", ".join(f'ROUND(CAST("{c}" AS DOUBLE), {round_digits or 6}) AS "{c}"' for c in dbl)
+            repl = ", ".join(f'ROUND(CAST("{c}" AS DOUBLE) + 1e-10, {round_digits or 6}) AS "{c}"' for c in dbl)
             oracle = f"SELECT * REPLACE ({repl}) FROM (\n{oracle}\n) AS _q"
         REGISTRY[name] = Entry(name, build, oracle, round_digits)
         return fn
