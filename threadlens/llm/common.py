@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,11 +40,28 @@ def shared_table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this library to the Python workers, once for each application (what --py-files does)."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    package = pathlib.Path(__file__).resolve().parents[1]
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="py-files-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))  # the driver serves it to every executor
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], list[tuple] | Iterator[tuple]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function that turns one input batch into output tuples."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ship(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):

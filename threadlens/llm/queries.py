@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadlens.llm.common import read_table
 from threadlens.llm.compression import compression_rules
+from threadlens.llm.line_spread import remove_boilerplate
+from threadlens.llm.mixing import mix_plan
 from threadlens.llm.pii import find_personal_data
 from threadlens.llm.piece_bpe import Codec, encode_decode
+from threadlens.llm.rule_ensemble import quality_scores
+from threadlens.llm.topk import top_k
+from threadlens.llm.warc import round_trip
+
+#: Distinct sites from which on a line is boilerplate.
+MIN_SITES = 10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,11 +40,86 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+SQL["op3_tiled_top_k"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scores
+QUALIFY rank <= 5
+"""
+
+
+@query
+def op4_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_table(spark, sf_dir, "pages"))
+
+
+SQL["op4_warc_chain"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), r AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN keeper > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper > page_id THEN keeper END AS refers_to
+FROM r
+"""
+
+
+@query
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_boilerplate(read_table(spark, sf_dir, "documents"), MIN_SITES)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op8_site_spread"] = f"""
+WITH cut AS (
+  SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT r, doc_id, source, generate_subscripts(lines, 1) AS at, unnest(lines) AS line FROM cut
+), spread AS (
+  SELECT line FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+  GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}
+), m AS (
+  SELECT l.*, regexp_matches(l.line, '[^\\x20\\x09-\\x0D]') AS has_text, spread.line IS NOT NULL AS bad
+  FROM l LEFT JOIN spread ON l.line = spread.line
+)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (has_text) AS n_lines, count(*) FILTER (bad) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT bad), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
+
 @query
 def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), Codec(piece_model()))
+
+
+@query
+def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(read_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
