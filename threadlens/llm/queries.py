@@ -47,10 +47,10 @@ def op3_tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op3_tiled_top_k"] = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scores AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
   FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
@@ -100,7 +100,7 @@ SQL["op8_site_spread"] = f"""
 WITH cut AS (
   SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), l AS (
-  SELECT r, doc_id, source, generate_subscripts(lines, 1) AS at, unnest(lines) AS line FROM cut
+  SELECT r, doc_id, source, generate_subscripts(lines, 1) AS place, unnest(lines) AS line FROM cut
 ), spread AS (
   SELECT line FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
   GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}
@@ -109,7 +109,7 @@ WITH cut AS (
   FROM l LEFT JOIN spread ON l.line = spread.line
 )
 SELECT any_value(doc_id) AS doc_id, count(*) FILTER (has_text) AS n_lines, count(*) FILTER (bad) AS n_removed,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT bad), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT bad), '')) AS kept_sha256
 FROM m GROUP BY r
 """
 

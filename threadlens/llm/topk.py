@@ -25,10 +25,10 @@ def quantised(flat: np.ndarray, rows: int) -> np.ndarray:
     return np.clip(whole, -(2.0**62), 2.0**62).astype(np.int64).reshape(rows, -1)
 
 
-def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def matrix(table: pa.Table, id_column: str, vector_column: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, quantised vectors), by id."""
-    ids = table.column("vec_id").to_numpy()
-    flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    ids = table.column(id_column).to_numpy()
+    flat = table.column(vector_column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     order = np.argsort(ids, kind="stable")
     return ids[order], quantised(flat, len(ids))[order]
 
@@ -97,20 +97,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 40
         .select(F.col("vec_id").cast("long"), "embedding", "asks").where(finite).distinct(), "vectors")
     rows, asking = clean.agg(F.count("*"), F.count_if("asks")).first()
     shards, blocks = max(1, math.ceil(rows / shard_rows)), max(1, math.ceil(asking / block_rows))
-    width = F.size("embedding").alias("width")
+    width = F.size("embedding")
     dealt = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")
-    right = clean.select("vec_id", "embedding", width, dealt.alias("shard"),
+    right = clean.select("vec_id", "embedding", width.alias("width"), dealt.alias("shard"),
                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     dealt = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int")
-    left = clean.where("asks").select("vec_id", "embedding", width, dealt.alias("block"),
-                                      F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    left = clean.where("asks").select(F.col("vec_id").alias("ask_id"), F.col("embedding").alias("ask"), width.alias("ask_width"),
+                                      dealt.alias("ask_block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("ask_shard"))
 
     def pair(key, ask: pa.Table, have: pa.Table) -> pa.Table:
         if ask.num_rows == 0 or have.num_rows == 0:
             found = (np.empty(0, np.int64),) * 3
         else:
-            query_ids, queries = matrix(ask)
-            ids, stored = matrix(have)
+            query_ids, queries = matrix(ask, "ask_id", "ask")
+            ids, stored = matrix(have, "vec_id", "embedding")
             if len(set(query_ids.tolist())) < len(query_ids):  # one id with several vectors: each asks
                 parts = [search(query_ids[[i]], queries[[i]], ids, stored, k) for i in range(len(query_ids))]
                 found = tuple(np.concatenate(x) for x in zip(*parts))
@@ -119,8 +119,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 40
         shard = np.full(len(found[0]), key[0].as_py(), np.int32)
         return pa.table({"query_id": found[0], "shard": shard, "vec_id": found[1], "score": found[2]})
 
-    keys = ["shard", "width", "block"]
-    lists = (left.groupBy(keys).cogroup(right.groupBy(keys))
+    lists = (left.groupBy("ask_shard", "ask_width", "ask_block").cogroup(right.groupBy("shard", "width", "block"))
              .applyInArrow(pair, "query_id long, shard int, vec_id long, score long"))
     best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k)
     merged, level = lists, shards

@@ -138,12 +138,12 @@ def reachable(found: DataFrame) -> DataFrame:
     slim rows by (file, offset).
     """
     jump = shared_table(found.select("file", "at", F.col("successor").alias("to")), "jumps")
+    places = jump.select("file", "at")
     reached = shared_table(jump.where("at = 0").select("file", "at"), "reached")
     count = reached.count()
     while True:
         onward = reached.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))
-        # only offsets that hold a candidate count
-        onward = onward.join(jump.select("file", "at"), ["file", "at"], "left_semi")
+        onward = onward.join(places, ["file", "at"], "left_semi")  # only offsets that hold a candidate count
         reached = shared_table(reached.union(onward).distinct(), "reached")
         now = reached.count()
         if now == count:
