@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +31,19 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset (tests, local runs)."""
+    """Return the cluster's ``spark.checkpoint.dir``; set a scratch one only in local mode (tests, local runs).
+
+    On a cluster a folder of the driver's machine would be out of the executors' reach, so an unset
+    folder is an error there.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master or "").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="threadlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -48,6 +55,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_shared(df: DataFrame, tag: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
+
+    It cuts the lineage (a lost executor costs nothing that came before), computes ``df`` once for several
+    readers, and gives later plans true sizes instead of estimates that multiply with every self-join.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Bounded size check: True when ``df`` has at most ``max_rows`` rows.
 
