@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import pathlib
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.session import ensure_checkpoint_dir
+from threadlens.session import write_shared as shared_table  # noqa: F401  (used by the operators)
 
 #: Words are runs of anything but ASCII white space, which is what ``bytes.split()`` cuts at.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,16 +28,13 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def shared_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
 
-    It cuts the lineage (a lost executor costs nothing that came before), computes ``df`` once for
-    several readers, and gives later plans true sizes.
+    Called between the phases of long operators, whose results are in shared tables by then.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 _SHIPPED: set[str] = set()

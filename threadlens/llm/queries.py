@@ -11,6 +11,7 @@ from threadlens.llm.common import read_table
 from threadlens.llm.compression import compression_rules
 from threadlens.llm.line_spread import remove_boilerplate
 from threadlens.llm.mixing import mix_plan
+from threadlens.llm.near_dedup import near_duplicates
 from threadlens.llm.pii import find_personal_data
 from threadlens.llm.piece_bpe import Codec, encode_decode
 from threadlens.llm.rule_ensemble import quality_scores
@@ -90,6 +91,11 @@ def op6_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_boilerplate(read_table(spark, sf_dir, "documents"), MIN_SITES)
