@@ -15,6 +15,7 @@ from threadlens.llm.near_dedup import near_duplicates
 from threadlens.llm.pii import find_personal_data
 from threadlens.llm.piece_bpe import Codec, encode_decode
 from threadlens.llm.rule_ensemble import quality_scores
+from threadlens.llm.substring_dedup import digests, remove_repeats
 from threadlens.llm.topk import top_k
 from threadlens.llm.warc import round_trip
 
@@ -41,6 +42,34 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
+SQL["op2_suffix_automata"] = """
+WITH cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
+), w AS (
+  SELECT doc_id, generate_subscripts(words, 1) AS place, unnest(words) AS word FROM cut
+), windows AS (
+  SELECT *, string_agg(word, ' ') OVER next20 AS win, count(*) OVER next20 AS n FROM w
+  WINDOW next20 AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), judged AS (
+  SELECT doc_id, place, word, n = 20 AND row_number() OVER (PARTITION BY win, n ORDER BY doc_id, place) > 1 AS again FROM windows
+), marked AS (
+  SELECT doc_id, place, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM judged
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY place) FILTER (NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op3_tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
