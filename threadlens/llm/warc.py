@@ -7,8 +7,8 @@ jumping from each file's start retains the candidates that the chain really reac
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -48,6 +48,7 @@ def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     # partial sums per task first: a payload on a third of the pages is one row for each task
     first = (records.where(large).groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
              .where("n > 1 AND keeper IS NOT NULL").select(F.col("payload_digest").alias("of"), "keeper"))
+    first = shared_table(first, "first-seen")
     refers = F.when(large & (F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper"))), F.col("keeper"))
     return records.join(first, (F.col("payload_digest") == F.col("of")) & large, "left").withColumn("refers_to", refers).drop("of", "keeper")
 
@@ -71,19 +72,18 @@ def record_text(date: str) -> Column:
     return F.concat(F.lit(VERSION + "\r\n"), header, F.lit("\r\n"), block)
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, records_per_archive: int = 10_000, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write a record for each row of ``pages`` (page_id, url, html; others are ignored) into archives below ``path``.
 
-    Archives are plain WARC files of about ``archive_bytes``, written by Spark's own text writer (the blank
-    lines between records are its line separator), so any store that Spark reaches will do. A null html is an
-    empty payload, a null url leaves its header out, a null id gets a random record id. An empty table gives
-    no archive.
+    Archives are gzipped WARC files, written by Spark's own text writer (the blank lines between records are its
+    line separator), so any store that Spark reaches will do. A file holds one partition of the join that
+    finds equal payloads (Spark's advisory partition size), at most ``records_per_archive`` records. A null
+    html is an empty payload, a null url leaves its header out, a null id gets a random record id. An empty
+    table gives no record.
     """
-    planned = plan_records(pages)
-    total = planned.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0) + 600)).first()[0] or 0
-    archives = max(1, math.ceil(total / archive_bytes))
-    records = planned.withColumn("_at", F.xxhash64("page_id", "payload_digest", "url")).repartition(archives, "_at")
-    records.select(record_text(date).alias("value")).write.option("lineSep", END).text(path)
+    records = plan_records(pages).select(record_text(date).alias("value"))
+    options = {"lineSep": END, "compression": "gzip", "maxRecordsPerFile": str(records_per_archive)}
+    records.write.options(**options).text(path)
 
 
 def parse(content: bytes, at: int, head: int) -> tuple | None:
@@ -123,6 +123,8 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             content = content.as_py()
+            if content[:2] == b"\x1f\x8b":
+                content = gzip.decompress(content)  # offsets are those of the records, not of the packed file
             for m in MAGIC.finditer(content):
                 if (found := parse(content, m.start(), m.end())) is not None:
                     yield (name, m.start(), *found)
