@@ -1,20 +1,20 @@
 """Reply threads.
 
-Sentences are ordered by ``sentence_pos`` (never by file order). Root finding and thread components
-are iterative joins with pointer jumping: O(log depth) shuffles, each round cut with a reliable
-checkpoint into the cluster's checkpoint dir.
+Sentences are ordered by ``sentence_pos`` (never by file order). Root finding jumps pointers (the
+logarithm of the depth in rounds), thread components contract stars; both write every round to the shared
+folder, so that plans and their size estimates stay small.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import WS, strip_ws
-from threadlens.session import cut_lineage
+from threadlens.operators.components import connected_components
+from threadlens.session import write_shared
 
 UNAVAILABLE = "UNAVAILABLE"
 
@@ -64,13 +64,19 @@ def last_sentence(df: DataFrame, comment: str = "comment_id", pos: str = "senten
     return df.groupBy(comment).agg(last.alias("_l")).select(comment, "_l.*")
 
 
-def comment_table(df: DataFrame, comment: str = "comment_id", pos: str = "sentence_pos") -> DataFrame:
-    """One row per comment: strip(previous sentences of the last sentence + " " + last sentence)."""
-    if "previous_sentences" not in df.columns:
-        df = previous_sentences(df, comment, pos)
-    last = last_sentence(df, comment, pos, cols=("reply_to", "previous_sentences", "sentence"))
-    text = strip_ws(F.concat(F.col("previous_sentences"), F.lit(" "), F.col("sentence")))
-    return last.select(comment, "reply_to", text.alias("comment"))
+def comment_table(df: DataFrame, comment: str = "comment_id", pos: str = "sentence_pos",
+                  sentence: str = "sentence", reply: str = "reply_to") -> DataFrame:
+    """One row per comment: strip(previous sentences of the last sentence + " " + last sentence).
+
+    One aggregate: the sentences in order are joined up to the last one. Missing earlier sentences count as
+    empty, a missing last one makes the text null, as with the row-wise definition.
+    """
+    parts = F.sort_array(F.collect_list(F.struct(F.col(pos), F.col(sentence).alias("s"))))
+    g = df.groupBy(comment).agg(parts.alias("_p"), F.max_by(F.col(reply), F.col(pos)).alias("reply_to"))
+    n = F.size("_p")
+    earlier = F.transform(F.slice("_p", 1, n - 1), lambda x: F.coalesce(x["s"], F.lit("")))
+    text = strip_ws(F.concat(strip_ws(F.array_join(earlier, " ")), F.lit(" "), F.element_at("_p", n)["s"]))
+    return g.select(comment, "reply_to", text.alias("comment"))
 
 
 def _nodes(df: DataFrame, comment: str, reply: str, pos: str | None) -> DataFrame:
@@ -81,67 +87,47 @@ def _nodes(df: DataFrame, comment: str, reply: str, pos: str | None) -> DataFram
 
 
 def find_root(df: DataFrame, comment: str = "comment_id", reply: str = "reply_to", pos: str | None = "sentence_pos",
-              out: str = "first_comment_id", max_rounds: int | None = None) -> DataFrame:
+              out: str = "first_comment_id") -> DataFrame:
     """Follow reply links to the self-replying root; missing ancestor or cycle -> ``UNAVAILABLE``.
 
-    Pointer jumping: ``ptr <- ptr[ptr]`` doubles the distance covered per round, so a chain of depth D
-    needs ceil(log2 D) join rounds. ``bad`` propagates a missing ancestor. Nodes still not at a root
-    after the rounds are on (or lead into) a cycle. The result (string id) is joined back to the rows.
+    Pointer jumping: each round the open nodes take over the pointer of the node that they point to, so the
+    distance covered doubles. A node is closed once it points to a root or to a missing ancestor. A round
+    that closes no node means that all open ones lead into cycles, and ends the search. The result (string
+    id) is joined back to the rows.
     """
-    nodes = _nodes(df, comment, reply, pos)
-    ids = nodes.select(F.col("id").alias("pid"))
-    state = (nodes.join(ids, F.col("parent") == F.col("pid"), "left")
-             .select("id", "parent", F.col("parent").alias("ptr"),
-                     (F.col("pid").isNull() & (F.col("parent") != F.col("id"))).alias("bad")))
-    state = cut_lineage(state)
-    if max_rounds is None:
-        max_rounds = max(1, math.ceil(math.log2(max(2, state.count())))) + 1
-    for _ in range(max_rounds):
-        b = state.select(F.col("id").alias("b_id"), F.col("ptr").alias("b_ptr"), F.col("bad").alias("b_bad"))
-        nxt = state.join(b, F.col("ptr") == F.col("b_id"), "left").select(
-            "id", "parent", F.coalesce("b_ptr", "ptr").alias("ptr"),
-            (F.col("bad") | F.coalesce("b_bad", F.lit(False))).alias("bad"),
-            ((F.coalesce("b_ptr", "ptr") != F.col("ptr")) |
-             ((F.col("bad") | F.coalesce("b_bad", F.lit(False))) != F.col("bad"))).alias("changed"))
-        nxt = cut_lineage(nxt)
-        changed = nxt.filter("changed").limit(1).count() > 0
-        state = nxt.drop("changed")
-        if not changed:
-            break
-    roots = state.select(F.col("id").alias("r_id"), F.col("parent").alias("r_parent"))
-    resolved = state.join(roots, F.col("ptr") == F.col("r_id"), "left").select(
-        F.col("id").alias("_node"),
-        F.when(~F.col("bad") & (F.col("r_parent") == F.col("r_id")), F.col("ptr").cast("string"))
-        .otherwise(F.lit(UNAVAILABLE)).alias("_root"))
+    nodes = write_shared(_nodes(df, comment, reply, pos), "nodes")
+    parents = nodes.select(F.col("id").alias("p_id"), F.col("parent").alias("p_parent"))
+    found = F.col("p_id").isNotNull()
+    state = nodes.join(parents, F.col("parent") == F.col("p_id"), "left").select(
+        "id", F.col("parent").alias("ptr"),
+        (found & (F.col("p_id") == F.col("p_parent"))).alias("rooted"), (~found).alias("lost"))
+    state = write_shared(state.select("id", "ptr", F.coalesce("rooted", F.lit(False)).alias("rooted"), "lost"), "pointers")
+    closed = F.col("rooted") | F.col("lost")
+    before, still = None, state.where(~closed).count()
+    while still and still != before:
+        ahead = state.select(F.col("id").alias("a_id"), F.col("ptr").alias("a_ptr"), F.col("rooted").alias("a_rooted"), F.col("lost").alias("a_lost"))
+        jumped = state.where(~closed).join(ahead, F.col("ptr") == F.col("a_id")).select(
+            "id", F.col("a_ptr").alias("ptr"), F.col("a_rooted").alias("rooted"), F.col("a_lost").alias("lost"))
+        state = write_shared(state.where(closed).union(jumped), "pointers")
+        before, still = still, state.where(~closed).count()
+    resolved = state.select(F.col("id").alias("_node"), F.when(F.col("rooted"), F.col("ptr").cast("string"))
+                            .otherwise(F.lit(UNAVAILABLE)).alias("_root"))
     rows = df.join(resolved, F.col(reply) == F.col("_node"), "left")
     root = F.when(F.col(reply) == F.col(comment), F.col(comment).cast("string")).otherwise(
         F.coalesce(F.col("_root"), F.lit(UNAVAILABLE)))
     return rows.withColumn(out, root).drop("_node", "_root")
 
 
-def thread_components(df: DataFrame, comment: str = "comment_id", reply: str = "reply_to",
-                      out: str = "thread", max_rounds: int = 64) -> DataFrame:
+def thread_components(df: DataFrame, comment: str = "comment_id", reply: str = "reply_to", out: str = "thread") -> DataFrame:
     """Undirected connected components of the reply graph; thread id = min node id.
 
-    Min-label propagation with pointer jumping (one neighbour-min shuffle + one jump join per round),
-    checkpointed each round; stops when no label changes.
+    Stars are contracted until nothing changes (see ``connected_components``): no cap on rounds. A comment
+    without any link is its own thread.
     """
-    e = df.select(F.col(comment).alias("u"), F.col(reply).alias("v")).filter(F.col("v").isNotNull())
-    edges = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    labels = cut_lineage(edges.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("lab")))
-    for _ in range(max_rounds):
-        nb = edges.join(labels.select(F.col("u").alias("v"), F.col("lab").alias("nlab")), "v").groupBy("u").agg(
-            F.min("nlab").alias("nmin"))
-        step = labels.join(nb, "u", "left").select(
-            "u", F.col("lab").alias("old"), F.least("lab", F.coalesce("nmin", "lab")).alias("lab"))
-        jumped = step.join(step.select(F.col("u").alias("j"), F.col("lab").alias("jl")), F.col("lab") == F.col("j"),
-                           "left").select("u", "old", F.least("lab", F.coalesce("jl", "lab")).alias("lab"))
-        new = cut_lineage(jumped)
-        changed = new.filter(F.col("lab") != F.col("old")).limit(1).count() > 0
-        labels = new.drop("old")
-        if not changed:
-            break
-    return df.join(labels.select(F.col("u").alias(comment), F.col("lab").alias(out)), comment, "left")
+    links = df.select(F.col(comment).alias("a"), F.col(reply).alias("b")).where("b IS NOT NULL")
+    parts = connected_components(links).select(F.col("node").alias("_node"), F.col("component").alias("_thread"))
+    rows = df.join(parts, F.col(comment) == F.col("_node"), "left")
+    return rows.withColumn(out, F.coalesce("_thread", F.col(comment))).drop("_node", "_thread")
 
 
 def add_parent_text(df: DataFrame, comments: DataFrame, comment: str = "comment_id", reply: str = "reply_to",
@@ -201,9 +187,8 @@ def context_columns(df: DataFrame, news: DataFrame | None = None) -> DataFrame:
     """Thread contexts of the sentence corpus in one plan: W1, J5, J2, J3, J4 (+ J1 when news is given)."""
     from threadlens.operators.context import add_news
 
-    with_prev = previous_sentences(df)
-    rooted = find_root(with_prev)
-    comments = comment_table(with_prev)
+    rooted = find_root(previous_sentences(df))
+    comments = write_shared(comment_table(df), "comments")
     out = add_root_text(add_parent_text(rooted, comments), comments)
     return add_news(out, news) if news is not None else out
 
