@@ -15,6 +15,8 @@ from threadlens.config import CONTEXT_NAMES, MODEL_LABEL_REPLACEMENTS, MODEL_NAM
 from threadlens.functions.common import safe_div
 
 STATS = ("median", "std", "q1", "q3")
+#: What names a run: never filled as if it were a metric.
+RUN_KEYS = ("data", "model", "context", "context_level", "kind", "seed", "suffix", "task", "file_name")
 
 
 def seed_average_hard(preds: DataFrame, keys: Sequence[str], run: Sequence[str] = ("model", "context"),
@@ -98,12 +100,12 @@ def min_max_norm(metrics: DataFrame, column: str, by: Sequence[str] = ()) -> Dat
     return metrics.withColumn(column + "_norm", safe_div(c - lo, hi - lo, None))
 
 
-def union_metrics(frames: Sequence[DataFrame]) -> DataFrame:
-    """Union runs with different metric columns; missing metrics -> 0."""
+def union_metrics(frames: Sequence[DataFrame], keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """Union runs with different metric columns; missing metrics -> 0, run keys (``keys``) stay null."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    numeric = [f.name for f in out.schema.fields if f.dataType.typeName() in ("double", "float", "long", "integer")]
+    numeric = [f.name for f in out.schema.fields if f.dataType.typeName() in ("double", "float", "long", "integer") and f.name not in keys]
     return out.fillna(0, subset=numeric)
 
 

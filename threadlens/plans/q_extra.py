@@ -37,8 +37,7 @@ def q_read_news(spark, d):
     path = scratch(spark, "news")
     n = A.news(spark, d).select("file_id", "news_title", F.lower("news_title").alias("tokenized_news_title"))
     n.write.option("header", True).option("sep", ";").option("escape", '"').option("multiLine", True).csv(path)
-    df = spark.read.option("header", True).option("sep", ";").option("escape", '"').option("multiLine", True).csv(path)
-    return df.select("file_id", F.col("tokenized_news_title").alias("news_title"))
+    return IO.read_news(spark, path, tokenized=True)
 
 
 @query("write_predictions", views=("preds",), sql=f"SELECT model, context, seed, {CELLS_SQL} FROM preds GROUP BY model, context, seed")

@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 # --- fixed values: run file naming <data>-<model>-<level>_<context>_<hard|soft>_s<seed>_<suffix>-task<t>.csv
 RUN_PATTERN = r"([a-z]+)-([a-z_]+?)-(\d)_([a-z_]+?)_(hard|soft)_s(\d+)_([^/]*?)-task(\d)\.csv_?$"
 BASELINE_PATTERN = r"(?:^|/)([^/-]+)-task(\d)\.csv_?$"
+#: The corpus of a baseline file is the folder that holds it, or the one above a ``baselines`` folder.
+BASELINE_DATA = r"(?:^|/)([^/]+)/(?:baselines/)?[^/-]+-task\d\.csv_?$"
+#: The run file of a path (or folder named like one), with up to two folders above it.
+RUN_PATH = r"((?:[^/=]+/){0,2}[^/=]+\.csv_?)(?:/[^/]*)?$"
 
 
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -31,7 +35,8 @@ def read_corpus(spark: SparkSession, path: str, schema: T.StructType | str | Non
 
 def read_news(spark: SparkSession, path: str, tokenized: bool = False) -> DataFrame:
     """``;``-separated news file -> (file_id, news_title) with the (tokenized) title."""
-    df = spark.read.option("header", True).option("sep", ";").csv(path)
+    options = {"header": True, "sep": ";", "escape": '"', "multiLine": True}
+    df = spark.read.options(**options).csv(path)
     column = "tokenized_news_title" if tokenized else "news_title"
     return df.select("file_id", F.col(column).alias("news_title"))
 
@@ -42,7 +47,7 @@ def _nz(c: Column) -> Column:
 
 def parse_run(df: DataFrame, file_col: str = "file_name") -> DataFrame:
     """Run identity from the file name: data, model, context (level + name), level, kind, seed,
-    suffix, task. Baseline files (``<model>-task<t>.csv``) only fill model and task."""
+    suffix, task. Baseline files (``<data>/baselines/<model>-task<t>.csv``) fill data, model and task."""
     f = F.col(file_col)
     g = {i: _nz(F.regexp_extract(f, RUN_PATTERN, i)) for i in range(1, 9)}
     is_run = g[1].isNotNull()
@@ -50,7 +55,7 @@ def parse_run(df: DataFrame, file_col: str = "file_name") -> DataFrame:
     base_task = _nz(F.regexp_extract(f, BASELINE_PATTERN, 2))
     return df.select(
         "*",
-        g[1].alias("data"),
+        F.when(is_run, g[1]).otherwise(_nz(F.regexp_extract(f, BASELINE_DATA, 1))).alias("data"),
         F.when(is_run, g[2]).otherwise(base_model).alias("model"),
         F.when(is_run, F.concat_ws("_", g[3], g[4])).alias("context"),
         g[3].cast("int").alias("context_level"),
@@ -61,21 +66,41 @@ def parse_run(df: DataFrame, file_col: str = "file_name") -> DataFrame:
     )
 
 
+def with_run(df: DataFrame) -> DataFrame:
+    """Run columns parsed from the path of each row's file; ``file_name`` is the bare name."""
+    path = F.regexp_extract(F.col("_metadata.file_path"), RUN_PATH, 1)
+    out = parse_run(df.withColumn("file_name", path))
+    return out.withColumn("file_name", F.substring_index("file_name", "/", -1))
+
+
 def read_predictions(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str,
                      glob: str | None = None, modified_after: str | None = None) -> DataFrame:
-    """S3 (+S9): every run file under ``paths`` in ONE read; run columns parsed from the path.
+    """S3 (+S9): the run files under ``paths``; run columns parsed from the path.
 
-    ``schema`` is the declared layout of these files (same header in every file of the read);
+    ``schema`` names and types the columns wanted. Each of ``paths`` is one read, whose files share a header;
+    its columns may come in any order, columns that a header lacks are null, others are ignored. A file whose
+    header differs from the others of its path fails the read instead of being taken by position.
     ``modified_after`` (e.g. ``2024-01-01T00:00:00``) keeps only files changed after it (S9).
     """
-    r = spark.read.option("header", True).option("recursiveFileLookup", True).schema(schema)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    if modified_after:
-        r = r.option("modifiedAfter", modified_after)
-    df = r.csv(list(paths)).withColumn("file_name", F.col("_metadata.file_path"))
-    name = F.regexp_extract(F.col("file_name"), r"([^/=]+\.csv_?)(?:/[^/]*)?$", 1)
-    return parse_run(df.withColumn("file_name", name))
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    kinds = {f.name: f.dataType for f in wanted.fields}
+    frames = []
+    for path in paths:
+        r = spark.read.option("header", True).option("recursiveFileLookup", True).option("enforceSchema", False)
+        if glob:
+            r = r.option("pathGlobFilter", glob)
+        if modified_after:
+            r = r.option("modifiedAfter", modified_after)
+        header = r.csv(path).columns
+        df = r.schema(T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])).csv(path)
+        missing = [F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c not in header]
+        named = with_run(df)
+        run = [c for c in named.columns if c not in header]
+        frames.append(named.select(*[c for c in kinds if c in header], *missing, *run))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def incremental_files(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str, since: str,

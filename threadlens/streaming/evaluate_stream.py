@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.operators import metrics as M
-from threadlens.sources.io import parse_run
+from threadlens.sources.io import with_run
 
 
 def stream_evaluate(spark: SparkSession, source_dir: str, schema: T.StructType | str, test: DataFrame,
@@ -28,9 +28,7 @@ def stream_evaluate(spark: SparkSession, source_dir: str, schema: T.StructType |
     reader = spark.readStream.schema(schema).option("header", True).option("recursiveFileLookup", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.csv(source_dir).withColumn("file_name", F.col("_metadata.file_path"))
-    name = F.regexp_extract(F.col("file_name"), r"([^/=]+\.csv_?)(?:/[^/]*)?$", 1)
-    runs = parse_run(stream.withColumn("file_name", name))
+    runs = with_run(reader.option("enforceSchema", False).csv(source_dir))
     extra = [c for c in test.columns if c not in runs.columns or c in keys]
     joined = runs.join(test.select(*extra), list(keys), "left")
     metrics = M.task1_metrics(joined, list(run), target, soft=soft, contextual=contextual)
