@@ -2,18 +2,18 @@
 
 Softmax, argmax and log-sum-exp are higher-order array expressions (JVM side). Temperature fitting is
 a Newton iteration in beta = 1/T: each step is ONE aggregation returning NLL, gradient and Hessian
-per group over the (persisted) logits; only the tiny per-group beta table goes through the driver.
+per group over the stored logits; the per-group table of betas stays in Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.operators.metrics import metrics_from_confusion
+from threadlens.session import maybe_broadcast, write_shared
 
 
 def _softmax(z: Column, temperature: Column | float = 1.0) -> Column:
@@ -125,50 +125,40 @@ def _newton_stats(df: DataFrame, by: Sequence[str], logits: str, label: str) ->
 
 def fit_temperature(df: DataFrame, by: Sequence[str], logits: str, label: str, t0: float = 1.5,
                     max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
-    """Temperature minimising the NLL per group, with NLL and ECE before and after.
+    """Temperature minimising the NLL per group, with NLL and ECE before and after, and ``converged``.
 
-    The NLL is convex in beta = 1/T; a safeguarded Newton step (beta moves at most x4 per step)
-    converges in a handful of aggregation jobs over the persisted logits.
+    The NLL is convex in beta = 1/T; a safeguarded Newton step (beta moves at most x4 per step) converges in
+    a handful of aggregations. The table of betas (one row per group) stays in Spark; a step only tells the
+    driver how many groups are still moving. ``converged`` is false where the steps ran out.
     """
-    spark = df.sparkSession
     by = list(by)
     single = not by
     if single:  # one group: a constant key keeps every step an equi-join
         df, by = df.withColumn("_all", F.lit(0)), ["_all"]
-    data = df.select(*by, logits, label).persist(StorageLevel.MEMORY_AND_DISK)
-    groups = data.select(*by).distinct().collect()
-    betas = {tuple(r): 1.0 / t0 for r in groups}
-    schema = ", ".join([f"`{c}` {t}" for c, t in data.select(*by).dtypes] + ["_beta double"])
-
-    def beta_df():
-        return spark.createDataFrame([(*k, v) for k, v in betas.items()], schema)
-
-    before = None
-    for it in range(max_iter):
-        bt = beta_df()
-        x = data.join(F.broadcast(bt), by)
-        stats = {tuple(r[c] for c in by): r for r in _newton_stats(x, by, logits, label).collect()}
-        if before is None:
-            before = {k: r["nll"] for k, r in stats.items()}
-        done = True
-        for k, r in stats.items():
-            g, h, b = r["grad"], r["hess"], betas[k]
-            if abs(g) <= tol or h <= 0:
-                continue
-            nb = min(max(b - g / h, b / 4), b * 4)
-            if abs(nb - b) > 1e-12 * max(1.0, abs(b)):
-                done = False
-            betas[k] = nb
-        if done:
+    data = write_shared(df.select(*by, logits, label), "logits")
+    betas = write_shared(data.select(*by).distinct().withColumn("_beta", F.lit(1.0 / t0)).withColumn("converged", F.lit(False)), "betas")
+    first = None
+    for _ in range(max_iter):
+        x = data.join(maybe_broadcast(betas.where(~F.col("converged"))), by)
+        stats = _newton_stats(x, by, logits, label)
+        if first is None:
+            first = stats = write_shared(stats, "newton")
+        step = F.col("_beta") - F.col("grad") / F.col("hess")
+        moved = F.least(F.greatest(step, F.col("_beta") / 4), F.col("_beta") * 4)
+        still = (F.abs("grad") > tol) & (F.col("hess") > 0) & (F.abs(moved - F.col("_beta")) > 1e-12 * F.greatest(F.lit(1.0), F.abs("_beta")))
+        flat = (F.abs("grad") > tol) & (F.col("hess") <= 0)  # no curvature left to step along: not a fit
+        nxt = betas.join(stats, by, "left").select(
+            *by, F.when(~F.col("converged") & (F.abs("grad") > tol) & (F.col("hess") > 0), moved).otherwise(F.col("_beta")).alias("_beta"),
+            (F.col("converged") | ~(still | flat)).alias("converged"))
+        betas = write_shared(nxt, "betas")
+        if betas.where(~F.col("converged")).isEmpty():
             break
-    bt = beta_df().withColumn("temperature", 1 / F.col("_beta"))
-    x = data.join(F.broadcast(bt), by)
+    bt = betas.select(*by, (1 / F.col("_beta")).alias("temperature"), "converged")
+    x = data.join(maybe_broadcast(bt), by)
     after = x.groupBy(*by).agg(F.avg(item_nll(logits, label, F.col("temperature"))).alias("nll_after"),
-                               F.first("temperature").alias("temperature"))
+                               F.first("temperature").alias("temperature"), F.first("converged").alias("converged"))
     ece_before = ece(data, by, logits, label).withColumnRenamed("ece", "ece_before")
     scaled = x.withColumn(logits, F.transform(F.col(logits), lambda v: v / F.col("temperature")))
     ece_after = ece(scaled, by, logits, label).withColumnRenamed("ece", "ece_after")
-    nb = spark.createDataFrame([(*k, v) for k, v in before.items()],
-                               ", ".join([f"`{c}` {t}" for c, t in data.select(*by).dtypes] + ["nll_before double"]))
-    out = after.join(nb, by).join(ece_before, by).join(ece_after, by)
+    out = after.join(first.select(*by, F.col("nll").alias("nll_before")), by).join(ece_before, by).join(ece_after, by)
     return out.drop("_all") if single else out
