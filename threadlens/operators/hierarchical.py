@@ -35,9 +35,13 @@ def subsets(contextual: bool) -> list[str]:
 
 def hierarchical_metrics(df: DataFrame, by: Sequence[str], labels: Sequence[str], preds: Sequence[str] | None = None,
                          target: str | None = None, contextual: bool = False, split_subsets: bool = True,
-                         alpha1: float = 2, alpha2: float = 2, beta: float = 3) -> DataFrame:
+                         alpha1: float = 2, alpha2: float = 2, beta: float = 3, legacy: bool = False) -> DataFrame:
     """E13 (with E10-E12): ICM, Hierarchical-F and Propensity-F per group, overall and (gold = 1) by
-    implicit / contextual subsets, with N and Nc recomputed inside every subset. Output is wide."""
+    implicit / contextual subsets, with N and Nc recomputed inside every subset. Output is wide.
+
+    A class that the gold of a subset lacks has no information content: it counts as 0, and an item that
+    predicts it has no ICM (null); means are over the items that have one. With ``legacy`` any such class
+    makes the subset's ICM 0, and empty subsets are 0 too."""
     preds = list(preds or [c + "_pred" for c in labels])
     target = target or labels[0]
     by = list(by)
@@ -56,8 +60,9 @@ def hierarchical_metrics(df: DataFrame, by: Sequence[str], labels: Sequence[str]
     s1 = [f"`{k}`" for k in keys]
     for k in range(m):
         s1 += [f"{y[k]} AS _y{k}", f"{p[k]} AS _p{k}", f"({y[k]}) * ({p[k]}) AS _h{k}",
-               f"1 + {C} * exp(-{A_PROP!r} * log2({nc[k]} + {B_PROP!r})) AS _w{k}", f"-log2({nc[k]} / {N}) AS _ic{k}"]
-    s1.append(f"least({', '.join(nc)}) = 0 AS _absent")
+               f"1 + {C} * exp(-{A_PROP!r} * log2({nc[k]} + {B_PROP!r})) AS _w{k}", f"CASE WHEN {nc[k]} > 0 THEN -log2({nc[k]} / {N}) ELSE 0.0 END AS _ic{k}"]
+    unknown = f"least({', '.join(nc)}) = 0" if legacy else " OR ".join(f"({nc[k]} = 0 AND {p[k]} = 1)" for k in range(m))
+    s1.append(f"({unknown}) AS _absent")
     st1 = j.selectExpr(*s1)
 
     def total(cols):
@@ -83,8 +88,7 @@ def hierarchical_metrics(df: DataFrame, by: Sequence[str], labels: Sequence[str]
     per = j.select(*keys, icm.alias("ICM"), hf.alias("Hierarchical-F"), pf.alias("Propensity-F"))
     aggs = []
     for name in METRICS:
-        c = F.col(f"`{name}`")
-        aggs.append(F.when(F.count_if(c.isNull()) > 0, F.lit(None).cast("double")).otherwise(F.avg(c)).alias(name))
+        aggs.append(F.avg(F.col(f"`{name}`")).alias(name))
     means = per.groupBy(*keys).agg(*aggs)
     if not split_subsets:
         return means.drop("_subset")
@@ -94,5 +98,6 @@ def hierarchical_metrics(df: DataFrame, by: Sequence[str], labels: Sequence[str]
     for s in names:
         for n in METRICS:
             src = f"{s}_{n}" if len(METRICS) > 1 else s
-            out.append(F.coalesce(F.col(f"`{src}`"), F.lit(0.0)).alias(f"{n}{s}"))
+            value = F.coalesce(F.col(f"`{src}`"), F.lit(0.0)) if legacy else F.col(f"`{src}`")
+            out.append(value.alias(f"{n}{s}"))
     return wide.select(*by, *out)

@@ -39,7 +39,7 @@ def hier_sql(preds=PREDS, subsets=True, contextual=True) -> str:
     pp = f"(({num}) / ({' + '.join(f'{inv[k]} * ({p[k]})' for k in range(m))}))"
     pr = f"(({num}) / ({' + '.join(f'{inv[k]} * ({y[k]})' for k in range(m))}))"
     pf = f"2 * {pp} * {pr} / ({pp} + {pr})"
-    ic = [f"(-log2({nc[k]} / {N}))" for k in range(m)]
+    ic = [f"(CASE WHEN {nc[k]} > 0 THEN -log2({nc[k]} / {N}) ELSE 0.0 END)" for k in range(m)]
 
     def ic_set(s):
         term = [f"(CASE WHEN ({s[k]}) = 1 THEN {ic[k]} ELSE 0.0 END)" for k in range(m)]
@@ -48,13 +48,14 @@ def hier_sql(preds=PREDS, subsets=True, contextual=True) -> str:
         return f"(({desc}) - (({ncat}) - 1) * {term[2]} + {term[1]})"
 
     union = [f"greatest({y[k]}, {p[k]})" for k in range(m)]
-    icm = (f"CASE WHEN least({', '.join(nc)}) = 0 THEN NULL ELSE "
+    unknown = " OR ".join(f"({nc[k]} = 0 AND ({p[k]}) = 1)" for k in range(m))
+    icm = (f"CASE WHEN {unknown} THEN NULL ELSE "
            f"2 * {ic_set(y)} + 2 * {ic_set(p)} - 3 * {ic_set(union)} END")
     stats = ", ".join(f"sum({y[k]}) AS Nc{k}" for k in range(m))
     return f"""x AS (SELECT *, {tag_expr} AS subset FROM topic_preds),
 st AS (SELECT subset, count(*) AS N, {stats} FROM x GROUP BY subset),
 per AS (SELECT x.subset, {icm} AS icm, {hf} AS hf, {pf} AS pf FROM x JOIN st USING (subset)),
-means AS (SELECT subset, CASE WHEN count_if(icm IS NULL) > 0 THEN NULL ELSE avg(icm) END AS icm, avg(hf) AS hf, avg(pf) AS pf
+means AS (SELECT subset, avg(icm) AS icm, avg(hf) AS hf, avg(pf) AS pf
   FROM per GROUP BY subset)"""
 
 
@@ -62,7 +63,7 @@ def wide_sql(subs) -> str:
     cols = []
     for s in subs:
         for n, c in (("ICM", "icm"), ("Hierarchical-F", "hf"), ("Propensity-F", "pf")):
-            cols.append(f"coalesce(max(CASE WHEN subset = '{s}' THEN {c} END), 0.0) AS \"{n}{s}\"")
+            cols.append(f"max(CASE WHEN subset = '{s}' THEN {c} END) AS \"{n}{s}\"")
     return "SELECT 'r' AS run, " + ", ".join(cols) + " FROM means"
 
 
