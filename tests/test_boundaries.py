@@ -31,11 +31,11 @@ def test_argmax_tie_takes_first(spark):
     assert rows[1]["pred"] == 1
 
 
-def test_icm_absent_gold_class_is_zero_in_wide_table(spark):
+def test_icm_absent_gold_class_is_zero_with_legacy(spark):
     # topic t2 never occurs in gold: ICM undefined (reference NaN -> 0 after fillna), F measures defined
     rows = [(1, 1, 0, 1, 1, 0, 0), (0, 0, 0, 0, 0, 0, 1), (1, 1, 1, 1, 0, 0, 0)]
     df = spark.createDataFrame(rows, "stereo int, stereo_pred int, t1 int, t1_pred int, implicit int, t2 int, t2_pred int")
-    out = H.hierarchical_metrics(df.withColumn("run", F.lit(1)), ["run"], ["stereo", "t1", "t2"]).first()
+    out = H.hierarchical_metrics(df.withColumn("run", F.lit(1)), ["run"], ["stereo", "t1", "t2"], legacy=True).first()
     assert out["ICM"] == 0.0
     assert 0 < out["Hierarchical-F"] <= 1 and 0 < out["Propensity-F"] <= 1
 

@@ -1,11 +1,9 @@
 """Spark vs DuckDB oracle on the driver tables (sf0.001).
 
-A representative query per module runs by default; set THREADLENS_ORACLE_ALL=1 to run every
-registered query (tools/oracle_check.py does the same from the command line).
+Every registered query with an oracle runs (tools/oracle_check.py does the same from the command line).
 """
 
 import math
-import os
 
 import pytest
 
@@ -14,13 +12,8 @@ from threadlens.plans.registry import load_all
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
-DEFAULT = ["task1_metrics", "seed_summary", "welch_test", "context_changes", "add_change_pct", "context_columns",
-           "find_root", "thread_components", "fill_context", "preprocess", "split_hashtags", "score_group_splits",
-           "stratified_split", "hierarchical_metrics", "nll", "ece", "tfidf", "mean_word_vectors", "parse_run",
-           "join_gold"]
-
 REG = load_all()
-NAMES = sorted(n for n, e in REG.items() if e.oracle) if os.environ.get("THREADLENS_ORACLE_ALL") else DEFAULT
+NAMES = sorted(n for n, e in REG.items() if e.oracle)
 
 
 def _canon(v):

@@ -102,8 +102,12 @@ def demojize(c: Column, emoji_names: Mapping[str, str], wrapper: str = EMOJI_WRA
 
         pattern = "|".join(re.escape(k) for k in keys)
         names = F.create_map(*[F.lit(x) for k in keys for x in (k, f" {wrapper} {emoji_names[k]} {wrapper} ")])
-        found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({pattern})"), 1))
-        out = F.aggregate(found, c, lambda acc, e: F.replace(acc, e, names[e]))
+
+        def named(text: Column) -> Column:
+            found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1))
+            return F.when(text.rlike(pattern), F.aggregate(found, text, lambda acc, e: F.replace(acc, e, names[e]))).otherwise(text)
+
+        out = F.element_at(F.transform(F.array(c), named), 1)  # the lambda's variable: ``c`` is computed once
     return F.regexp_replace(out, "_", " ")
 
 
@@ -149,19 +153,17 @@ def spanish_stop_words() -> list[str]:
 def tokens_without_stopwords(c: Column, stop_words: Sequence[str]) -> Column:
     """F9 (surface form): whitespace tokens of preprocessed text without stop words (case-sensitive)."""
     tokens = F.filter(F.split(c, " "), lambda t: t != "")
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
+    return F.filter(tokens, lambda t: ~t.isin(*stop_words))  # a hash set in the optimised plan
 
 
-def lemmatize(df: DataFrame, key: Sequence[str], tokens_col: str, lemmas: DataFrame, out: str = "lemmas",
-              max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def lemmatize(df: DataFrame, key: Sequence[str], tokens_col: str, lemmas: DataFrame, out: str = "lemmas") -> DataFrame:
     """F9 (lemma form): token -> lemma via a join with a (token, lemma) table; multi-word lemmas split
     on spaces; mask tokens keep themselves. Tokens are exploded with their position, joined (the
-    lemma table is broadcast behind a row bound) and collected back in order per document.
+    lemma table is broadcast if its bytes allow it) and collected back in order per document.
     """
     from threadlens.session import maybe_broadcast
 
-    lem = maybe_broadcast(lemmas.select(F.col("token").alias("_tok"), F.col("lemma").alias("_lem")), max_broadcast_rows)
+    lem = maybe_broadcast(lemmas.select(F.col("token").alias("_tok"), F.col("lemma").alias("_lem")))
     exploded = df.select(*key, F.posexplode(tokens_col).alias("_pos", "_tok"))
     joined = exploded.join(lem, "_tok", "left")
     lemma = F.when(F.col("_tok").isin(*KEEP_AS_IS), F.col("_tok")).otherwise(F.coalesce("_lem", "_tok"))

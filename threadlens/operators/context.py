@@ -42,7 +42,7 @@ def assert_no_nulls(df: DataFrame, raise_on_violation: bool = False) -> DataFram
     counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
     long = counts.unpivot([], list(df.columns), "column", "n_null").filter(F.col("n_null") > 0)
     if raise_on_violation:
-        bad = long.limit(50).collect()
+        bad = long.collect()  # one row per column at most
         if bad:
             raise ValueError("null values in: " + ", ".join(f"{r['column']} ({r['n_null']})" for r in bad))
     return long
@@ -52,11 +52,11 @@ def is_missing(c: Column) -> Column:
     return c.isin(*MISSING_CONTEXT)
 
 
-def add_news(df: DataFrame, news: DataFrame, key: str = "file_id", max_broadcast_rows: int = 5_000_000) -> DataFrame:
-    """Left join the news title on ``file_id``; the news side is broadcast behind a row bound."""
+def add_news(df: DataFrame, news: DataFrame, key: str = "file_id") -> DataFrame:
+    """Left join the news title on ``file_id``; the news side is broadcast if its bytes allow it."""
     from threadlens.session import maybe_broadcast
 
-    return df.join(maybe_broadcast(news, max_broadcast_rows), key, "left")
+    return df.join(maybe_broadcast(news), key, "left")
 
 
 def annotator_columns(columns: Sequence[str], label: str, suffix: str = "_a") -> list[str]:

@@ -31,7 +31,7 @@ def join_gold(preds: DataFrame, test: DataFrame, keys: Sequence[str], run: Seque
         if dup:
             raise MergeError("test table is not unique on " + ", ".join(keys))
     rejects = preds.groupBy(*run, *keys).count().filter(F.col("count") > 1).select(*run).distinct()
-    rejects = materialize_small(rejects, 100_000)
+    rejects = materialize_small(rejects)
     good = preds.join(rejects, run, "left_anti")
     extra = [c for c in test.columns if c not in preds.columns or c in keys]
     return good.join(test.select(*extra), keys, "left"), rejects

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.functions.common import md5_uniform
-from threadlens.session import cut_lineage, materialize_small, maybe_broadcast
+from threadlens.functions.common import md5_uniform, place_in_order
+from threadlens.session import materialize_small, maybe_broadcast, write_shared
 
 FLOAT_EPS = 2.220446049250313e-16  # numpy float64 eps, floor of the MAPE denominator
 
@@ -38,8 +38,7 @@ def n_groups(df: DataFrame, group: str) -> DataFrame:
 def group_share(df: DataFrame, split: str, group: str) -> DataFrame:
     """A2: % of all rows per (split, group), with per-split and grand totals via ``rollup``."""
     r = df.rollup(split, group).agg(F.count(F.lit(1)).alias("n"))
-    total = F.max(F.when(F.col(split).isNull() & F.col(group).isNull(), F.col("n"))).over(Window.partitionBy())
-    return r.withColumn("pct", F.col("n") / total * 100)
+    return r.withColumn("pct", F.col("n") / F.lit(df.count()) * 100)
 
 
 def split_balance(df: DataFrame, labels: Sequence[str], split: str) -> DataFrame:
@@ -64,14 +63,11 @@ def class_weights(df: DataFrame, y: str) -> DataFrame:
 
 def ordered_groups(sizes: DataFrame, group: str, exclude_smallest: int = 0) -> DataFrame:
     """Group listing order for the split search: ascending size, ties by id; optionally drop the smallest."""
-    w = Window.orderBy(F.col("size").asc(), F.col(group).asc())
-    ranked = sizes.withColumn("rank", F.row_number().over(w))
-    return ranked.filter(F.col("rank") > exclude_smallest).withColumn(
-        "rank", F.row_number().over(Window.orderBy("rank")))
+    ranked = place_in_order(sizes, "rank", F.col("size").asc(), F.col(group).asc())
+    return ranked.where(F.col("rank") > exclude_smallest).withColumn("rank", F.col("rank") - F.lit(exclude_smallest))
 
 
-def candidate_group_splits(groups: DataFrame, group: str, ratio: float, eps: float, nested_eps: float = 0.02,
-                           max_rounds: int | None = None) -> DataFrame:
+def candidate_group_splits(groups: DataFrame, group: str, ratio: float, eps: float, nested_eps: float = 0.02) -> DataFrame:
     """M1: every set of groups, in listing order, whose share first reaches ``ratio`` with its last member.
 
     ``share(without last) < ratio <= share(all) <= ratio + e`` with ``e = eps`` for single groups and
@@ -80,23 +76,20 @@ def candidate_group_splits(groups: DataFrame, group: str, ratio: float, eps: flo
     generated with ``sequence`` and joined by rank (equi-join with the small group table, broadcast
     behind a bound), checkpointed; the search stops when the frontier is empty.
     """
-    g = cut_lineage(groups.select("rank", F.col(group).alias("gid"), F.col("size").cast("long").alias("gsize")))
-    n = g.count()
-    full = g.agg(F.sum("gsize")).first()[0]
-    gb = maybe_broadcast(g, 1_000_000)
+    g = write_shared(groups.select("rank", F.col(group).alias("gid"), F.col("size").cast("long").alias("gsize")), "groups")
+    n, full = g.agg(F.count("*"), F.sum("gsize")).first()
+    gb = maybe_broadcast(g)
     share = F.col("sz") / F.lit(float(full))
     first = gb.select(F.array(F.col("gid")).alias("members"), F.col("rank").alias("last"), F.col("gsize").alias("sz"),
                       F.lit(1).alias("depth"))
     results = []
     frontier = first
-    rounds = 0
     while True:
-        rounds += 1
         e = F.when(F.col("depth") == 1, F.lit(eps)).otherwise(F.lit(nested_eps))
         hit = frontier.filter((share >= ratio) & (share <= F.lit(ratio) + e))
         results.append(hit.select("members", "sz"))
-        below = cut_lineage(frontier.filter(share < ratio))
-        if below.limit(1).count() == 0 or (max_rounds and rounds >= max_rounds):
+        below = write_shared(frontier.filter(share < ratio), "frontier")
+        if below.isEmpty():
             break
         nxt = below.select("members", "sz", "depth", F.explode(F.sequence(F.col("last") + 1, F.lit(n))).alias("rank"))
         nxt = nxt.filter(F.col("rank") <= n).join(gb, "rank")
@@ -121,11 +114,11 @@ def score_group_splits(df: DataFrame, candidates: DataFrame, group: str, labels:
     that small table. MAPE = mean |cand - objective| / max(|cand|, eps) over the labels;
     ``mape_legacy`` also averages the reference's extra MSE term, (L*MAPE + 1) / (L + 1).
     """
-    sums = cut_lineage(group_label_sums(df, group, labels))
+    sums = write_shared(group_label_sums(df, group, labels), "label-sums")
     # objective: label shares of the whole set, a handful of scalars read once on the driver
     tot = sums.agg(F.sum("_n").alias("_N"), *[F.sum(c).alias("_t_" + c) for c in labels]).first()
     members = candidates.select("candidate", F.explode("members").alias(group))
-    j = members.join(maybe_broadcast(sums, 5_000_000), group).groupBy("candidate").agg(
+    j = members.join(maybe_broadcast(sums), group).groupBy("candidate").agg(
         F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in labels])
     pct = {c: F.col(c) * 100.0 / F.col("_n") for c in labels}
     obj = {c: F.lit(float(tot["_t_" + c]) * 100.0 / float(tot["_N"])) for c in labels}
@@ -159,23 +152,25 @@ def group_disjoint_split(df: DataFrame, group: str, labels: Sequence[str], test_
     rows get ``split`` = train / val / test. Groups never straddle splits."""
     sizes = group_sizes(df, group)
     test_groups_tbl = ordered_groups(sizes, group, exclude_smallest)
-    cands = cut_lineage(candidate_group_splits(test_groups_tbl, group, test_ratio, eps, nested_eps))
-    test = cut_lineage(best_candidate_groups(score_group_splits(df, cands, group, labels), cands, group))
+    cands = write_shared(candidate_group_splits(test_groups_tbl, group, test_ratio, eps, nested_eps), "candidates")
+    test = write_shared(best_candidate_groups(score_group_splits(df, cands, group, labels), cands, group), "test-groups")
     rest = split_by_groups(df, group, test, inside=False)
     val_tbl = ordered_groups(group_sizes(rest, group), group)
-    vcands = cut_lineage(candidate_group_splits(val_tbl, group, val_ratio, eps, nested_eps))
+    vcands = write_shared(candidate_group_splits(val_tbl, group, val_ratio, eps, nested_eps), "candidates")
     val = best_candidate_groups(score_group_splits(rest, vcands, group, labels), vcands, group)
     tagged = (test.withColumn("split", F.lit("test"))).unionByName(val.withColumn("split", F.lit("val")))
     out = df.join(tagged, group, "left")
     return out.withColumn("split", F.coalesce(F.col("split"), F.lit("train")))
 
 
-def exact_rank(df: DataFrame, partition: Sequence[str], u: str, tiebreak: Sequence[str], buckets: int = 64) -> DataFrame:
+def exact_rank(df: DataFrame, partition: Sequence[str], u: str, tiebreak: Sequence[str], bucket_rows: int = 100_000) -> DataFrame:
     """Exact 1-based rank of rows by ``u`` (uniform in [0,1)) within ``partition``, skew-safe.
 
-    A hot partition is split into ``buckets`` sub-partitions by ``floor(u * buckets)``; per-bucket
-    counts (a tiny table) give the offsets, so no single task sorts a whole hot key.
+    Partitions are split by ``floor(u * buckets)``, with as many buckets as leave about ``bucket_rows`` rows
+    of the largest in each; per-bucket counts give the offsets, so no task sorts a whole hot key.
     """
+    largest = df.groupBy(*partition).count().agg(F.max("count")).first()[0] or 0
+    buckets = max(1, -(-largest // bucket_rows))
     b = F.least(F.floor(F.col(u) * buckets), F.lit(buckets - 1)).cast("int")
     x = df.withColumn("_b", b)
     counts = x.groupBy(*partition, "_b").agg(F.count(F.lit(1)).alias("_c"))
@@ -183,7 +178,7 @@ def exact_rank(df: DataFrame, partition: Sequence[str], u: str, tiebreak: Sequen
     offs = counts.select(*partition, "_b", F.coalesce(F.sum("_c").over(wp.rowsBetween(Window.unboundedPreceding, -1)),
                                                         F.lit(0)).alias("_off"),
                          F.sum("_c").over(Window.partitionBy(*partition)).alias("_size"))
-    j = x.join(materialize_small(offs, 2_000_000), [*partition, "_b"])
+    j = x.join(materialize_small(offs), [*partition, "_b"])
     w = Window.partitionBy(*partition, "_b").orderBy(F.col(u), *[F.col(c) for c in tiebreak])
     return j.withColumn("_rank", F.col("_off") + F.row_number().over(w)).drop("_b", "_off")
 
@@ -199,7 +194,7 @@ def stratified_split(df: DataFrame, key: Sequence[str], labels: Sequence[str], t
     combo = F.concat_ws("", *[F.col(c).cast("string") for c in labels])
     x = df.withColumn("_combo", combo).withColumn("_u", md5_uniform(*key, F.lit(seed)))
     size = x.groupBy("_combo").agg(F.count(F.lit(1)).alias("_cn"))
-    x = x.join(materialize_small(size, 2_000_000), "_combo").withColumn(
+    x = x.join(materialize_small(size), "_combo").withColumn(
         "_combo", F.when(F.col("_cn") < min_stratum, F.lit("rare")).otherwise(F.col("_combo"))).drop("_cn")
     r = exact_rank(x, ["_combo"], "_u", list(key))
     n = F.col("_size")
@@ -216,12 +211,14 @@ def stratified_split(df: DataFrame, key: Sequence[str], labels: Sequence[str], t
 def batch_groups(df: DataFrame, group: str, batch_size: int, seed: int = 42) -> DataFrame:
     """Shuffle the groups (md5 order), cut in ceil(n / b) near-equal batches (larger first),
     return group -> batch and the row count of each batch. Runs on the group table only."""
-    sizes = group_sizes(df, group)
-    n = sizes.count()
+    ordered = place_in_order(group_sizes(df, group).withColumn("_u", md5_uniform(F.col(group), F.lit(seed))), "_at", F.col("_u"), F.col(group))
+    n = ordered.count()
     k = max(1, -(-n // batch_size))
-    ordered = sizes.withColumn("_u", md5_uniform(F.col(group), F.lit(seed)))
-    b = ordered.withColumn("batch", F.ntile(k).over(Window.orderBy("_u", group)))
-    return b.withColumn("batch_size", F.sum("size").over(Window.partitionBy("batch"))).drop("_u")
+    each, larger = divmod(n, k)  # the first ``larger`` batches hold one group more
+    at, edge = F.col("_at") - 1, larger * (each + 1)
+    b = F.when(at < edge, F.floor(at / F.lit(each + 1))).otherwise(F.lit(larger) + F.floor((at - edge) / F.lit(max(1, each))))
+    b = ordered.withColumn("batch", (b + 1).cast("int"))
+    return b.withColumn("batch_size", F.sum("size").over(Window.partitionBy("batch"))).drop("_u", "_at")
 
 
 def shuffle(df: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:

@@ -64,7 +64,7 @@ def q_model_view(spark, d):
 
 @query("append_context", views=("tweets",), sql="SELECT txt_head || ' ' || text AS text, stereo AS labels FROM tweets")
 def q_append_context(spark, d):
-    return X.model_view(A.tweets(spark, d), "text", "stereo", "txt_head", append=True)
+    return X.append_context(A.tweets(spark, d), "txt_head", "text").select("text", F.col("stereo").alias("labels"))
 
 
 @query("drop_missing_context", views=("tweets",), sql=f"""

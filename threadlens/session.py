@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "threadlens") -> SparkSession:
@@ -49,12 +50,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint dir (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def write_shared(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
@@ -67,49 +62,36 @@ def write_shared(df: DataFrame, tag: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Bounded size check: True when ``df`` has at most ``max_rows`` rows.
-
-    Reads at most ``max_rows + 1`` rows, so the check itself stays cheap on big inputs.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
+def plan_bytes(df: DataFrame) -> int:
+    """Upper estimate of the size of ``df`` from the optimiser's statistics (file sizes for stored tables)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only behind a checked row bound; otherwise leave the join to a shuffle.
+def maybe_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast of ``df`` only if its estimated size is within ``max_bytes``; no job is run.
 
-    Use it for raw dimension tables and materialised (checkpointed) data, where the bounded count is
-    cheap. For tables derived by an aggregation inside the same plan, join plainly: AQE measures the
-    finished shuffle stage and converts the join to a broadcast when it is small (and keeps the
-    shuffle join otherwise), without computing the aggregation twice.
+    For stored tables and ``write_shared`` results the estimate is the size of the columns on disk. For tables
+    derived in the same plan it is a large upper bound, so the join is left to AQE, which decides by
+    the measured size.
     """
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if fits(df, max_rows) else df
+    return F.broadcast(df) if plan_bytes(df) <= max_bytes else df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster when its scan yields fewer partitions than cores.
+def spread(df: DataFrame, max_bytes: int = 256 << 20) -> DataFrame:
+    """Deal a small stored table over the cores when its scan has fewer splits than there are cores.
 
-    Small inputs stored as one Parquet row group scan as one task; per-row CPU work (regexes,
-    generators) would then run on one core. On large inputs (many splits) this is a no-op.
+    A small table stored as one row group scans as one task, which would do all per-row work (regexes,
+    generators) alone. Tables above ``max_bytes`` keep their own splits, so nothing large is shuffled.
     """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-    except Exception:  # e.g. Spark Connect sessions expose no RDD / SparkContext: leave the plan as is
+    if plan_bytes(df) > max_bytes:
         return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
-def materialize_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Materialise a small derived table (reliable checkpoint) and broadcast it when its row count,
-    now cheap to read, is within ``max_rows``; otherwise return it for a shuffle join.
+def materialize_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Compute a derived table once (shared folder) and broadcast it if what was written is small.
 
-    Used for per-key aggregates (class counts per run, stratum sizes, rank offsets, rejected runs)
-    joined back to big tables: the big side is then never shuffled for that join, and the aggregate
-    is computed once.
+    Used for per-key aggregates joined back to big tables: the big side is then not shuffled for that join.
     """
-    from pyspark.sql import functions as F
-
-    m = cut_lineage(df)
-    return F.broadcast(m) if fits(m, max_rows) else m
+    return maybe_broadcast(write_shared(df, "small"), max_bytes)
