@@ -137,9 +137,14 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
         steps[0] = s[0]
         ends = np.cumsum(c)[:-1]
         steps[ends] = s[1:] - (s[:-1] + c[:-1] - 1)
-        overlap = np.bincount(owner[np.cumsum(steps)], minlength=len(sets))[: d]
-        near = np.nonzero(100 * overlap >= percent * (sorted_sizes[:d] + sorted_sizes[d] - overlap))[0]
-        for e in near[overlap[near] > 0]:
+        others = owner[np.cumsum(steps)]
+        if len(others) > len(sets):
+            overlap = np.bincount(others, minlength=len(sets))
+            others = np.nonzero(overlap[:d])[0]
+            overlap = overlap[others]
+        else:  # many small sets: the cost follows the shared shingles, not the number of sets
+            others, overlap = np.unique(others[others < d], return_counts=True)
+        for e in others[100 * overlap >= percent * (sorted_sizes[others] + sorted_sizes[d] - overlap)]:
             if (x := root(int(e))) != (y := root(d)):
                 parent[x] = y
                 out.append((int(ids[order[e]]), int(ids[order[d]])))
