@@ -18,7 +18,7 @@ BASELINE_PATTERN = r"(?:^|/)([^/-]+)-task(\d)\.csv_?$"
 #: The corpus of a baseline file is the folder that holds it, or the one above a ``baselines`` folder.
 BASELINE_DATA = r"(?:^|/)([^/]+)/(?:baselines/)?[^/-]+-task\d\.csv_?$"
 #: The run file of a path (or folder named like one), with up to two folders above it.
-RUN_PATH = r"((?:[^/=]+/){0,2}[^/=]+\.csv_?)(?:/[^/]*)?$"
+RUN_PATH = r"((?:[^/=]+/){0,2}?[^/=]+\.csv_?)(?:/[^/]*)?$"
 
 
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
