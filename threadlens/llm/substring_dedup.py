@@ -243,7 +243,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, hot: int =
 
     of_text = places.select(F.col("doc_id").alias("of"), F.col("t1").alias("of1"), F.col("t2").alias("of2"), "repeated")
     same = (F.col("doc_id") == F.col("of")) & (F.col("t1") == F.col("of1")) & (F.col("t2") == F.col("of2"))
-    candidates = keyed(docs).join(of_text, same).select("doc_id", "t1", "repeated", "text")
+    # both sides grow with the corpus, so these joins are never broadcasts: the same plan at every size
+    candidates = keyed(docs).join(of_text.hint("merge"), same).select("doc_id", "t1", "repeated", "text")
     runs = map_rows(candidates, passages, "anchor long, words binary, doc_id long, t1 long, start int")
     earliest = F.min(F.struct("doc_id", "t1", "start")).alias("first")
     distinct = shared_table(runs.groupBy("anchor", "words").agg(earliest), "passages")
@@ -309,7 +310,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, hot: int =
                 drop = covered(len(words), np.nonzero(gone)[0], window)
                 yield doc_id, len(words), int(drop.sum()), b" ".join([w for w, d in zip(words, drop) if not d]).decode()
 
-    out = keyed(docs).join(verdicts, same, "left").select(
+    out = keyed(docs).join(verdicts.hint("merge"), same, "left").select(
         F.nullif(F.col("doc_id"), F.lit(LAST)).alias("doc_id"), F.coalesce("copy", F.lit(False)).alias("copy"), "repeated", "firsts", "text")
     return map_rows(out, rows, "doc_id long, n_words long, n_removed long, kept string")
 
