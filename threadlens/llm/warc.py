@@ -92,17 +92,16 @@ def parse(content: bytes, at: int, head: int) -> tuple | None:
     ``head``: where the version line ends. Digest and length are taken from the payload itself; a revisit has
     them from its headers.
     """
-    end = content.find(b"\r\n\r\n", head - 2)
-    if end < 0:
-        return None
-    fields = {}
-    for line in content[head:end].decode("utf-8", "replace").split("\r\n"):
-        name, colon, value = line.partition(":")
-        if colon:
-            fields[name.strip().lower()] = value.strip()
+    fields, start = {}, head
+    while (end := content.find(b"\r\n", start)) != start:
+        name, colon, value = content[start : max(end, start)].decode("utf-8", "replace").partition(":")
+        if not colon:  # no header line (or no line end): a magic inside a payload costs one line, not a scan
+            return None
+        fields[name.strip().lower()] = value.strip()
+        start = end + 2
     if not fields.get("content-length", "").isascii() or not fields.get("content-length", "").isdigit():
         return None
-    block, stop = end + 4, end + 4 + int(fields["content-length"])
+    block, stop = end + 2, end + 2 + int(fields["content-length"])
     if stop + 4 > len(content) or content[stop : stop + 4] != b"\r\n\r\n":
         return None
     kind, number = fields.get("warc-type"), lambda name: int(m[1]) if (m := PAGE.fullmatch(fields.get(name, ""))) else None
