@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import text as TX
 from threadlens.operators import calibration as CAL
+from threadlens.operators import changes as C
 from threadlens.operators import hierarchical as H
 from threadlens.operators import metrics as M
 from threadlens.operators import seeds as S
@@ -92,6 +93,15 @@ def test_union_keeps_null_keys(spark):
     assert got == {"m": (1, 0.5, 0.0), "base": (None, 0.0, 0.25)}
 
 
+def test_hard_and_soft_runs_stay_apart(spark):
+    rows = [(k, "m", c, s, 1, 1, p, 0.5) for k, p in (("hard", 1), ("soft", 0)) for c in ("0_no_context", "2_x") for s in (1, 2)]
+    df = spark.createDataFrame(rows, "kind string, model string, context string, seed int, id int, stereo int, stereo_pred int, softmax_confidence double")
+    got = {(r.kind, r.context): r.stereo_pred for r in S.seed_average_hard(df, ["id"]).collect()}
+    assert got == {("hard", "0_no_context"): 1.0, ("hard", "2_x"): 1.0, ("soft", "0_no_context"): 0.0, ("soft", "2_x"): 0.0}
+    changed = df.withColumn("stereo_pred", F.when((F.col("kind") == "soft") & (F.col("context") == "2_x"), 1).otherwise(F.col("stereo_pred")))
+    assert [r.kind for r in C.context_changes_from_runs(changed, ["id"], ["2_x"]).collect()] == ["soft"]
+
+
 def test_temperature_says_whether_it_converged(spark):
     import random
 

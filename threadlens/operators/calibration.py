@@ -162,3 +162,11 @@ def fit_temperature(df: DataFrame, by: Sequence[str], logits: str, label: str, t
     ece_after = ece(scaled, by, logits, label).withColumnRenamed("ece", "ece_after")
     out = after.join(first.select(*by, F.col("nll").alias("nll_before")), by).join(ece_before, by).join(ece_after, by)
     return out.drop("_all") if single else out
+
+
+def temperature_grid(df: DataFrame, by: Sequence[str], logits: str, label: str, grid: Sequence[float]) -> DataFrame:
+    """E20, grid form: (by..., temperature, nll) of the grid's best temperature, all of them in one pass."""
+    losses = [F.avg(item_nll(logits, label, t)).alias(f"_{i}") for i, t in enumerate(grid)]
+    means = df.groupBy(*by).agg(*losses)
+    each = F.array(*[F.struct(F.col(f"_{i}").alias("nll"), F.lit(float(t)).alias("temperature")) for i, t in enumerate(grid)])
+    return means.select(*by, F.array_min(each).alias("b")).select(*by, "b.temperature", "b.nll")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.config import BETTER_TN, BETTER_TP, NO_CONTEXT, WORSE_FN, WORSE_FP
+from threadlens.operators.seeds import run_identity
 from threadlens.functions.common import safe_div
 
 KINDS = [(0, WORSE_FP), (0, BETTER_TN), (1, WORSE_FN), (1, BETTER_TP)]
@@ -35,11 +36,12 @@ def context_changes(avg: DataFrame, keys: Sequence[str], contexts: Sequence[str]
     list, so Spark plans a single aggregation without a distinct-values job.
     """
     pred = target + "_pred"
-    wide = avg.groupBy(model_col, *keys).pivot(context_col, [baseline, *contexts]).agg(F.first(pred))
-    gold = avg.filter(F.col(context_col) == baseline).select(model_col, *keys, target)
-    j = wide.join(gold, [model_col, *keys], "inner")
+    run = run_identity(avg, [model_col])
+    wide = avg.groupBy(*run, *keys).pivot(context_col, [baseline, *contexts]).agg(F.first(pred))
+    gold = avg.filter(F.col(context_col) == baseline).select(*run, *keys, target)
+    j = wide.join(gold, [*run, *keys], "inner")
     labels = [_change(F.col(target), F.col(baseline), F.col(c), thres).alias(c) for c in contexts]
-    out = j.select(model_col, *keys, target, *labels)
+    out = j.select(*run, *keys, target, *labels)
     return out.filter(F.greatest(*[F.col(c) != "" for c in contexts]) if len(contexts) > 1 else F.col(contexts[0]) != "")
 
 
@@ -56,9 +58,10 @@ def context_changes_from_runs(preds: DataFrame, keys: Sequence[str], contexts: S
     aggs = [F.max_by(F.when(base, F.col(target)), F.when(base, F.col("seed"))).alias(target),
             F.avg(F.when(base, pred)).alias("_p0"), F.count_if(base).alias("_n0")]
     aggs += [F.avg(F.when(ctx == c, pred)).alias("_p_" + c) for c in contexts]
-    g = preds.groupBy(model_col, *keys).agg(*aggs).filter(F.col("_n0") > 0)
+    run = run_identity(preds, [model_col])
+    g = preds.groupBy(*run, *keys).agg(*aggs).filter(F.col("_n0") > 0)
     labels = [_change(F.col(target), F.col("_p0"), F.col("_p_" + c), thres).alias(c) for c in contexts]
-    out = g.select(model_col, *keys, target, *labels)
+    out = g.select(*run, *keys, target, *labels)
     return out.filter(F.greatest(*[F.col(c) != "" for c in contexts]) if len(contexts) > 1 else F.col(contexts[0]) != "")
 
 

@@ -83,25 +83,11 @@ def batch_score(df: DataFrame, make_predict_fn: Callable, text_cols: Sequence[st
     return df.withColumn(out, udf(*[F.col(c) for c in text_cols]))
 
 
-def hashed_bow_model(dim: int = 2 ** 12, n_classes: int = 2, seed: int = 42) -> Callable:
-    """A deterministic stand-in model for M11 (hashed bag of words -> linear logits)."""
+def letter_model() -> Callable:
+    """A tiny model for M11 whose logits anyone can recompute: counts of the letter a, and of characters, mod 64."""
+    import numpy as np
 
-    def make():
-        import zlib
+    def predict(texts):
+        return np.array([((t or "").count("a") % 64 / 8, len(t or "") % 64 / 8) for t in texts], np.float32).reshape(-1, 2)
 
-        import numpy as np
-
-        rng = np.random.default_rng(seed)
-        w = rng.normal(0, 0.1, size=(dim, n_classes)).astype(np.float32)
-
-        def predict(texts):
-            out = np.zeros((len(texts), n_classes), dtype=np.float32)
-            for i, t in enumerate(texts):
-                idx = [zlib.crc32(tok.encode("utf-8")) % dim for tok in str(t).lower().split()]
-                if idx:
-                    out[i] = w[idx].mean(axis=0)
-            return out
-
-        return predict
-
-    return make
+    return predict

@@ -15,6 +15,13 @@ from threadlens.config import CONTEXT_NAMES, MODEL_LABEL_REPLACEMENTS, MODEL_NAM
 from threadlens.functions.common import safe_div
 
 STATS = ("median", "std", "q1", "q3")
+
+
+def run_identity(df: DataFrame, run: Sequence[str]) -> list[str]:
+    """``run`` plus the corpus and kind (hard, soft) columns that ``df`` has: those never share an average."""
+    return [c for c in ("data", "kind") if c in df.columns and c not in run] + list(run)
+
+
 #: What names a run: never filled as if it were a metric.
 RUN_KEYS = ("data", "model", "context", "context_level", "kind", "seed", "suffix", "task", "file_name")
 
@@ -27,7 +34,7 @@ def seed_average_hard(preds: DataFrame, keys: Sequence[str], run: Sequence[str]
     run file read by the reference), so no join back is needed.
     """
     pred = F.col(target + "_pred").cast("double")
-    return preds.groupBy(*keys, *run).agg(
+    return preds.groupBy(*keys, *run_identity(preds, run)).agg(
         F.max_by(F.col(target), F.col("seed")).alias(target),
         F.avg(pred).alias(target + "_pred"),
         F.avg(confidence).alias(confidence),
@@ -39,7 +46,7 @@ def seed_average_soft(preds: DataFrame, keys: Sequence[str], run: Sequence[str]
                       target: str = "stereo") -> DataFrame:
     """mean/sd over seeds of the soft prediction; hard prediction = round half to even of the mean."""
     ps = F.col(target + "_pred_soft")
-    g = preds.groupBy(*keys, *run).agg(
+    g = preds.groupBy(*keys, *run_identity(preds, run)).agg(
         F.max_by(F.col(target), F.col("seed")).alias(target),
         F.max_by(F.col(target + "_soft"), F.col("seed")).alias(target + "_soft"),
         F.avg(ps).alias(target + "_pred_soft"),
@@ -58,7 +65,7 @@ def metrics_long(metrics: DataFrame, id_cols: Sequence[str]) -> DataFrame:
 def seed_summary(metrics_long_df: DataFrame, by: Sequence[str] = ("model", "context")) -> DataFrame:
     """Per group and metric, median, sd (n-1) and linear quartiles over seeds."""
     v = F.col("value")
-    return metrics_long_df.groupBy(*by, "metric").agg(
+    return metrics_long_df.groupBy(*run_identity(metrics_long_df, by), "metric").agg(
         F.percentile(v, 0.5).alias("median"),
         F.stddev_samp(v).alias("std"),
         F.percentile(v, 0.25).alias("q1"),
@@ -74,7 +81,7 @@ def welch_test(metrics_long_df: DataFrame, by: Sequence[str] = ("model",), conte
     by key (the summary has one row per group x context x metric, tiny). The p-value needs a Student-t
     CDF, evaluated by a vectorised pandas UDF on the small summary only.
     """
-    v = F.col("value")
+    v, by = F.col("value"), run_identity(metrics_long_df, by)
     mom = metrics_long_df.groupBy(*by, context_col, "metric").agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"))
     base = mom.filter(F.col(context_col) == baseline).select(

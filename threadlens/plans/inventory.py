@@ -30,10 +30,10 @@ INVENTORY: dict[str, list[str]] = {
     "M8": ["constant_baseline"], "M9": ["weighted_random_baseline"], "M10": ["baseline_suite"], "M11": ["batch_score"],
     "E1": ["confusion"], "E2": ["metrics1"], "E3": ["accuracy_by"], "E4": ["accuracy_by_implicit_category"],
     "E5": ["confidence_stats"], "E6": ["soft_metrics"], "E7": ["symmetric_kl"], "E8": ["confidence_prf"],
-    "E9": ["bootstrap_ci"], "E10": ["hierarchical_f"], "E11": ["propensity_f"], "E12": ["icm"],
+    "E9": ["bootstrap_ci", "bootstrap_poisson"], "E10": ["hierarchical_f"], "E11": ["propensity_f"], "E12": ["icm"],
     "E13": ["hierarchical_metrics"], "E14": ["gold_upper_bound", "gold_upper_bound_hierarchical"],
     "E15": ["evaluate_runs", "task1_metrics"], "E16": ["eval_logits_hard", "eval_soft"], "E17": ["nll"],
-    "E18": ["focal_loss"], "E19": ["ece"], "E20": ["fit_temperature"],
+    "E18": ["focal_loss"], "E19": ["ece"], "E20": ["fit_temperature", "temperature_grid"],
     "C1": ["context_changes", "context_changes_from_averages"], "C2": ["context_analysis"],
     "C3": ["no_context_counts"], "C4": ["change_summary"], "C5": ["add_change_pct"],
     "C6": ["change_attribute_sums"], "C7": ["seed_convergence"],

@@ -109,6 +109,20 @@ def q_eval_soft(spark, d):
     return CAL.eval_soft(x, [], "p1", "label")
 
 
+GRID = [0.25 * k for k in range(1, 25)]
+
+
+@query("temperature_grid", views=("logits",), dbl=("nll", "temperature"), sql=f"""
+WITH t AS (SELECT unnest(range(1, 25)) * CAST(0.25 AS DOUBLE) AS temperature),
+x AS (SELECT t.temperature, l.label, z0 / temperature AS a, z1 / temperature AS b FROM logits l CROSS JOIN t),
+n AS (SELECT temperature, avg(greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))) - CASE WHEN label = 0 THEN a ELSE b END) AS nll
+  FROM x GROUP BY temperature)
+SELECT arg_min(temperature, nll) AS temperature, min(nll) AS nll FROM n""")
+def q_temperature_grid(spark, d):
+    """E20 on a grid: the NLL of every temperature in one pass, the best one by min_by."""
+    return CAL.temperature_grid(_logits(spark, d), [], "z", "label", GRID)
+
+
 @query("fit_temperature")
 def q_fit_temperature(spark, d):
     """Newton iterations (one aggregation each); no SQL oracle, checked against a brute-force grid in tests."""

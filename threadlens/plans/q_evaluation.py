@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from threadlens.operators import metrics as M
@@ -176,6 +178,37 @@ def q_gold_upper_bound(spark, d):
     return M.gold_upper_bound(g, ["data"], "stereo", contextual=True)
 
 
+def _poisson_sql() -> str:
+    total, term, steps = 0.0, math.exp(-1.0), []
+    for k in range(12):
+        total += term
+        term /= k + 1
+        steps.append(f"CAST(u >= CAST({total!r} AS DOUBLE) AS INT)")
+    return " + ".join(steps)
+
+
+_BOOT_DBL = [m + s for m in ("f1_neg", "f1_pos") for s in ("", "_min", "_max")]
+
+
+@query("bootstrap_poisson", views=("preds",), dbl=_BOOT_DBL, sql=f"""
+WITH x AS (SELECT model, context, seed, doc_id, stereo, stereo_pred, unnest(range(1, 21)) AS replicate FROM preds),
+u AS (SELECT *, CAST(('0x' || substr(md5(concat_ws('|', doc_id, model, context, seed, replicate, 42)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM x),
+w AS (SELECT *, {_poisson_sql()} AS w FROM u),
+c AS (SELECT model, context, seed, replicate,
+  sum(CASE WHEN stereo = 0 AND stereo_pred = 0 THEN w ELSE 0 END) AS TN, sum(CASE WHEN stereo = 0 AND stereo_pred = 1 THEN w ELSE 0 END) AS FP,
+  sum(CASE WHEN stereo = 1 AND stereo_pred = 0 THEN w ELSE 0 END) AS FN, sum(CASE WHEN stereo = 1 AND stereo_pred = 1 THEN w ELSE 0 END) AS TP
+  FROM w GROUP BY ALL),
+f AS (SELECT model, context, seed, {_div('2*TN', '2*TN+FP+FN')} AS f1_neg, {_div('2*TP', '2*TP+FP+FN')} AS f1_pos FROM c)
+SELECT model, context, seed, avg(f1_neg) AS f1_neg, quantile_cont(f1_neg, 0.025) AS f1_neg_min, quantile_cont(f1_neg, 0.975) AS f1_neg_max,
+  avg(f1_pos) AS f1_pos, quantile_cont(f1_pos, 0.025) AS f1_pos_min, quantile_cont(f1_pos, 0.975) AS f1_pos_max
+FROM f GROUP BY model, context, seed""")
+def q_bootstrap_poisson(spark, d):
+    """E9 with md5-Poisson weights: the checkable form of the bootstrap."""
+    from threadlens.operators.resample import bootstrap_poisson
+
+    return bootstrap_poisson(A.preds(spark, d), RUN, ["doc_id"], "stereo", n=20)
+
+
 @query("bootstrap_ci")
 def q_bootstrap_ci(spark, d):
     """Multinomial replicates of the cell counts (random by nature: rows-only check)."""

@@ -79,9 +79,28 @@ def q_welch_test(spark, d):
     return S.welch_test(run_metrics_long(spark, d), with_pvalue=False)
 
 
-@query("welch_pvalue")
+def _pvalue_sql(steps: int = 600) -> str:
+    """Two-sided p by Simpson's rule over the angle atan(t / sqrt(dof)), where the density is a power of cos."""
+    return f"""grid AS (SELECT *, unnest(range(0, {steps + 1})) AS i, atan(abs(ttest) / sqrt(dof)) AS low FROM test),
+pts AS (SELECT *, low + (pi() / 2 - low) * i / {steps} AS angle, CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM grid),
+area AS (SELECT model, context, metric, any_value(dof) AS v, (pi() / 2 - any_value(low)) / {steps} / 3
+  * sum(w * CASE WHEN cos(angle) > 1e-12 THEN pow(cos(angle), dof - 1) WHEN dof = 1 THEN 1 ELSE 0 END) AS tail FROM pts WHERE ttest IS NOT NULL GROUP BY ALL)"""
+
+
+@query("welch_pvalue", views=("preds",), dbl=("ttest", "dof", "pvalue"), sql=f"""
+WITH {RUN_METRICS_SQL},
+mom AS (SELECT model, context, metric, count(value) AS n, avg(value) AS mean, var_samp(value) AS var
+        FROM run_long GROUP BY model, context, metric),
+base AS (SELECT model, metric, n AS n_b, mean AS mean_b, var AS var_b FROM mom WHERE context = '{NO_CONTEXT}'),
+j AS (SELECT *, var / n AS a, var_b / n_b AS b FROM mom JOIN base USING (model, metric)),
+test AS (SELECT model, context, metric, CASE WHEN sqrt(a + b) <> 0 THEN (mean - mean_b) / sqrt(a + b) END AS ttest,
+  CASE WHEN (a*a/(n-1) + b*b/(n_b-1)) <> 0 THEN (a + b)*(a + b) / (a*a/(n-1) + b*b/(n_b-1)) END AS dof FROM j),
+{_pvalue_sql()}
+SELECT t.model, t.context, t.metric, t.ttest, t.dof,
+  2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi()) * tail AS pvalue
+FROM test t LEFT JOIN area a ON a.model = t.model AND a.context = t.context AND a.metric = t.metric""")
 def q_welch_pvalue(spark, d):
-    """Welch t, dof and two-sided p-value (Student-t CDF by pandas UDF on the small summary)."""
+    """Welch t, dof and two-sided p-value (Student-t tail by pandas UDF on the small summary)."""
     return S.welch_test(run_metrics_long(spark, d), with_pvalue=True)
 
 

@@ -106,9 +106,9 @@ def q_evaluate_runs(spark, d):
     return _evaluate(spark, d)
 
 
-@query("stream_evaluate")
+@query("stream_evaluate", views=("preds",), sql=_evaluate_sql())
 def q_stream_evaluate(spark, d):
-    """The run files streamed through foreachBatch; result read back from the sink (rows-only)."""
+    """The run files streamed through foreachBatch; result read back from the sink; the same rows as E15."""
     from threadlens.streaming.evaluate_stream import stream_evaluate
 
     src = write_run_files(spark, d)
