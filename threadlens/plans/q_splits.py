@@ -194,5 +194,6 @@ def q_shuffle(spark, d):
 SELECT model, context, seed, count_if(stereo = 1 AND stereo_pred = 1) AS TP FROM preds GROUP BY model, context, seed""")
 def q_concat_runs(spark, d):
     p = A.preds(spark, d)
-    parts = [p.filter(F.col("model") == m) for m in ("beto", "roberta_bne", "mbert")]
+    models = sorted(r["model"] for r in p.select("model").distinct().collect())  # one row per model
+    parts = [p.filter(F.col("model") == m) for m in models]
     return M.confusion(SP.concat_runs(parts), ["model", "context", "seed"]).select("model", "context", "seed", "TP")
