@@ -141,7 +141,7 @@ def fit_rules(train: DataFrame, trees: int = 16, depth: int = 3, lasso: float =
         return RuleModel(float(np.log(rate / (1 - rate))), ())
     applied = train.select("label", *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     applied = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(applied)
-    fitted = LogisticRegression(regParam=lasso, elasticNetParam=1.0, standardization=False, maxIter=100).fit(
+    fitted = LogisticRegression(regParam=lasso, elasticNetParam=1.0, standardization=False, maxIter=60).fit(
         applied.select("label", "features"))
     kept = [(float(w), r) for w, r in zip(fitted.coefficients.toArray(), rules) if abs(w) > 1e-9]
     return RuleModel(float(fitted.intercept), tuple(kept))
@@ -166,7 +166,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, **options
     rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
     train = rows.select("doc_id", "label", statistics_of(F.col("text")).alias("s")).select("doc_id", "label", "s.*")
     train = train.orderBy(order, "label", *STATISTICS).limit(max_train)
-    return fit_rules(shared_table(train.repartition(4, "doc_id"), "train"), **options)
+    # one partition: at most max_train short rows, for which more tasks would only cost more stages a step
+    return fit_rules(shared_table(train.coalesce(1), "train"), **options)
 
 
 def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
