@@ -22,7 +22,7 @@ INVENTORY: dict[str, list[str]] = {
     "U1": ["common_changed_items"], "U2": ["concat_runs"], "U3": ["split_group_sets"],
     "F1": ["mask"], "F2": ["split_hashtags"], "F3": ["drop_short_words"], "F4": ["squeeze_repeats"],
     "F5": ["strip_punctuation"], "F6": ["demojize"], "F7": ["squeeze_spaces"], "F8": ["preprocess"],
-    "F9": ["tokens_without_stopwords"], "F10": ["clean_corpus"], "F11": ["soft_label"], "F12": ["fill_context"],
+    "F9": ["tokens_without_stopwords", "lemmatize"], "F10": ["clean_corpus", "clean_corpus_tokens"], "F11": ["soft_label"], "F12": ["fill_context"],
     "F13": ["missing_context_report"], "F14": ["softmax_confidence", "softmax_confidence_scaled"],
     "F15": ["threshold_soft"], "F16": ["agreement"], "F17": ["pct_change_label", "add_change_pct"],
     "M1": ["candidate_group_splits"], "M2": ["score_group_splits"], "M3": ["group_disjoint_split"],
@@ -32,7 +32,7 @@ INVENTORY: dict[str, list[str]] = {
     "E5": ["confidence_stats"], "E6": ["soft_metrics"], "E7": ["symmetric_kl"], "E8": ["confidence_prf"],
     "E9": ["bootstrap_ci", "bootstrap_poisson"], "E10": ["hierarchical_f"], "E11": ["propensity_f"], "E12": ["icm"],
     "E13": ["hierarchical_metrics"], "E14": ["gold_upper_bound", "gold_upper_bound_hierarchical"],
-    "E15": ["evaluate_runs", "task1_metrics"], "E16": ["eval_logits_hard", "eval_soft"], "E17": ["nll"],
+    "E15": ["evaluate_runs", "task1_metrics", "evaluate_runs_task3"], "E16": ["eval_logits_hard", "eval_soft"], "E17": ["nll"],
     "E18": ["focal_loss"], "E19": ["ece"], "E20": ["fit_temperature", "temperature_grid"],
     "C1": ["context_changes", "context_changes_from_averages"], "C2": ["context_analysis"],
     "C3": ["no_context_counts"], "C4": ["change_summary"], "C5": ["add_change_pct"],

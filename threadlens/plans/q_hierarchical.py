@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlens.config import TOPICS
+from threadlens.operators import evaluate as EV
 from threadlens.operators import hierarchical as H
 from threadlens.plans.registry import query
 from threadlens.sources import adapters as A
@@ -18,7 +19,7 @@ def _sets(cols):
     return ["1", f"(1 - {cols[0]})", *cols]
 
 
-def hier_sql(preds=PREDS, subsets=True, contextual=True) -> str:
+def hier_sql(preds=PREDS, subsets=True, contextual=True, source="(SELECT 'r' AS run, * FROM topic_preds)") -> str:
     y, p = _sets(LABELS), _sets(preds)
     m = len(y)
     if subsets:
@@ -52,11 +53,11 @@ def hier_sql(preds=PREDS, subsets=True, contextual=True) -> str:
     icm = (f"CASE WHEN {unknown} THEN NULL ELSE "
            f"2 * {ic_set(y)} + 2 * {ic_set(p)} - 3 * {ic_set(union)} END")
     stats = ", ".join(f"sum({y[k]}) AS Nc{k}" for k in range(m))
-    return f"""x AS (SELECT *, {tag_expr} AS subset FROM topic_preds),
-st AS (SELECT subset, count(*) AS N, {stats} FROM x GROUP BY subset),
-per AS (SELECT x.subset, {icm} AS icm, {hf} AS hf, {pf} AS pf FROM x JOIN st USING (subset)),
-means AS (SELECT subset, avg(icm) AS icm, avg(hf) AS hf, avg(pf) AS pf
-  FROM per GROUP BY subset)"""
+    return f"""x AS (SELECT *, {tag_expr} AS subset FROM {source}),
+st AS (SELECT run, subset, count(*) AS N, {stats} FROM x GROUP BY run, subset),
+per AS (SELECT x.run, x.subset, {icm} AS icm, {hf} AS hf, {pf} AS pf FROM x JOIN st ON st.run = x.run AND st.subset = x.subset),
+means AS (SELECT run, subset, avg(icm) AS icm, avg(hf) AS hf, avg(pf) AS pf
+  FROM per GROUP BY run, subset)"""
 
 
 def wide_sql(subs) -> str:
@@ -64,7 +65,7 @@ def wide_sql(subs) -> str:
     for s in subs:
         for n, c in (("ICM", "icm"), ("Hierarchical-F", "hf"), ("Propensity-F", "pf")):
             cols.append(f"max(CASE WHEN subset = '{s}' THEN {c} END) AS \"{n}{s}\"")
-    return "SELECT 'r' AS run, " + ", ".join(cols) + " FROM means"
+    return "SELECT run, " + ", ".join(cols) + " FROM means GROUP BY run"
 
 
 def _df(spark, d):
@@ -102,3 +103,25 @@ def q_gold_upper_bound_hierarchical(spark, d):
     for c in LABELS:
         df = df.withColumn(c + "_pred", F.col(c))
     return H.hierarchical_metrics(df, ["run"], LABELS, split_subsets=False)
+
+
+_RUNS_SQL = "runs AS (SELECT 'base' AS run, * FROM topic_preds UNION ALL SELECT 'gold' AS run, * REPLACE (" + ", ".join(
+    f"{c} AS {c}_pred" for c in LABELS) + ") FROM topic_preds UNION ALL SELECT 'none' AS run, * REPLACE (" + ", ".join(
+    f"CAST(0 AS INT) AS {c}_pred" for c in LABELS) + ") FROM topic_preds)"
+
+
+@query("evaluate_runs_task3", views=("topic_preds",), dbl=[*_DBL, "ICM_norm"], sql=f"""
+WITH {_RUNS_SQL}, {hier_sql(source="runs")},
+w AS ({wide_sql(_SUBS)})
+SELECT *, CASE WHEN max("ICM") OVER () - min("ICM") OVER () <> 0
+  THEN ("ICM" - min("ICM") OVER ()) / (max("ICM") OVER () - min("ICM") OVER ()) END AS ICM_norm FROM w""")
+def q_evaluate_runs_task3(spark, d):
+    """E15, task 3: several runs joined with gold (J7), hierarchical metrics in all subsets, ICM_norm (A10)."""
+    t = A.topic_preds(spark, d)
+    gold = t.select("tweet_id", *LABELS, "implicit", "contextual")
+    keep = ["run", "tweet_id", "stereo", *PREDS]
+    base = t.withColumn("run", F.lit("base")).select(keep)
+    same = t.withColumns({c + "_pred": F.col(c) for c in LABELS}).withColumn("run", F.lit("gold")).select(keep)
+    none = t.withColumns({c: F.lit(0) for c in PREDS}).withColumn("run", F.lit("none")).select(keep)
+    metrics, _ = EV.evaluate_runs(base.unionByName(same).unionByName(none), gold, ["tweet_id"], ["run"], task=3, topics=TOPICS, contextual=True)
+    return metrics
