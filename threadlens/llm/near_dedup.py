@@ -173,7 +173,8 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, tens
     placed = shared_table(placed.select("id", "set_id", "of", "of_t", *unit), "units")
     wanted = placed.select("id", "set_id", "of", "of_t").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), text_bytes().alias("text"))
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("t") == F.col("of_t"))).select("id", "set_id", "text")
+    # ``wanted`` grows with the corpus, so it is never broadcast: the same plan at every size
+    texts = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("t") == F.col("of_t"))).select("id", "set_id", "text")
 
     def full(batch: pa.RecordBatch):
         import xxhash
