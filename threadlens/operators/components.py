@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     ends = write_shared(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     stars, before = ends.where("u > v"), None
-    while (now := _print(stars)) != before:
+    while (now := _print(stars)) != before and now[0]:
         before = now
         both = stars.union(stars.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
