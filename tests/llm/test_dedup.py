@@ -7,6 +7,7 @@ from helpers import SCHEMA, components, edge_docs, removed_repeats, rows, words
 from hypothesis import given, settings, strategies as st
 
 from threadlens.llm import line_spread, near_dedup, substring_dedup
+from threadlens.llm.common import WordHashes
 
 # --- op2 ---
 
@@ -166,3 +167,13 @@ def test_boilerplate_edges(spark):
     by_id = {r.doc_id: r for r in got}
     assert by_id[10].text == "line\nend" and by_id[11].text == "other\n" and by_id[12].text == "" and by_id[4].text is None
     assert line_spread.remove_boilerplate(docs.limit(0), 3).collect() == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \n\t\x0b\x1cé", max_size=60), st.sampled_from([1, 3, 10, 1 << 20]))
+def test_word_hashes(text, block):
+    raw = text.encode()
+    split, found = raw.split(), WordHashes(block).of(raw)
+    assert len(found) == len(split)
+    assert all((a == b) == (x == y) for a, x in zip(split, found) for b, y in zip(split, found))
+    assert (found == WordHashes().of(raw)).all()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import pathlib
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -79,23 +80,57 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, remembered up to a bound so that a worker's memory stays flat."""
+class WordHashes:
+    """64-bit hashes of the words of a text, without a Python object per word.
 
-    def __init__(self, limit: int = 500_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    A word's hash is the sum of a random number for each byte times a power of its place, taken over
+    the whole text at once; the power of the word's own start is divided out, so equal words have
+    equal hashes wherever they stand. Long texts go block by block, cut at white space.
+    """
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    BASE = 0x9E3779B97F4A7C15
+    SPACE = re.compile(rb"[\x09-\x0D\x20]")
+
+    def __init__(self, block: int = 1 << 20):
+        self.block = block
+        self.letters = mix64(np.arange(1, 257, dtype=np.uint64))
+        self.blank = np.zeros(256, bool)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
+        self.letters[self.blank] = 0
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if n > len(self.powers):
+            n = max(n, 2 * len(self.powers))
+            steps = np.full((2, n), self.BASE, np.uint64)
+            steps[1] = pow(self.BASE, -1, 1 << 64)
+            steps[:, 0] = 1
+            with np.errstate(over="ignore"):
+                self.powers, self.inverse = np.multiply.accumulate(steps, axis=1)
+
+    def of(self, raw: bytes) -> np.ndarray:
+        if len(raw) <= self.block:
+            return self._block(raw)
+        parts, at = [], 0
+        while at < len(raw):
+            cut = self.SPACE.search(raw, min(len(raw), at + self.block))
+            end = cut.start() if cut else len(raw)
+            parts.append(self._block(raw[at:end]))
+            at = end
+        return np.concatenate(parts)
+
+    def _block(self, raw: bytes) -> np.ndarray:
+        code = np.frombuffer(raw, np.uint8)
+        word = ~self.blank[code]
+        starts = np.flatnonzero(word[1:] & ~word[:-1]) + 1
+        if len(word) and word[0]:
+            starts = np.concatenate([[0], starts])
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        self._grow(len(code))
+        with np.errstate(over="ignore"):
+            total = np.add.reduceat(self.letters[code] * self.powers[: len(code)], starts)
+            return mix64(total * self.inverse[starts])
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:

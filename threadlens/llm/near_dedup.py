@@ -40,12 +40,12 @@ class Tensor:
 
 def shingle_set(raw: bytes, hashes: WordHashes, width: int) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a lower-cased text; the whole sequence if it is shorter."""
-    words = raw.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
+    words = hashes.of(raw.lower())
+    if not len(words):
+        return words
     if len(words) < width:
-        return mix64(window_hashes(hashes.of(words), len(words)) + np.uint64(len(words)))
-    return np.unique(window_hashes(hashes.of(words), width))
+        return mix64(window_hashes(words, len(words)) + np.uint64(len(words)))
+    return np.unique(window_hashes(words, width))
 
 
 def band_values(shingles: np.ndarray, multipliers: np.ndarray, rows: int, block: int = 8192) -> np.ndarray:

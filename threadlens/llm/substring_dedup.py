@@ -137,9 +137,9 @@ class Anchors:
         self.window, self.gram = window, gram
         self.hashes = WordHashes()
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each gram, place of the anchor of each window)."""
-        grams = window_hashes(self.hashes.of(words), self.gram)
+    def of(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each word gram, place of the anchor of each window) of a text."""
+        grams = window_hashes(self.hashes.of(raw), self.gram)
         reach = self.window - self.gram + 1
         if len(grams) < reach:
             return grams, np.empty(0, np.int64)
@@ -160,8 +160,7 @@ def anchor_table(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         find = Anchors(window, gram)
         for doc_id, t1, t2, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-            words = raw.as_py().split()
-            grams, at = find.of(words)
+            grams, at = find.of(raw.as_py())
             places = np.unique(at)
             yield doc_id, t1, t2, grams[places].astype(np.int64), places.astype(np.int32)
 
@@ -236,8 +235,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, hot: int =
     def passages(batch: pa.RecordBatch) -> Iterator[tuple]:
         find = Anchors(window, gram)
         for doc_id, t1, known, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-            words = raw.as_py().split()
-            grams, at = find.of(words)
+            raw = raw.as_py()
+            words = raw.split()
+            grams, at = find.of(raw)
             for place, a, b in runs_of(words, at, set(known), window):
                 yield int(grams[place].astype(np.int64)), b" ".join(words[a : b + window]), doc_id, t1, a
 
@@ -298,13 +298,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, hot: int =
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         find = Anchors(window, gram)
         for doc_id, copy, known, firsts, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
-            words = raw.as_py().split()
+            raw = raw.as_py()
+            words = raw.split()
             if copy:
                 yield doc_id, len(words), len(words), ""
             elif not known:
                 yield doc_id, len(words), 0, b" ".join(words).decode()
             else:
-                _, at = find.of(words)
+                _, at = find.of(raw)
                 gone = np.isin(at, np.array(known, np.int64))
                 gone[np.array(firsts or [], np.int64)] = False
                 drop = covered(len(words), np.nonzero(gone)[0], window)
