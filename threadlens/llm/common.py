@@ -7,7 +7,8 @@ import pathlib
 import re
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,11 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(spark.sparkContext.applicationId)
 
 
-def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], list[tuple] | Iterator[tuple]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function that turns one input batch into output tuples."""
+def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterable[tuple]], schema: str, at_once: int = 4096) -> DataFrame:
+    """``mapInArrow`` with a function that turns one input batch into output tuples.
+
+    Output goes back in batches of at most ``at_once`` rows, however many rows an input batch gives.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -64,8 +68,8 @@ def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], list[tuple] | Itera
 
     def run(batches):
         for batch in batches:
-            out = list(rows(batch))
-            if out:
+            found = iter(rows(batch))
+            while out := list(islice(found, at_once)):
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types)], schema=arrow)
 
