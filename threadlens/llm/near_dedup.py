@@ -240,8 +240,11 @@ def near_duplicates(docs: DataFrame, tensor: Tensor = Tensor()) -> DataFrame:
     return linked(docs, tensor).drop("t")
 
 
-def drop_near_duplicates(docs: DataFrame, tensor: Tensor = Tensor()) -> DataFrame:
-    """The rows of ``docs`` that are kept, one for each document (id and text), with their columns."""
+def drop_near_duplicates(docs: DataFrame, tensor: Tensor = Tensor(bands=14, percent=80)) -> DataFrame:
+    """The rows of ``docs`` that are kept, one for each document (id and text), with their columns.
+
+    Documents of similarity 0.8 or more are linked; two of similarity 0.8 share a key with probability 0.9999.
+    """
     kept = linked(docs, tensor).where("kept").select(F.col("doc_id").alias("of"), F.col("t").alias("of_t")).distinct()
     packed = docs.select("doc_id", F.xxhash64("text").alias("t"), F.struct(*docs.columns).alias("row"))
     packed = packed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("of")) & (F.col("t") == F.col("of_t")), "left_semi")
