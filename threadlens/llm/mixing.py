@@ -110,6 +110,9 @@ def mix_plan(docs: DataFrame, weights: Callable[[Column], Column] = repeating(),
     A source misses its target by less than its largest document, usually by a few words (by more only if all
     its documents together are too few to choose from).
 
+    Documents without words cannot change a sum: they have no part in the draw and come ``whole`` times (not at
+    all if their source has no words).
+
     The fraction of an epoch is taken in the order of a seeded hash. Digits of the hash narrow down where
     the target is reached: each level sums sizes by (source, digit) over all documents, at most 1024
     digits, until about ``group_rows`` documents are left around that point. Of those, the ones are chosen
@@ -131,10 +134,12 @@ def mix_plan(docs: DataFrame, weights: Callable[[Column], Column] = repeating(),
     state = shared_table(state.select(
         "source", "source_size", "target", "whole", F.lit(0).cast("long").alias("_low"), F.lit(1 << HASH_BITS).cast("long").alias("_high"),
         (F.col("target") - F.col("whole") * F.col("source_size")).alias("_left")), "targets")
+    # only documents with words, of sources that are not done, are drawn from
+    drawn = slim.where("size > 0")
 
     width = HASH_BITS
     while width >= DIGIT_BITS:
-        inside = slim.join(state.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")) &
+        inside = drawn.join(state.where("_left > 0").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")) &
                            (F.col("_hash") >= F.col("_low")) & (F.col("_hash") < F.col("_high")))
         crowded = inside.groupBy("_source").count().agg(F.max("count")).first()[0] or 0
         if crowded <= group_rows:
@@ -149,17 +154,19 @@ def mix_plan(docs: DataFrame, weights: Callable[[Column], Column] = repeating(),
                     .groupBy("_from").agg(F.min(F.struct("digit", (F.col("upto") - F.col("words")).alias("before"))).alias("at")))
         state = shared_table(state.join(crossing, F.col("source").eqNullSafe(F.col("_from")), "left").select(
             "source", "source_size", "target", "whole",
-            F.when(F.col("at").isNull(), F.col("_high")).otherwise(F.col("_low") + F.shiftleft(F.col("at.digit"), width)).alias("_low"),
-            F.when(F.col("at").isNull(), F.col("_high")).otherwise(F.col("_low") + F.shiftleft(F.col("at.digit") + 1, width)).alias("_high"),
+            F.when(F.col("_left") <= 0, F.col("_low")).when(F.col("at").isNull(), F.col("_high"))
+            .otherwise(F.col("_low") + F.shiftleft(F.col("at.digit"), width)).alias("_low"),
+            F.when((F.col("_left") <= 0) | F.col("at").isNull(), F.col("_high")).otherwise(F.col("_low") + F.shiftleft(F.col("at.digit") + 1, width)).alias("_high"),
             (F.col("_left") - F.coalesce(F.col("at.before"), F.lit(0))).alias("_left")), "targets")
 
-    inside = slim.join(state.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")) &
+    inside = drawn.join(state.where("_left > 0").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")) &
                        (F.col("_hash") >= F.col("_low")) & (F.col("_hash") < F.col("_high")))
     units = inside.groupBy("source", "_hash").agg(F.sum("size").alias("_size"), F.first("_left").alias("_left"))
     chosen = shared_table(units.groupBy("source").applyInPandas(fill, "source string, _hash long"), "chosen")
     chosen = chosen.select(F.col("source").alias("_cs"), F.col("_hash").alias("_ch"))
     at = state.select(F.col("source").alias("_ss"), "source_size", "target", "whole", "_low")
-    copies = F.col("whole") + (F.col("_ch").isNotNull() | (F.col("_hash") < F.col("_low"))).cast("long")
+    part = (F.col("size") > 0) & (F.col("_ch").isNotNull() | (F.col("_hash") < F.col("_low")))
+    copies = F.col("whole") + part.cast("long")
     out = (sized.join(at, F.col("source").eqNullSafe(F.col("_ss")))
            .join(chosen, F.col("source").eqNullSafe(F.col("_cs")) & (F.col("_hash") == F.col("_ch")), "left")
            .withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")))
