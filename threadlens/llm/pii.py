@@ -42,10 +42,13 @@ PHONE_TAIL = re.compile(r"[\x20().0-9-]*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 URL_REST = re.compile(r"[^\s<>\"'|\\^`{}]*")
-CUE_GAP = re.compile(r"[\s:=#.\"'-]{1,6}")
+#: Between a cue and its value: separators, and up to three plain words.
+CUE_GAP = re.compile(r"[\s:=#.\"'-]{1,6}(?:(?:is|was|are|number|no|nr|num|code|value|set|to)[\s:=#.\"'-]{1,6}){0,3}", re.I)
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
 SSN = re.compile(r"[0-9]{3}[- ]?[0-9]{2}[- ]?[0-9]{4}(?![0-9])")
 SECRET = re.compile(r"[A-Za-z0-9_./+=-]{16,}")
+PASSWORD = re.compile(r"[^\s\"'<>,;]{8,}")
 ACCOUNT = re.compile(r"[A-Z0-9](?:[ -]?[0-9]){5,19}(?![0-9])")
 
 
@@ -102,6 +105,26 @@ def expand_url(text: str, at: int, size: int) -> tuple[int, int] | None:
     return (at, end) if end > at + size and text[at + size : end][0] not in "/?#" else None
 
 
+def expand_iban(text: str, at: int, whole: bool = False) -> tuple[int, int] | None:
+    """The longest form at ``at`` that passes the check digits; if ``whole``, one that ends with its word."""
+    m = IBAN.match(text, at)
+    while m:
+        body = m[0].replace(" ", "")
+        if int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1 and not (whole and text[m.end() : m.end() + 1].isalnum()):
+            return m.span()
+        m = IBAN.match(text, at, m.end() - 1)
+    return None
+
+
+def expand_password(text: str, at: int, assigned: bool) -> tuple[int, int] | None:
+    """Eight characters or more; behind plain words only (not ``assigned``), not all of them letters."""
+    m = PASSWORD.match(text, at)
+    if not m:
+        return None
+    value = m[0].rstrip(".:!?)]}")
+    return (at, at + len(value)) if len(value) >= 8 and (assigned or not value.replace("-", "").isalpha()) else None
+
+
 def expand_cue(kind: str, text: str, end: int) -> tuple[int, int] | None:
     """The identifier that follows a cue ending at ``end``."""
     gap = CUE_GAP.match(text, end)
@@ -109,19 +132,16 @@ def expand_cue(kind: str, text: str, end: int) -> tuple[int, int] | None:
         return None
     at = gap.end()
     if kind == "iban":
-        m = IBAN.match(text, at)
-        while m:  # the longest form that passes the check digits
-            body = m[0].replace(" ", "")
-            if int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1:
-                return m.span()
-            m = IBAN.match(text, at, m.end() - 1)
-        return None
+        return expand_iban(text, at)
     if kind == "ssn":
         m = SSN.match(text, at)
         return m.span() if m and m[0][:3] not in ("000", "666") and m[0][0] != "9" else None
     if kind == "secret":
         m = SECRET.match(text, at)
-        return m.span() if m and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) else None
+        if m and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+            return m.span()
+        named = text[max(0, end - 8) : end].lower().endswith(("password", "passwd"))
+        return expand_password(text, at, any(c in ":=" for c in gap[0])) if named else None
     m = ACCOUNT.match(text, at)
     return m.span() if m else None
 
@@ -153,6 +173,12 @@ def spans_of(text: str) -> dict[str, list[tuple[int, int]]]:
             add(kind, expand_url(text, at, size))
         else:
             add(kind, expand_cue(kind, text, last + 1))
+    # IBANs need no cue: the check digits decide
+    cued = dict(out["iban"])
+    out["iban"], floor["iban"] = [], 0
+    for at in sorted(cued.keys() | {m.start() for m in IBAN_START.finditer(text)}):
+        if at >= floor["iban"]:
+            add("iban", (at, cued[at]) if at in cued else expand_iban(text, at, whole=True))
     for m in DOTTED.finditer(text):
         add("ip", m.span(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")))
     for m in CARD.finditer(text):
