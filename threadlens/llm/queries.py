@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from threadlens.llm.common import read_table
 from threadlens.llm.compression import compression_rules
+from threadlens.llm.divergence import divergences
 from threadlens.llm.line_spread import remove_boilerplate
 from threadlens.llm.mixing import mix_plan
 from threadlens.llm.near_dedup import near_duplicates
+from threadlens.llm.part_codes import books_digest, compress
 from threadlens.llm.pii import find_personal_data
 from threadlens.llm.piece_bpe import Codec, encode_decode
 from threadlens.llm.rule_ensemble import quality_scores
@@ -158,3 +160,100 @@ def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(read_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op12_part_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress(read_table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+def _part_trie_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds written out: distances of all parts to all entries, least first, then floored means."""
+    at = ", ".join(f"({i})" for i in range(parts))
+    sql = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT r, vec_id, pos, e[pos * (len(e) // {parts}) + 1 : (pos + 1) * (len(e) // {parts})] AS part
+  FROM v CROSS JOIN (VALUES {at}) AS t(pos)
+), c0 AS MATERIALIZED (
+  SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS entry, part FROM p
+  QUALIFY entry < {entries}
+)"""
+    for k in range(rounds + 1):
+        sql += f""", a{k} AS MATERIALIZED (
+  SELECT p.r, p.pos, min((list_inner_product(p.part, p.part) - 2 * list_inner_product(p.part, c.part)
+                          + list_inner_product(c.part, c.part))::BIGINT * {entries} + c.entry) AS best
+  FROM p JOIN c{k} AS c ON p.pos = c.pos GROUP BY p.r, p.pos
+)"""
+        if k < rounds:
+            sql += f""", s{k} AS (
+  SELECT pos, best % {entries} AS entry, generate_subscripts(part, 1) AS i, unnest(part) AS x FROM a{k} JOIN p USING (r, pos)
+), m{k} AS (
+  SELECT pos, entry, list(x ORDER BY i) AS part
+  FROM (SELECT pos, entry, i, floor(sum(x) / count(*)) AS x FROM s{k} GROUP BY pos, entry, i) GROUP BY pos, entry
+), c{k + 1} AS MATERIALIZED (
+  SELECT c.pos, c.entry, coalesce(m.part, c.part) AS part FROM c{k} AS c LEFT JOIN m{k} AS m ON c.pos = m.pos AND c.entry = m.entry
+)"""
+    return sql + f""", coded AS (
+  SELECT r, string_agg(printf('%02x', best % {entries}), '' ORDER BY pos) AS code, sum(best // {entries})::BIGINT AS error
+  FROM a{rounds} GROUP BY r
+), books AS (
+  SELECT string_agg(x::BIGINT::VARCHAR, ',' ORDER BY pos, entry, i) AS books
+  FROM (SELECT pos, entry, generate_subscripts(part, 1) AS i, unnest(part) AS x FROM c{rounds})
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(books) FROM books) AS codebooks_sha256
+FROM coded JOIN v USING (r)
+"""
+
+
+SQL["op12_part_trie"] = _part_trie_sql()
+
+
+@query
+def op13_segment_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op13_segment_trees"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), f AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n
+  FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND kept.term = c.term
+), p AS MATERIALIZED (
+  SELECT *, (1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)))::BIGINT AS p
+  FROM f
+), w AS (
+  SELECT lang, term, sum(n) AS n FROM f GROUP BY lang, term
+), q AS (
+  SELECT lang, term, (1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)))::BIGINT AS q FROM w
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), named AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+), terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q) * (p - q) // q AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q
+)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM (SELECT * FROM named UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 200
+"""
