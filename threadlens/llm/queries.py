@@ -18,6 +18,7 @@ from threadlens.llm.pii import find_personal_data
 from threadlens.llm.piece_bpe import Codec, encode_decode
 from threadlens.llm.rule_ensemble import quality_scores
 from threadlens.llm.substring_dedup import digests, remove_repeats
+from threadlens.llm.suffix_tree import tree_scores
 from threadlens.llm.topk import top_k
 from threadlens.llm.warc import round_trip
 
@@ -257,3 +258,9 @@ SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, so
 FROM (SELECT * FROM named UNION ALL SELECT * FROM terms)
 QUALIFY part = 'pair' OR rank <= 200
 """
+
+
+@query
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    return tree_scores(read_table(spark, sf_dir, "documents"), held_out)
