@@ -39,7 +39,7 @@ def test_stages(spark):
     assert all(r.n_chars == len(r.text) for r in after.collect())
 
     before, after = after, step(stages[2], after)
-    groups = components([(r.doc_id, r.text) for r in before.collect()])
+    groups = components([(r.doc_id, r.text) for r in before.collect()], percent=80)
     assert after.columns == columns and sorted(r.doc_id for r in after.collect()) == sorted(i for i, (_, c) in groups.items() if i == c)
 
     before, after = after, step(stages[3], after)

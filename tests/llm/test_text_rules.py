@@ -29,11 +29,11 @@ def base_by_hand(text):
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
     count = collections.Counter(grams)
     hit = {i + k for i, g in enumerate(grams) if count[g] > 1 for k in range(5)}
-    return len(w), sum(map(len, w)), sum(c in "[#*$%&|<>]" for c in text), dup, len(hit)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(hit)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab \n\t\x0b\x1cé #|[", max_size=120))
+@given(st.text(alphabet="ab \n\t\x0b\x1cé #|[]", max_size=120))
 def test_base_statistics(text):
     assert compression.base_statistics(text.encode()) == base_by_hand(text)
 
@@ -107,7 +107,7 @@ def base_by_pattern(text):
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
         out["email"].append(m.span())
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out["ip"].append(m.span())
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = re.sub(r"[^0-9]", "", m[0])
@@ -120,6 +120,22 @@ def base_by_pattern(text):
     return [out[k] for k in pii.BASE_KINDS]
 
 
+def test_very_long_numbers(spark):
+    """10,000 digits in every base kind: no part is read as a number before its length is known."""
+    zeros, ones = "0" * 10_000, "1" * 10_000
+    texts = [f"x {zeros}1.1.1.1 y", f"{ones}.1.1.1", f"1.1.1.{zeros}9", ones, f"+{ones}", f"+1 {zeros}", f"a@{ones}.{zeros}", f"IBAN GB82{ones}", f"ssn {ones}"]
+    for t in texts:
+        found = pii.spans_of(t)
+        assert [found[k] for k in pii.BASE_KINDS] == base_by_pattern(t)
+    df = spark.createDataFrame(rows(*[(i, t, "a") for i, t in enumerate(texts)]), SCHEMA)
+    got = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    assert got[0].n_ip == got[2].n_ip == 1 and got[1].n_ip == 0 and all(r.n_spans >= r.n_more for r in got.values())
+
+
+def test_brackets_are_no_symbols():
+    assert compression.base_statistics(b"a [b] c #")[2] == 1
+
+
 @settings(max_examples=600, deadline=None)
 @given(st.lists(st.sampled_from(["a", "@", ".", "-", "+", " ", "b.c", "1", "12", "255", "300", "1.2.3.4", "é", "İ", "4111 1111 1111 1111",
                                  "+1 (974) 555-3436", "x@y.z", "@@", "..", "(", "٣", "\n", "%", "+1"]), max_size=24))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from threadlens.llm.common import map_rows, mix64, text_bytes
 
-SYMBOLS = b"[#*$%&|<>]"
+SYMBOLS = b"#*$%&|<>"
 
 
 @dataclass(frozen=True)

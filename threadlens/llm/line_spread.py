@@ -56,10 +56,17 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, **options) -> DataF
     empty, blank lines stay where they are, every copy of a line goes. Null sources do not count as sites.
     Null ids and repeated rows are fine; an empty table gives an empty result.
 
-    Only hashes of lines are shuffled. The places to remove come back per document (id and text hash), so no
-    key gathers more than one document's lines.
+    Lines are counted by their hashes, and the places to remove come back per document (id and text hash), so no
+    key gathers more than one document's lines; documents are shuffled once to meet them, with their texts. A
+    line on very many documents is one hot key of the join with the boilerplate keys, which AQE splits.
     """
-    docs = docs.drop("n_lines", "n_removed")
+    out = cleaned_lines(docs, min_sites, **options)
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], "n_lines", "n_removed")
+
+
+def cleaned_lines(docs: DataFrame, min_sites: int = 10, **options) -> DataFrame:
+    """row (the columns of ``docs``, cleaned), n_lines, n_removed: see ``remove_boilerplate``."""
     lines = shared_table(line_table(docs), "lines")
     bad = boilerplate_lines(lines, min_sites, **options)
     places = (lines.join(bad, ["k1", "k2"], "left_semi").groupBy("doc_id", "t1", "t2")
@@ -69,8 +76,11 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, **options) -> DataF
                         F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2"))
     found = whole.join(places, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("t1") == F.col("of1")) & (F.col("t2") == F.col("of2")), "left")
     split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("places", i)), "\n")
+    # the lines are bound once; the places that stay are found by hash, so the cost follows the lines of a text
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
+    kept = F.transform(F.array(split), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))[0]
+    cleaned = F.when(F.col("places").isNull(), F.col("text")).otherwise(kept)
     return found.select(
-        *[F.when(F.col("places").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
+        F.col("row").withField("text", cleaned).alias("row"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(split, has_text))).cast("long").alias("n_lines"),
         F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"))

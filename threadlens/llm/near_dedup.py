@@ -98,57 +98,79 @@ def candidate_groups(classes: DataFrame, tensor: Tensor) -> DataFrame:
     return connected_components(stars, "id", "centre").select(F.col("node").alias("id"), F.col("component").alias("grp"))
 
 
+class Forest:
+    """Union-find over the documents of a unit; ``links`` are the pairs that joined two trees."""
+
+    def __init__(self, n: int):
+        self.of, self.links = np.arange(n), []
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.of[a], self.of[b]
+        if x != y:
+            self.of[self.of == max(x, y)] = min(x, y)
+            self.links.append((a, b))
+
+
+def follow_leaders(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent: int, forest: Forest, share: int = 16) -> None:
+    """Join documents to leaders: the largest document that is still alone against all others that are.
+
+    It goes on while a leader finds at least one in ``share`` of them; large groups of near copies are then done.
+    """
+    while True:
+        alone = np.bincount(forest.of, minlength=len(sizes))[forest.of] == 1
+        waiting = np.flatnonzero(alone)
+        if len(waiting) < 2:
+            return
+        leader = waiting[sizes[waiting].argmax()]
+        own = flat[starts[leader] : starts[leader] + sizes[leader]]
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        overlap = np.add.reduceat((own[at] == flat).astype(np.int64), starts)[waiting]
+        near = waiting[100 * overlap >= percent * (sizes[waiting] + sizes[leader] - overlap)]
+        for d in near[near != leader].tolist():
+            forest.join(leader, d)
+        if len(near) < 2 or share * len(near) < len(waiting):
+            return
+
+
 def links_within(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect what is similar among ``sets``: a spanning forest of the similarity graph.
 
-    Overlaps come from an inverted index over the full sets, so every pair that shares a shingle is judged
-    by its exact intersection and union.
+    Leaders come first. Then every two documents of different trees whose sizes allow the similarity are judged by their
+    exact overlap if they share one of their rarest shingles: of two sets similar enough, each has to hold a common one among its
+    n - ceil(n * percent / 100) + 1 rarest. Pairs within a tree are not judged, as they could not connect more.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(sizes, kind="stable")
-    owner = np.repeat(np.arange(len(sets)), sizes[order])
-    flat = np.concatenate([sets[i] for i in order])
-    by_shingle = np.argsort(flat, kind="stable")
-    flat, owner = flat[by_shingle], owner[by_shingle]
-    _, start, count = np.unique(flat, return_index=True, return_counts=True)
-    multiple = count > 1
-    start, count = start[multiple], count[multiple]
-    # the shared shingles by document
-    runs = np.repeat(np.arange(len(start)), count)
-    places = np.concatenate([np.arange(s, s + c) for s, c in zip(start, count)]) if len(start) else np.empty(0, np.int64)
-    docs = owner[places]
-    by_doc = np.argsort(docs, kind="stable")
-    bounds = np.searchsorted(docs[by_doc], np.arange(len(sets) + 1))
-    parent = np.arange(len(sets))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    out, sorted_sizes = [], sizes[order]
-    for d in range(len(sets)):
-        mine = runs[by_doc[bounds[d] : bounds[d + 1]]]
-        if not len(mine):
+    forest = Forest(len(sets))
+    if not len(sets):
+        return []
+    starts = np.cumsum(sizes) - sizes
+    flat = np.concatenate(sets)
+    follow_leaders(flat, starts, sizes, percent, forest)
+    _, number, often = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    by_rarity = np.lexsort((number, often[number], owner))
+    place = np.arange(len(flat)) - starts[owner]  # by_rarity keeps the owners in order
+    rare = by_rarity[place < sizes[owner] + (-percent * sizes[owner] // 100) + 1]
+    rare = rare[often[number[rare]] > 1]
+    rare = rare[np.lexsort((sizes[owner[rare]], number[rare]))]  # postings of rare shingles, small documents first
+    holder, shingle = owner[rare], number[rare]
+    first = np.searchsorted(shingle, np.arange(len(often) + 1))
+    mine = np.argsort(holder, kind="stable")
+    bounds = np.searchsorted(holder[mine], np.arange(len(sets) + 1))
+    for d in np.argsort(sizes, kind="stable").tolist():
+        held = shingle[mine[bounds[d] : bounds[d + 1]]]
+        if not len(held):
             continue
-        s, c = start[mine], count[mine]
-        # concatenated posting lists of this document's shared shingles
-        steps = np.ones(int(c.sum()), np.int64)
-        steps[0] = s[0]
-        ends = np.cumsum(c)[:-1]
-        steps[ends] = s[1:] - (s[:-1] + c[:-1] - 1)
-        others = owner[np.cumsum(steps)]
-        if len(others) > len(sets):
-            overlap = np.bincount(others, minlength=len(sets))
-            others = np.nonzero(overlap[:d])[0]
-            overlap = overlap[others]
-        else:  # many small sets: the cost follows the shared shingles, not the number of sets
-            others, overlap = np.unique(others[others < d], return_counts=True)
-        for e in others[100 * overlap >= percent * (sorted_sizes[others] + sorted_sizes[d] - overlap)]:
-            if (x := root(int(e))) != (y := root(d)):
-                parent[x] = y
-                out.append((int(ids[order[e]]), int(ids[order[d]])))
-    return out
+        others = np.unique(np.concatenate([holder[first[h] : first[h + 1]] for h in held.tolist()]))
+        fits = (100 * sizes[others] >= percent * sizes[d]) & (sizes[others] <= sizes[d]) & (forest.of[others] != forest.of[d])
+        for o in others[fits].tolist():
+            if forest.of[o] == forest.of[d]:  # joined meanwhile
+                continue
+            at = np.minimum(np.searchsorted(sets[d], sets[o]), len(sets[d]) - 1)
+            overlap = int((sets[d][at] == sets[o]).sum())
+            if 100 * overlap >= percent * (sizes[d] + sizes[o] - overlap):
+                forest.join(o, d)
+    return [(int(ids[a]), int(ids[b])) for a, b in forest.links]
 
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, tensor: Tensor) -> DataFrame:

@@ -180,7 +180,8 @@ def spans_of(text: str) -> dict[str, list[tuple[int, int]]]:
         if at >= floor["iban"]:
             add("iban", (at, cued[at]) if at in cued else expand_iban(text, at, whole=True))
     for m in DOTTED.finditer(text):
-        add("ip", m.span(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")))
+        parts = [p.lstrip("0") for p in m[0].split(".")]  # a part may be longer than int() reads
+        add("ip", m.span(), all(len(p) <= 3 and int(p or 0) <= 255 for p in parts))
     for m in CARD.finditer(text):
         if 12 <= m.end() - m.start():
             digits = m[0].replace(" ", "").replace("-", "")
@@ -211,20 +212,20 @@ def _texts(docs: DataFrame) -> DataFrame:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Find personal data in every whole text (columns doc_id, text; others are ignored).
 
-    Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more: one row for each input row.
+    Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more (added kinds), n_spans (all): one row for each input row.
     A null text counts as empty: no spans, the hash of the empty string. Null ids and repeated rows
     pass through; an empty table gives an empty result. Spans of one kind never overlap (leftmost first);
     spans of different kinds may. Rows are judged alone: no shuffle, no hot key.
     """
     schema = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
-              "n_more long")
+              "n_more long, n_spans long")
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             found = spans_of(text.as_py())
             digest = hashlib.sha256(joined(found, BASE_KINDS).encode()).hexdigest()
             yield (doc_id, *(len(found[k]) for k in BASE_KINDS), digest, joined(found, KINDS),
-                   sum(len(found[k]) for k in MORE_KINDS))
+                   sum(len(found[k]) for k in MORE_KINDS), sum(len(found[k]) for k in KINDS))
 
     return map_rows(_texts(docs), rows, schema)
 
