@@ -2,11 +2,16 @@
 
 In a large-star round every node hands its larger neighbours to the smallest node that it knows, in a
 small-star round its smaller ones. Both hook whole stars at once, so long chains fold up in a few rounds
-whatever the order of their ids. The loop ends when a round changes nothing; there is no cap.
+whatever the order of their ids. The loop ends when a round changes nothing; there is no cap. A star table of
+at most ``small`` rows, at the start or after some rounds, is finished by one task of bounded memory, as
+rounds over few rows cost their fixed price only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +23,24 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _finished(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(u, v) with v the smallest node that u is connected to, for all u of a bounded table."""
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist()):
+            u, v = root(u), root(v)
+            parent[max(u, v)] = min(u, v)
+    nodes = [u for u in parent if root(u) != u]
+    yield pd.DataFrame({"u": nodes, "v": [root(u) for u in nodes]})
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: int = 1 << 18) -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 
     Rows with a null end are ignored; an edge from a node to itself makes it a node. Each round is two
@@ -29,6 +51,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ends = write_shared(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     stars, before = ends.where("u > v"), None
     while (now := _print(stars)) != before and now[0]:
+        if now[0] <= small:
+            stars = write_shared(stars.coalesce(1).mapInPandas(_finished, stars.schema), "components")
+            break
         before = now
         both = stars.union(stars.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
