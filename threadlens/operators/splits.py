@@ -1,14 +1,14 @@
 """Label distributions and group-disjoint / stratified splits.
 
 Row-level work is one pre-aggregation per group; the combinatorial split search runs on the small
-group table, with the candidate frontier as a distributed DataFrame (no driver recursion).
+group table, with the sets of groups as distributed rows (no driver recursion).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions.common import md5_uniform, place_in_order
@@ -67,39 +67,134 @@ def ordered_groups(sizes: DataFrame, group: str, exclude_smallest: int = 0) -> D
     return ranked.where(F.col("rank") > exclude_smallest).withColumn("rank", F.col("rank") - F.lit(exclude_smallest))
 
 
-def candidate_group_splits(groups: DataFrame, group: str, ratio: float, eps: float, nested_eps: float = 0.02) -> DataFrame:
+def share_bounds(full: int, ratio: float, eps: float) -> tuple[int, int]:
+    """(least, most): the whole sizes whose share of ``full`` is at least ``ratio`` and at most ``ratio + eps``, as doubles compare."""
+    least, most = int(ratio * full), int((ratio + eps) * full)
+    while least > 0 and (least - 1) / full >= ratio:
+        least -= 1
+    while least / full < ratio:
+        least += 1
+    while (most + 1) / full <= ratio + eps:
+        most += 1
+    while most >= 0 and most / full > ratio + eps:
+        most -= 1
+    return least, most
+
+
+def subset_sums(spark: SparkSession, sizes: Sequence[int], most: int, block: int = 8) -> DataFrame:
+    """(mask, sz, last) of every subset of ``sizes`` with a sum of at most ``most``: bits of its members, sum, size of its last member.
+
+    A block of sizes at a time: sets are exploded by the block's own subsets and those above ``most`` go at
+    once, so the work follows the sets that are left, in one narrow plan that is dealt over the cores once it has rows.
+    """
+    out = spark.range(1).select(*[F.lit(0).cast("long").alias(c) for c in ("mask", "sz", "last")])
+    for start in range(0, len(sizes), block):
+        part = [int(x) for x in sizes[start : start + block]]
+        sums = [sum(x for i, x in enumerate(part) if m >> i & 1) for m in range(1 << len(part))]
+        lasts = [part[m.bit_length() - 1] if m else 0 for m in range(1 << len(part))]
+        array = lambda xs: F.expr("array(" + ",".join(f"{x}L" for x in xs) + ")")
+        grown = out.select("mask", "sz", "last", F.posexplode(array(sums)).alias("own", "more")).where(F.col("sz") + F.col("more") <= most)
+        out = grown.select(F.col("mask").bitwiseOR(F.shiftleft(F.col("own").cast("long"), start)).alias("mask"), (F.col("sz") + F.col("more")).alias("sz"),
+                           F.when(F.col("own") > 0, F.element_at(array(lasts), F.col("own") + 1)).otherwise(F.col("last")).alias("last"))
+        if start == block:
+            out = out.repartition(spark.sparkContext.defaultParallelism)
+    return out
+
+
+def middle(sizes: Sequence[int], most: int, bins: int = 512) -> int:
+    """Where to cut ``sizes`` so that both parts have about equally many subsets of at most ``most`` (estimated on a coarse scale)."""
+
+    def counts(xs: Sequence[int]) -> list[float]:
+        held = [1.0] + [0.0] * bins
+        out = [1.0]
+        for x in xs:
+            step = round(x * bins / max(1, most))
+            held = [h + (held[i - step] if i >= step else 0.0) for i, h in enumerate(held)]
+            out.append(sum(held))
+        return out
+
+    below, above = counts(sizes), counts(sizes[::-1])[::-1]
+    return min(range(len(sizes) + 1), key=lambda h: max(below[h], above[h]))
+
+
+def meet_in_the_middle(spark: SparkSession, sizes: Sequence[int], ids: Sequence, kind: str, least: int, most: int, most_alone: int) -> DataFrame:
+    """(members, sz) of all sets that pass ``least`` with their last member and stay at most ``most`` (sets of one: ``most_alone``).
+
+    The sets of the later part say which sums of the earlier part complete them: a short range, joined by the
+    bins that it touches.
+    """
+    top = max(most, most_alone)
+    cut = min(max(middle(sizes, top), len(sizes) - 62), 62)
+    low, high = subset_sums(spark, sizes[:cut], top), subset_sums(spark, sizes[cut:], top)
+    reach = sum(sizes[:cut])
+    width = max(1, top - least + 1)
+    start = F.greatest(F.lit(0), F.lit(least) - F.col("sz"))
+    end = F.least(F.lit(top) - F.col("sz"), F.lit(least - 1) - F.col("sz") + F.col("last"))  # without the last member: below ``least``
+    high = high.where(F.col("mask") != 0).select(F.col("mask").alias("upper"), F.col("sz").alias("above"), start.alias("start"), end.alias("end"))
+    high = high.where((F.col("start") <= F.col("end")) & (F.col("start") <= reach))
+    high = high.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+    both = low.select("mask", "sz", F.floor(F.col("sz") / width).alias("bin")).join(high, "bin").where((F.col("sz") >= F.col("start")) & (F.col("sz") <= F.col("end")))
+    found = both.select("mask", "upper", (F.col("sz") + F.col("above")).alias("sz")).unionByName(
+        low.where((F.col("sz") >= least) & (F.col("sz") - F.col("last") < least)).select("mask", F.lit(0).cast("long").alias("upper"), "sz"))
+    alone = F.bit_count("mask") + F.bit_count("upper") == 1
+    found = found.where(F.col("sz") <= F.when(alone, most_alone).otherwise(most))
+
+    def members(mask: Column, part: Sequence) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.lit(len(part) - 1)), lambda i: F.call_function("getbit", mask, i) == 1) if len(part) else F.array().cast("array<int>")
+        return F.transform(at, lambda i: F.element_at(F.array(*[F.lit(x).cast(kind) for x in part]), i + 1)) if len(part) else F.array().cast(f"array<{kind}>")
+
+    return found.select(F.concat(members(F.col("mask"), ids[:cut]), members(F.col("upper"), ids[cut:])).alias("members"), "sz")
+
+
+def candidate_group_splits(groups: DataFrame, group: str, ratio: float, eps: float, nested_eps: float = 0.02, most_groups: int = 124) -> DataFrame:
     """M1: every set of groups, in listing order, whose share first reaches ``ratio`` with its last member.
 
     ``share(without last) < ratio <= share(all) <= ratio + e`` with ``e = eps`` for single groups and
-    ``nested_eps`` deeper (the reference's recursion default). Shares are relative to the listed groups.
-    The frontier (sets still below ``ratio``) is a DataFrame; each round expands it by the later ranks
-    generated with ``sequence`` and joined by rank (equi-join with the small group table, broadcast
-    behind a bound), checkpointed; the search stops when the frontier is empty.
+    ``nested_eps`` deeper (the reference's recursion default). Shares are relative to the listed groups. Groups too large for
+    any set are left out first. Up to ``most_groups`` of them, the search is a join of the subsets of two halves (half the
+    exponent in the number of groups); beyond, sets grow by one group a round, and only those that can still arrive are kept:
+    what comes later has to suffice, and the next group has to fit. The result itself may be exponential.
     """
+    spark = groups.sparkSession
     g = write_shared(groups.select("rank", F.col(group).alias("gid"), F.col("size").cast("long").alias("gsize")), "groups")
-    n, full = g.agg(F.count("*"), F.sum("gsize")).first()
-    gb = maybe_broadcast(g)
-    share = F.col("sz") / F.lit(float(full))
-    first = gb.select(F.array(F.col("gid")).alias("members"), F.col("rank").alias("last"), F.col("gsize").alias("sz"),
-                      F.lit(1).alias("depth"))
+    full = g.agg(F.sum("gsize")).first()[0] or 0
+    if full:
+        (least, most), (_, most_alone) = share_bounds(full, ratio, nested_eps), share_bounds(full, ratio, eps)
+        fit = g.where(F.col("gsize") <= max(most, most_alone))
+        few = fit.orderBy("rank").limit(most_groups + 1).collect()  # at most ``most_groups`` + 1 rows
+        if len(few) <= most_groups:
+            out = meet_in_the_middle(spark, [r.gsize for r in few], [r.gid for r in few], g.schema["gid"].dataType.simpleString(), least, most, most_alone)
+        else:
+            out = growing_sets(fit, least, most, most_alone)
+    else:
+        out = g.select(F.array("gid").alias("members"), F.col("gsize").alias("sz")).limit(0)
+    return out.select(F.array_join(F.col("members").cast("array<string>"), ",").alias("candidate"), "members",
+                      F.col("sz").alias("size"), (F.col("sz") / F.lit(float(full))).alias("share"))
+
+
+def growing_sets(fit: DataFrame, least: int, most: int, most_alone: int) -> DataFrame:
+    """(members, sz) like ``meet_in_the_middle`` for any number of groups: one join by rank a round, each round written."""
+    order = Window.orderBy("rank")  # the group table only
+    g = write_shared(fit.select(F.row_number().over(order).alias("rank"), "gid", "gsize", F.coalesce(F.lead("gsize").over(order), F.lit(most + 1)).alias("next"),
+                                (F.sum("gsize").over(Window.partitionBy()) - F.sum("gsize").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("later")), "groups")
+    n, gb = g.count(), maybe_broadcast(g)
+    frontier = gb.select(F.array("gid").alias("members"), F.col("rank").alias("last"), F.col("gsize").alias("sz"), F.lit(1).alias("depth"), "next", "later")
     results = []
-    frontier = first
     while True:
-        e = F.when(F.col("depth") == 1, F.lit(eps)).otherwise(F.lit(nested_eps))
-        hit = frontier.filter((share >= ratio) & (share <= F.lit(ratio) + e))
-        results.append(hit.select("members", "sz"))
-        below = write_shared(frontier.filter(share < ratio), "frontier")
-        if below.isEmpty():
+        limit = F.when(F.col("depth") == 1, F.lit(most_alone)).otherwise(F.lit(most))
+        frontier = write_shared(frontier, "frontier")
+        results.append(frontier.where((F.col("sz") >= least) & (F.col("sz") <= limit)).select("members", "sz"))
+        open_sets = frontier.where((F.col("sz") < least) & (F.col("sz") + F.col("later") >= least) & (F.col("sz") + F.col("next") <= most))
+        if open_sets.isEmpty():
             break
-        nxt = below.select("members", "sz", "depth", F.explode(F.sequence(F.col("last") + 1, F.lit(n))).alias("rank"))
-        nxt = nxt.filter(F.col("rank") <= n).join(gb, "rank")
-        frontier = nxt.select(F.concat("members", F.array(F.col("gid"))).alias("members"), F.col("rank").alias("last"),
-                              (F.col("sz") + F.col("gsize")).alias("sz"), (F.col("depth") + 1).alias("depth"))
+        nxt = open_sets.select("members", "sz", "depth", F.explode(F.sequence(F.col("last") + 1, F.lit(n))).alias("rank")).join(gb, "rank")
+        frontier = nxt.where(F.col("sz") + F.col("gsize") <= most).select(
+            F.concat("members", F.array("gid")).alias("members"), F.col("rank").alias("last"), (F.col("sz") + F.col("gsize")).alias("sz"),
+            (F.col("depth") + 1).alias("depth"), "next", "later")
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
-    return out.select(F.array_join(F.col("members").cast("array<string>"), ",").alias("candidate"), "members",
-                      F.col("sz").alias("size"), (F.col("sz") / F.lit(float(full))).alias("share"))
+    return out
 
 
 def group_label_sums(df: DataFrame, group: str, labels: Sequence[str]) -> DataFrame:
