@@ -108,12 +108,12 @@ def q_evaluate_runs(spark, d):
 
 @query("stream_evaluate", views=("preds",), sql=_evaluate_sql())
 def q_stream_evaluate(spark, d):
-    """The run files streamed through foreachBatch; result read back from the sink; the same rows as E15."""
-    from threadlens.streaming.evaluate_stream import stream_evaluate
+    """The run files streamed with the key check, micro-batches merged from the sink; the same rows as E15."""
+    from threadlens.streaming.evaluate_stream import stream_evaluate, stream_metrics
 
     src = write_run_files(spark, d)
     out, ck = scratch(spark, "stream-out"), scratch(spark, "stream-ck")
     q = stream_evaluate(spark, src, RUN_SCHEMA + ", file_name string", A.gold(spark, d), ["doc_id"], out, ck,
                         contextual=True)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return stream_metrics(spark, out, contextual=True)
