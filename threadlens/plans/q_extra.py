@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import time
+import datetime
 
 from pyspark.sql import functions as F
 
+from threadlens.config import ANALYSIS_THRESHOLD, TOPICS
 from threadlens.operators import changes as C
 from threadlens.operators import context as X
 from threadlens.operators import evaluate as EV
 from threadlens.operators import metrics as M
 from threadlens.operators import seeds as S
 from threadlens.operators import splits as SP
+from threadlens.plans.q_changes import CTX, changes_sql
 from threadlens.plans.q_evaluation import CELLS_SQL
 from threadlens.plans.q_sources import RUN_SCHEMA, run_file_names, scratch
 from threadlens.plans.registry import query
@@ -23,6 +25,15 @@ CORPUS_SCHEMA = ("comment_id long, sentence_pos int, reply_to long, file_id stri
                  "implicit int, stereotype_a1 int, stereotype_a2 int, stereotype_a3 int")
 
 
+def set_file_times(spark, folder: str, when: datetime.datetime) -> None:
+    """Give all files below ``folder`` one modification time."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = store.listFiles(path, True)
+    while files.hasNext():
+        store.setTimes(files.next().getPath(), int(when.timestamp() * 1000), -1)
+
+
 @query("read_corpus", views=("corpus",), sql="SELECT * FROM corpus")
 def q_read_corpus(spark, d):
     """The sentence corpus written as CSV (multi-line texts) and read back with its declared schema."""
@@ -55,12 +66,13 @@ SELECT model, context, seed, ROUND(CASE WHEN 2*TP+FP+FN > 0 THEN 2.0*TP/(2*TP+FP
   ROUND(CASE WHEN (TP+FP)*(TP+FN)*(TN+FP)*(TN+FN) > 0 THEN (CAST(TP AS DOUBLE)*TN - CAST(FP AS DOUBLE)*FN)
   / sqrt(CAST(TP+FP AS DOUBLE)*(TP+FN)*(TN+FP)*(TN+FN)) ELSE 0 END, 3) AS mcc FROM c""")
 def q_write_metrics(spark, d):
-    """Metrics rounded to 3 decimals, created then appended (two halves of the runs), read back."""
+    """Metrics rounded to 3 decimals; two halves of the runs, the second written again with a third run of the first."""
     path = scratch(spark, "metrics")
     m = M.metrics1(A.preds(spark, d), RUN).select(*RUN, "f1_pos", "mcc")
     IO.write_metrics(m.filter(F.col("seed") < 47), path, append=False)
-    IO.write_metrics(m.filter(F.col("seed") >= 47), path, append=True)
-    return spark.read.parquet(path)
+    IO.write_metrics(m.filter(F.col("seed") >= 47), path)
+    IO.write_metrics(m.filter(F.col("seed") >= 44), path)  # runs that are there are replaced
+    return IO.read_metrics(spark, path)
 
 
 @query("write_splits", views=("groups",), sql="""
@@ -78,40 +90,33 @@ def q_write_splits(spark, d):
     return spark.read.parquet(path).select("row_id", F.col("split").cast("int").alias("split"))
 
 
-@query("write_analysis", views=("preds",), sql="""
-WITH avg_p AS (SELECT doc_id, model, context, arg_max(stereo, seed) AS stereo, avg(stereo_pred) AS p FROM preds GROUP BY ALL),
-w AS (SELECT model, doc_id, max(CASE WHEN context = '0_no_context' THEN stereo END) AS stereo,
-  max(CASE WHEN context = '0_no_context' THEN p END) AS p0, max(CASE WHEN context = '2_txt_father' THEN p END) AS p2 FROM avg_p GROUP BY ALL)
-SELECT model, CASE WHEN stereo = 1 THEN 'positivos' ELSE 'negativos' END AS polarity, count(*) AS n_items FROM w
-WHERE (stereo = 1 AND ((p0 >= CAST(0.65 AS DOUBLE) AND p2 <= CAST(0.35 AS DOUBLE)) OR (p0 <= CAST(0.35 AS DOUBLE) AND p2 >= CAST(0.65 AS DOUBLE))))
-   OR (stereo = 0 AND ((p0 <= CAST(0.35 AS DOUBLE) AND p2 >= CAST(0.65 AS DOUBLE)) OR (p0 >= CAST(0.65 AS DOUBLE) AND p2 <= CAST(0.35 AS DOUBLE))))
-GROUP BY ALL""")
+@query("write_analysis", views=("preds",), sql=f"""
+WITH {changes_sql()},
+long AS (UNPIVOT (SELECT model, stereo, {", ".join(f'"{c}"' for c in CTX)} FROM changes) ON {", ".join(f'"{c}"' for c in CTX)} INTO NAME context VALUE change)
+SELECT model, CASE WHEN stereo = 1 THEN 'positivos' ELSE 'negativos' END AS polarity, context, change, count(*) AS n_items
+FROM long WHERE change <> '' GROUP BY ALL""")
 def q_write_analysis(spark, d):
-    """Change rows written per model and class, read back and counted."""
+    """Change rows of all contexts written per model and class, read back and counted by context and change."""
     path = scratch(spark, "analysis")
     avg = S.seed_average_hard(A.preds(spark, d), ["doc_id"])
-    ch = C.context_changes(avg, ["doc_id"], ["2_txt_father"], 0.35)
+    ch = C.context_changes(avg, ["doc_id"], CTX, ANALYSIS_THRESHOLD)
     ch = ch.withColumn("polarity", F.when(F.col("stereo") == 1, "positivos").otherwise("negativos"))
     IO.write_analysis(ch, path)
-    return spark.read.parquet(path).groupBy("model", "polarity").agg(F.count(F.lit(1)).alias("n_items"))
+    back = spark.read.parquet(path).unpivot(["model", "polarity"], CTX, "context", "change").where("change <> ''")
+    return back.groupBy("model", "polarity", "context", "change").agg(F.count(F.lit(1)).alias("n_items"))
 
 
 @query("incremental_files", views=("preds",), sql=f"""
 SELECT 'stereohoax' AS data, model, context, seed, {CELLS_SQL} FROM preds WHERE seed >= 47 GROUP BY model, context, seed""")
 def q_incremental_files(spark, d):
-    """Two batches of run files; only those modified after the first batch are read."""
+    """Two batches of run files, a year apart by their file times; only those modified after the first are read."""
     root = scratch(spark, "incremental")
     p = A.preds(spark, d).withColumn("file_name", run_file_names())
     cols = ["file_name", "doc_id", "stereo", "stereo_pred", "softmax_confidence"]
-    p.filter(F.col("seed") < 47).select(*cols).write.partitionBy("file_name").option("header", True).csv(root + "/a")
-    time.sleep(1.5)
-    since = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(time.time()))
-    time.sleep(1.5)
-    p.filter(F.col("seed") >= 47).select(*cols).write.partitionBy("file_name").option("header", True).csv(root + "/b")
-    tz = spark.conf.get("spark.sql.session.timeZone")
-    since_local = spark.sql(f"SELECT date_format(from_utc_timestamp(timestamp'{since.replace('T', ' ')}', '{tz}'), "
-                            "\"yyyy-MM-dd'T'HH:mm:ss\") AS t").first()["t"]
-    runs = IO.incremental_files(spark, [root], RUN_SCHEMA, since_local)
+    for part, rows, year in (("a", F.col("seed") < 47, 2020), ("b", F.col("seed") >= 47, 2021)):
+        p.filter(rows).select(*cols).write.partitionBy("file_name").option("header", True).csv(f"{root}/{part}")
+        set_file_times(spark, f"{root}/{part}", datetime.datetime(year, 1, 1, tzinfo=datetime.UTC))
+    runs = IO.incremental_files(spark, [root], RUN_SCHEMA, "2020-07-01T00:00:00")
     return M.confusion(runs, ["data", *RUN])
 
 
@@ -124,7 +129,7 @@ def q_assert_no_nulls(spark, d):
     return X.assert_no_nulls(t)
 
 
-_CATS = ["xenophobia", "suffering", "economic"]
+_CATS = TOPICS  # stand-in for the implicitness categories: every 0/1 topic that the items have
 
 
 @query("accuracy_by_implicit_category", views=("preds", "topic_preds"), dbl=("accuracy_without", "accuracy_with"), sql=f"""

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from threadlens.config import TOPICS
 from threadlens.operators import evaluate as EV
 from threadlens.operators import metrics as M
 from threadlens.plans.q_evaluation import CELLS_SQL
@@ -66,13 +67,16 @@ def q_join_gold(spark, d):
     return joined
 
 
-@query("enrich_test", views=("gold", "tweets"), sql="""
-SELECT g.doc_id, g.stereo, g.quality, coalesce(t.xenophobia, 0) AS xenophobia, coalesce(t.health, 0) AS health
-FROM (SELECT doc_id, stereo, quality FROM gold) g LEFT JOIN (SELECT tweet_id AS doc_id, xenophobia, health FROM tweets) t USING (doc_id)""")
+@query("enrich_test", views=("gold", "tweets"), dbl=("stereo_soft",), sql=f"""
+SELECT g.doc_id, g.stereo, g.quality, coalesce(s.stereo_soft, 0) AS stereo_soft, {", ".join(f"coalesce(t.{c}, 0) AS {c}" for c in TOPICS)}
+FROM (SELECT doc_id, stereo, quality FROM gold) g LEFT JOIN (SELECT doc_id, stereo_soft FROM gold WHERE stereo = 1) s USING (doc_id)
+LEFT JOIN (SELECT tweet_id AS doc_id, {", ".join(TOPICS)} FROM tweets) t USING (doc_id)""")
 def q_enrich_test(spark, d):
-    g = A.gold(spark, d).select("doc_id", "stereo", "quality")
-    cats = A.topic_preds(spark, d).select(F.col("tweet_id").alias("doc_id"), "xenophobia", "health")
-    return EV.enrich_test(g, [cats], ["doc_id"])
+    """Soft labels (of the items that have one) and all topics joined by key, nulls 0."""
+    g = A.gold(spark, d)
+    soft = g.where("stereo = 1").select("doc_id", "stereo_soft")
+    cats = A.topic_preds(spark, d).select(F.col("tweet_id").alias("doc_id"), *TOPICS)
+    return EV.enrich_test(g.select("doc_id", "stereo", "quality"), [soft, cats], ["doc_id"])
 
 
 def _eval_sql() -> str:

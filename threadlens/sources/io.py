@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadlens.session import write_shared
+
 # --- fixed values: run file naming <data>-<model>-<level>_<context>_<hard|soft>_s<seed>_<suffix>-task<t>.csv
 RUN_PATTERN = r"([a-z]+)-([a-z_]+?)-(\d)_([a-z_]+?)_(hard|soft)_s(\d+)_([^/]*?)-task(\d)\.csv_?$"
 BASELINE_PATTERN = r"(?:^|/)([^/-]+)-task(\d)\.csv_?$"
@@ -121,12 +123,39 @@ def write_predictions(df: DataFrame, path: str, partition_cols: Sequence[str] =
      .partitionBy(*[c for c in partition_cols if c in df.columns]).parquet(path))
 
 
-def write_metrics(df: DataFrame, path: str, append: bool = True, digits: int = 3) -> None:
-    """Metrics rounded to 3 decimals; appended when the table exists, else created."""
+#: Columns that name a run, as far as a metrics table has them.
+RUN_KEYS = ("data", "model", "context", "kind", "seed", "suffix", "task")
+
+
+def write_metrics(df: DataFrame, path: str, append: bool = True, digits: int = 3, keys: Sequence[str] | None = None, buckets: int = 16) -> None:
+    """Metrics rounded to 3 decimals, one row for each run however often it is written.
+
+    ``keys`` name a run (by default those of ``RUN_KEYS`` that ``df`` has; nulls are equal). Rows lie in folders by a hash of their
+    keys. A write merges the folders that its runs fall into: their old rows of other runs stay, rows of its own runs are replaced, and
+    columns may differ. The merged rows are staged in the shared folder, then swap their folders in one commit (dynamic partition overwrite),
+    so a write that fails or is repeated leaves whole rows. ``append=False`` drops what was there. Writers take turns.
+    """
+    keys = list(keys if keys is not None else [c for c in RUN_KEYS if c in df.columns])
     rounded = df.select(*[F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
                           if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
                           for f in df.schema.fields])
-    rounded.write.mode("append" if append else "overwrite").parquet(path)
+    spark = df.sparkSession
+    new = write_shared(rounded.withColumn("bucket", F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")), "metrics")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if append and place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        old = spark.read.option("mergeSchema", True).parquet(path)
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        mine = new.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        old = old.where(F.col("bucket").isin(touched)).join(mine, same, "left_anti") if keys else old
+        new = write_shared(new.unionByName(old, allowMissingColumns=True), "metrics")
+    writer = new.repartition("bucket").write.partitionBy("bucket").mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic" if append else "static").parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics table that ``write_metrics`` keeps; columns that some runs lack are null there (A11 fills them)."""
+    return spark.read.option("mergeSchema", True).parquet(path).drop("bucket")
 
 
 def write_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
