@@ -89,23 +89,55 @@ def strip_punctuation(c: Column) -> Column:
     return F.translate(c, chars, " " * len(chars))
 
 
-def demojize(c: Column, emoji_names: Mapping[str, str], wrapper: str = EMOJI_WRAPPER) -> Column:
+def longest_pattern(words: Sequence[str]) -> str:
+    """A regex that matches, at every place, the longest of ``words`` (not empty) that starts there.
+
+    The words as a tree by characters: at most one branch fits, and a branch is left out only if it leads nowhere. Words
+    without a longer one beside them share a character class, so a table of thousands is tried in one step.
+    """
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for ch in word:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def branch(node: dict) -> str:
+        code = lambda ch: f"\\x{{{ord(ch):X}}}"
+        ends = [ch for ch in sorted(node) if ch and set(node[ch]) == {""}]
+        more = [code(ch) + branch(node[ch]) for ch in sorted(node) if ch and set(node[ch]) != {""}]
+        parts = more + (["[" + "".join(map(code, ends)) + "]"] if ends else [])
+        inner = "(?:" + "|".join(parts) + ")"
+        return inner + ("?" if "" in node else "")
+
+    return branch(tree)
+
+
+def demojize(c: Column, emoji_names: Mapping[str, str], wrapper: str = EMOJI_WRAPPER, buckets: int = 256) -> Column:
     """each emoji -> `` emoji <name> emoji ``, then every ``_`` -> space.
 
-    ``emoji_names`` is the user's emoji -> name table (config-sized); it is embedded in the plan
-    as a literal map and applied with one ``aggregate`` over the emoji found in the text.
+    ``emoji_names`` is the user's emoji -> name table (config-sized). The text is cut at its emoji, leftmost and longest first (a
+    skin tone or joined sequence is one emoji if the table has it), and every emoji found is looked up once, in a literal map of
+    ``buckets`` parts by checksum.
     """
-    out = c
-    if emoji_names:
-        keys = sorted(emoji_names, key=len, reverse=True)
-        import re
+    import json
+    import zlib
+
+    out, names = c, {k: v for k, v in emoji_names.items() if k}
+    if names:
+        pattern = longest_pattern(list(names))
+        parts: list[dict] = [{} for _ in range(buckets)]
+        for k, v in names.items():
+            parts[zlib.crc32(k.encode()) % buckets][k] = f" {wrapper} {v} {wrapper} "
+        table = F.from_json(F.lit(json.dumps(parts)), "array<map<string,string>>")  # folded to one literal
 
-        pattern = "|".join(re.escape(k) for k in keys)
-        names = F.create_map(*[F.lit(x) for k in keys for x in (k, f" {wrapper} {emoji_names[k]} {wrapper} ")])
+        def name(e: Column) -> Column:
+            return F.element_at(F.get(table, (F.crc32(e.cast("binary")) % buckets).cast("int")), e)
 
         def named(text: Column) -> Column:
-            found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1))
-            return F.when(text.rlike(pattern), F.aggregate(found, text, lambda acc, e: F.replace(acc, e, names[e]))).otherwise(text)
+            gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+            whole = F.array_join(F.zip_with(gaps, found, lambda gap, e: F.concat(gap, F.coalesce(name(e), F.lit("")))), "")
+            return F.when(text.rlike(pattern), whole).otherwise(text)
 
         out = F.element_at(F.transform(F.array(c), named), 1)  # the lambda's variable: ``c`` is computed once
     return F.regexp_replace(out, "_", " ")
