@@ -303,6 +303,80 @@ def stratified_split(df: DataFrame, key: Sequence[str], labels: Sequence[str], t
     return r.withColumn("split", code.cast("int")).drop("_combo", "_u", "_rank", "_size")
 
 
+def fold_quotas(combos: Sequence[tuple[tuple[int, ...], int]], ratios: Sequence[float]) -> list[list[int]]:
+    """How many rows of each label combination go to each fold, by order-2 iterative stratification.
+
+    ``combos``: (labels that are 1, rows). Whole shares of a combination go straight to the folds; what is left of it, fewer rows than
+    folds, is dealt one by one: the label pair (or single label) with the fewest rows left comes first, and a row goes to the fold that
+    lacks that pair most, then all pairs of the row together, then rows at all.
+    """
+    folds = range(len(ratios))
+    pairs = [[(a, b) for i, a in enumerate(on) for b in on[i:]] for on, _ in combos]
+    size: dict = {}
+    for mine, (_, n) in zip(pairs, combos):
+        for p in mine:
+            size[p] = size.get(p, 0) + n
+    lacks = {p: [r * n for r in ratios] for p, n in size.items()}
+    missing = [r * sum(n for _, n in combos) for r in ratios]
+    quotas = []
+    left, holders = [], {p: [] for p in size}
+    for c, (mine, (_, n)) in enumerate(zip(pairs, combos)):
+        quotas.append([int(r * n + 1e-9) for r in ratios])
+        left.append(n - sum(quotas[c]))
+        for f in folds:
+            missing[f] -= quotas[c][f]
+            for p in mine:
+                lacks[p][f] -= quotas[c][f]
+        for p in mine:
+            holders[p].append(c)
+
+    def deal(c: int, first: tuple | None) -> None:
+        while left[c]:
+            f = max(folds, key=lambda f: (lacks[first][f] if first else 0, sum(lacks[p][f] for p in pairs[c]), missing[f], -f))
+            quotas[c][f] += 1
+            left[c] -= 1
+            missing[f] -= 1
+            for p in pairs[c]:
+                lacks[p][f] -= 1
+
+    while any(waiting := {p: n for p, cs in holders.items() if (n := sum(left[c] for c in cs))}):
+        rarest = min(waiting, key=lambda p: (waiting[p], p))
+        for c in holders[rarest]:
+            deal(c, rarest)
+    for c in range(len(combos)):  # rows without labels
+        deal(c, None)
+    return quotas
+
+
+def iterative_split(df: DataFrame, key: Sequence[str], labels: Sequence[str], test_ratio: float = 0.2, val_ratio: float | None = None,
+                    seed: int = 42, max_combinations: int = 1 << 16) -> DataFrame:
+    """M4: split that keeps the shares of all labels and pairs of labels (order-2 iterative stratification).
+
+    Code 0 = train, 1 = val, 2 = test (1 = test when there is no val). Rows of one label combination are interchangeable, so
+    the rounds run on the table of combinations (at most 2**labels rows, an aggregate), and rows are dealt within their combination by an
+    md5 of key and seed, with ranks that no task sorts alone. A null label counts as 0. Rows equal in key
+    are told apart arbitrarily; otherwise reruns agree however the rows are partitioned. More than ``max_combinations`` different
+    combinations raise ``ValueError``: use ``stratified_split`` or fewer labels there.
+    """
+    on = F.concat(*[F.coalesce(F.col(c).cast("int"), F.lit(0)).cast("string") for c in labels])
+    x = df.withColumn("_combo", on).withColumn("_u", md5_uniform(*key, F.lit(seed)))
+    found = x.groupBy("_combo").count().limit(max_combinations + 1).collect()
+    if len(found) > max_combinations:
+        raise ValueError(f"more than {max_combinations} label combinations")
+    found = sorted((r["_combo"], r["count"]) for r in found)
+    ratios = [1 - test_ratio - (val_ratio or 0), val_ratio or 0, test_ratio] if val_ratio else [1 - test_ratio, test_ratio]
+    combos = [(tuple(i for i, ch in enumerate(c) if ch != "0"), n) for c, n in found]
+    quotas = [(c, *q) for (c, _), q in zip(found, fold_quotas(combos, ratios))]
+    cells = ", ".join(f"_q{f} long" for f in range(len(ratios)))
+    table = df.sparkSession.createDataFrame(quotas, f"_c string, {cells}")
+    r = exact_rank(x, ["_combo"], "_u", list(key)).join(F.broadcast(table), F.col("_combo") == F.col("_c"))
+    code, upto = F.lit(len(ratios) - 1), F.lit(0)
+    for f in range(len(ratios) - 1):
+        upto = upto + F.col(f"_q{f}")
+        code = F.when((F.col("_rank") <= upto) & (F.col("_rank") > upto - F.col(f"_q{f}")), f).otherwise(code)
+    return r.withColumn("split", code.cast("int")).drop("_combo", "_c", "_u", "_rank", "_size", *[f"_q{f}" for f in range(len(ratios))])
+
+
 def batch_groups(df: DataFrame, group: str, batch_size: int, seed: int = 42) -> DataFrame:
     """Shuffle the groups (md5 order), cut in ceil(n / b) near-equal batches (larger first),
     return group -> batch and the row count of each batch. Runs on the group table only."""

@@ -178,11 +178,11 @@ def q_gold_upper_bound(spark, d):
     return M.gold_upper_bound(g, ["data"], "stereo", contextual=True)
 
 
-def _poisson_sql() -> str:
-    total, term, steps = 0.0, math.exp(-1.0), []
+def _poisson_sql(rate: float = 1.0) -> str:
+    total, term, steps = 0.0, math.exp(-rate), []
     for k in range(12):
         total += term
-        term /= k + 1
+        term *= rate / (k + 1)
         steps.append(f"CAST(u >= CAST({total!r} AS DOUBLE) AS INT)")
     return " + ".join(steps)
 
@@ -209,6 +209,30 @@ def q_bootstrap_poisson(spark, d):
     return bootstrap_poisson(A.preds(spark, d), RUN, ["doc_id"], "stereo", n=20)
 
 
+_SOFT_BOOT = [m + s for m in ("f1_neg", "f1_pos", "cross_entropy", "MSE") for s in ("", "_min", "_max")]
+
+
+@query("bootstrap_soft", views=("preds",), dbl=_SOFT_BOOT, sql=f"""
+WITH x AS (SELECT model, context, seed, doc_id, stereo, stereo_pred, stereo_soft, stereo_pred_soft, unnest(range(1, 11)) AS replicate FROM preds),
+u AS (SELECT *, CAST(('0x' || substr(md5(concat_ws('|', doc_id, model, context, seed, replicate, 42)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM x),
+w AS (SELECT *, {_poisson_sql(0.5)} AS w FROM u),
+c AS (SELECT model, context, seed, replicate,
+  sum(CASE WHEN stereo = 0 AND stereo_pred = 0 THEN w ELSE 0 END) AS TN, sum(CASE WHEN stereo = 0 AND stereo_pred = 1 THEN w ELSE 0 END) AS FP,
+  sum(CASE WHEN stereo = 1 AND stereo_pred = 0 THEN w ELSE 0 END) AS FN, sum(CASE WHEN stereo = 1 AND stereo_pred = 1 THEN w ELSE 0 END) AS TP,
+  sum(w) AS n, sum(w * stereo_soft * ln(least(greatest(stereo_pred_soft, 1e-12), 1.0 - 1e-12) + 1e-9)) AS ce,
+  sum(w * pow(stereo_soft - stereo_pred_soft, 2)) AS se FROM w GROUP BY ALL),
+f AS (SELECT model, context, seed, {_div('2*TN', '2*TN+FP+FN')} AS f1_neg, {_div('2*TP', '2*TP+FP+FN')} AS f1_pos,
+  {_div('-ce', 'n')} AS cross_entropy, sqrt({_div('se', 'n')}) AS MSE FROM c)
+SELECT model, context, seed, {", ".join(f"avg({m}) AS {m}, quantile_cont({m}, 0.025) AS {m}_min, quantile_cont({m}, 0.975) AS {m}_max"
+                                        for m in ("f1_neg", "f1_pos", "cross_entropy", "MSE"))}
+FROM f GROUP BY model, context, seed""")
+def q_bootstrap_soft(spark, d):
+    """E9, soft form: half of the items drawn per replicate, hard and soft metrics of the same draws."""
+    from threadlens.operators.resample import bootstrap_poisson
+
+    return bootstrap_poisson(A.preds(spark, d), RUN, ["doc_id"], "stereo", n=10, frac=0.5, soft=True).select(*RUN, *_SOFT_BOOT)
+
+
 @query("bootstrap_ci")
 def q_bootstrap_ci(spark, d):
     """Multinomial replicates of the cell counts (random by nature: rows-only check)."""

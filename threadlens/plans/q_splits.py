@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadlens.config import TOPICS
 from threadlens.operators import metrics as M
 from threadlens.operators import splits as SP
 from threadlens.plans.registry import query
@@ -174,6 +175,13 @@ def q_stratified_split(spark, d):
     return SP.stratified_split(g, ["row_id"], LABELS, 0.2, 0.1).select("row_id", "split")
 
 
+@query("iterative_split")
+def q_iterative_split(spark, d):
+    """M4: tweets split by all labels and pairs of labels (target and topics); rows-only, checked against a sequential version."""
+    t = A.tweets(spark, d).select("tweet_id", "stereo", *TOPICS)
+    return SP.iterative_split(t, ["tweet_id"], ["stereo", *TOPICS], 0.2, 0.1).select("tweet_id", "split")
+
+
 @query("batch_groups", views=("groups",), sql=f"""
 WITH s AS (SELECT group_id, count(*) AS size FROM groups GROUP BY group_id),
 b AS (SELECT group_id, size, ntile(7) OVER (ORDER BY {_u_sql('group_id')}, group_id) AS batch FROM s)
