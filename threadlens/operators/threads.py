@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadlens.functions.text import WS, strip_ws
 from threadlens.operators.components import connected_components
@@ -40,15 +41,56 @@ def _by_comment(comment: str, pos: str) -> Window:
     return Window.partitionBy(comment).orderBy(F.col(pos).asc())
 
 
+#: Sentences of one comment that a task holds; longer comments are cut into blocks of positions.
+BLOCK_ROWS = 10_000
+
+
+def needs_blocks(df: DataFrame, comment: str, pos: str, block_rows: int) -> bool:
+    """Whether some comment has more than ``block_rows`` sentences (and positions are numbers, so that they can be cut)."""
+    if not isinstance(df.schema[pos].dataType, T.NumericType):
+        return False
+    return (df.groupBy(comment).count().agg(F.max("count")).first()[0] or 0) > block_rows
+
+
+def block_of(pos: str, block_rows: int) -> Column:
+    return F.floor(F.col(pos) / F.lit(block_rows))
+
+
+def ordered_list(df: DataFrame, comment: str, pos: str, item: Column, block_rows: int) -> DataFrame:
+    """(comment, _list): structs of pos and item of every comment in order.
+
+    A long comment is sorted block by block in several tasks; what meets then are its blocks in order.
+    """
+    pair = F.struct(F.col(pos).alias("pos"), item.alias("item"))
+    if not needs_blocks(df, comment, pos, block_rows):
+        return df.groupBy(comment).agg(F.sort_array(F.collect_list(pair)).alias("_list"))
+    blocks = df.groupBy(comment, block_of(pos, block_rows).alias("_blk")).agg(F.sort_array(F.collect_list(pair)).alias("_list"))
+    whole = F.sort_array(F.collect_list(F.struct("_blk", "_list")))
+    return blocks.groupBy(comment).agg(F.flatten(F.transform(whole, lambda b: b["_list"])).alias("_list"))
+
+
 def previous_sentences(df: DataFrame, comment: str = "comment_id", pos: str = "sentence_pos",
-                       sentence: str = "sentence", out: str = "previous_sentences") -> DataFrame:
+                       sentence: str = "sentence", out: str = "previous_sentences", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All earlier sentences of the comment joined by a space, outer whitespace stripped.
 
-    Output size is quadratic in sentences per comment by definition; the window holds one comment.
+    Output size is quadratic in sentences per comment by definition. Comments of more than ``block_rows`` sentences
+    are scanned in blocks of positions: the text of each block, the texts of all blocks before it (one row a block), and the window
+    inside the block, so a task holds one block of a comment.
     """
-    w = _by_comment(comment, pos).rowsBetween(Window.unboundedPreceding, -1)
-    joined = F.array_join(F.collect_list(F.coalesce(F.col(sentence), F.lit(""))).over(w), " ")
-    return df.withColumn(out, strip_ws(joined))
+    text = F.coalesce(F.col(sentence), F.lit(""))
+    before = (Window.unboundedPreceding, -1)
+    if not needs_blocks(df, comment, pos, block_rows):
+        joined = F.array_join(F.collect_list(text).over(_by_comment(comment, pos).rowsBetween(*before)), " ")
+        return df.withColumn(out, strip_ws(joined))
+    x = df.withColumn("_blk", block_of(pos, block_rows))
+    blocks = x.groupBy(comment, "_blk").agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), text.alias("item")))).alias("_list"))
+    blocks = write_shared(blocks.select(F.col(comment).alias("_c"), F.col("_blk").alias("_b"), F.array_join(F.col("_list.item"), " ").alias("_text")), "blocks")
+    earlier = F.collect_list("_text").over(Window.partitionBy("_c").orderBy("_b").rowsBetween(*before))
+    blocks = blocks.select("_c", "_b", F.when(F.size(earlier) > 0, F.array_join(earlier, " ")).alias("_earlier"))
+    inside = F.collect_list(text).over(Window.partitionBy(comment, "_blk").orderBy(F.col(pos).asc()).rowsBetween(*before))
+    x = x.withColumn("_inside", F.when(F.size(inside) > 0, F.array_join(inside, " ")))
+    x = x.join(blocks, F.col(comment).eqNullSafe(F.col("_c")) & F.col("_blk").eqNullSafe(F.col("_b")))
+    return x.withColumn(out, strip_ws(F.concat_ws(" ", "_earlier", "_inside"))).drop("_blk", "_c", "_b", "_earlier", "_inside")
 
 
 def previous_sentence(df: DataFrame, comment: str = "comment_id", pos: str = "sentence_pos",
@@ -65,18 +107,17 @@ def last_sentence(df: DataFrame, comment: str = "comment_id", pos: str = "senten
 
 
 def comment_table(df: DataFrame, comment: str = "comment_id", pos: str = "sentence_pos",
-                  sentence: str = "sentence", reply: str = "reply_to") -> DataFrame:
+                  sentence: str = "sentence", reply: str = "reply_to", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per comment: strip(previous sentences of the last sentence + " " + last sentence).
 
-    One aggregate: the sentences in order are joined up to the last one. Missing earlier sentences count as
-    empty, a missing last one makes the text null, as with the row-wise definition.
+    One aggregate, of blocks for comments of more than ``block_rows`` sentences: the sentences in order are joined up to
+    the last one. Missing earlier sentences count as empty, a missing last one makes the text null, as with the row-wise definition.
     """
-    parts = F.sort_array(F.collect_list(F.struct(F.col(pos), F.col(sentence).alias("s"))))
-    g = df.groupBy(comment).agg(parts.alias("_p"), F.max_by(F.col(reply), F.col(pos)).alias("reply_to"))
-    n = F.size("_p")
-    earlier = F.transform(F.slice("_p", 1, n - 1), lambda x: F.coalesce(x["s"], F.lit("")))
-    text = strip_ws(F.concat(strip_ws(F.array_join(earlier, " ")), F.lit(" "), F.element_at("_p", n)["s"]))
-    return g.select(comment, "reply_to", text.alias("comment"))
+    g = ordered_list(df, comment, pos, F.struct(F.col(sentence).alias("s"), F.col(reply).alias("r")), block_rows)
+    n, last = F.size("_list"), F.element_at("_list", -1)["item"]
+    earlier = F.transform(F.slice("_list", 1, n - 1), lambda x: F.coalesce(x["item"]["s"], F.lit("")))
+    text = strip_ws(F.concat(strip_ws(F.array_join(earlier, " ")), F.lit(" "), last["s"]))
+    return g.select(comment, last["r"].alias("reply_to"), text.alias("comment"))
 
 
 def _nodes(df: DataFrame, comment: str, reply: str, pos: str | None) -> DataFrame:
@@ -164,14 +205,13 @@ def add_root_labels(df: DataFrame, cols: Sequence[str] = ("stereo", "implicit",
 
 def add_comment_label_arrays(df: DataFrame, labels: Sequence[str] = ("stereotype", "implicit"),
                              comment: str = "comment_id", pos: str = "sentence_pos", reply: str = "reply_to",
-                             root: str = "first_comment_id") -> DataFrame:
+                             root: str = "first_comment_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per row, the comment's labels of earlier sentences, and the parent's and root's label arrays.
 
-    Label arrays are built once per comment (ordered by position) and joined by KEY.
+    Label arrays are built once per comment (ordered by position, long comments in blocks of ``block_rows``) and joined by KEY.
     """
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(pos), *[F.col(c) for c in labels])))
-    arrays = df.groupBy(comment).agg(ordered.alias("_s")).select(
-        F.col(comment).alias("_c"), *[F.col("_s." + c).alias("_arr_" + c) for c in labels])
+    listed = ordered_list(df, comment, pos, F.struct(*[F.col(c) for c in labels]), block_rows)
+    arrays = listed.select(F.col(comment).alias("_c"), *[F.col("_list.item." + c).alias("_arr_" + c) for c in labels])
     own = df.join(arrays, F.col(comment) == F.col("_c"), "left")
     for c in labels:
         own = own.withColumn(f"{c}_previous_sentences", F.slice(F.col("_arr_" + c), 1, F.col(pos) - 1))
