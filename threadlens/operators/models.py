@@ -34,14 +34,17 @@ def weighted_random_baseline(train: DataFrame, test: DataFrame, key: Sequence[st
     return test.select(F.lit(name).alias("run"), *key, target, pred.cast("int").alias(target + "_pred"))
 
 
-def linear_svc(train: DataFrame, test: DataFrame, features: str, target: str, C: float = 1.0, max_iter: int = 100) -> DataFrame:
-    """M6: linear SVM (hinge loss) with ``regParam = 1 / (C n)`` and no standardisation, like SVC(C)."""
-    from pyspark.ml.classification import LinearSVC
-
-    n = train.count()
-    model = LinearSVC(featuresCol=features, labelCol=target, predictionCol="_p", regParam=1.0 / (C * n),
-                      standardization=False, maxIter=max_iter).fit(train.withColumn(target, F.col(target).cast("double")))
-    return model.transform(test).withColumn(target + "_pred", F.col("_p").cast("int")).drop("_p", "rawPrediction")
+def linear_svc(train: DataFrame, test: DataFrame, features: str, target: str, C: float = 1.0, tol: float = 1e-3,
+               max_rounds: int = 100) -> DataFrame:
+    """M6: linear SVM (hinge loss, penalty C) fitted until its duality gap is at most ``tol``; predictions on ``test``.
+
+    Every row also has the fit's ``svc_objective`` and ``svc_gap``, so what it is worth stays with the predictions.
+    """
+    from threadlens.operators.svm import fit_linear, with_margin
+
+    fit = fit_linear(train, features, target, C, tol, max_rounds)
+    return (with_margin(test, features, fit, "_margin").withColumn(target + "_pred", (F.col("_margin") > 0).cast("int")).drop("_margin")
+            .withColumn("svc_objective", F.lit(fit.objective)).withColumn("svc_gap", F.lit(fit.gap)))
 
 
 def baseline_suite(train: DataFrame, test: DataFrame, key: Sequence[str], text: str, target: str,
