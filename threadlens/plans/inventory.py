@@ -27,7 +27,7 @@ INVENTORY: dict[str, list[str]] = {
     "F15": ["threshold_soft"], "F16": ["agreement"], "F17": ["pct_change_label", "add_change_pct"],
     "M1": ["candidate_group_splits"], "M2": ["score_group_splits"], "M3": ["group_disjoint_split"],
     "M4": ["stratified_split", "iterative_split"], "M5": ["tfidf", "tfidf_3gram"], "M6": ["linear_svc"], "M7": ["mean_word_vectors"],
-    "M8": ["constant_baseline"], "M9": ["weighted_random_baseline"], "M10": ["baseline_suite"], "M11": ["batch_score"],
+    "M8": ["constant_baseline"], "M9": ["weighted_random_baseline"], "M10": ["baseline_suite"], "M11": ["batch_score", "batch_score_pairs"],
     "E1": ["confusion"], "E2": ["metrics1"], "E3": ["accuracy_by"], "E4": ["accuracy_by_implicit_category"],
     "E5": ["confidence_stats"], "E6": ["soft_metrics"], "E7": ["symmetric_kl"], "E8": ["confidence_prf"],
     "E9": ["bootstrap_ci", "bootstrap_poisson", "bootstrap_soft"], "E10": ["hierarchical_f"], "E11": ["propensity_f"], "E12": ["icm"],
