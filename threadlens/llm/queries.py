@@ -17,7 +17,7 @@ from threadlens.llm.part_codes import books_digest, compress
 from threadlens.llm.pii import find_personal_data
 from threadlens.llm.piece_bpe import Codec, encode_decode
 from threadlens.llm.rule_ensemble import quality_scores
-from threadlens.llm.substring_dedup import digests, remove_repeats
+from threadlens.llm.substring_dedup import digests, remove_reference_spans, remove_repeats
 from threadlens.llm.suffix_tree import tree_scores
 from threadlens.llm.topk import top_k
 from threadlens.llm.warc import round_trip
@@ -73,6 +73,39 @@ FROM documents LEFT JOIN kept USING (doc_id)
 """
 
 
+@query
+def remove_benchmark_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 20 or more words of the benchmark texts leave the documents (the bounded-reference form of op2)."""
+    cleaned = remove_reference_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL["remove_benchmark_spans"] = """
+WITH cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
+), w AS (
+  SELECT doc_id, generate_subscripts(words, 1) AS place, unnest(words) AS word FROM cut
+), windows AS (
+  SELECT *, string_agg(word, ' ') OVER next20 AS win, count(*) OVER next20 AS n FROM w
+  WINDOW next20 AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM benchmark
+), known AS (
+  SELECT DISTINCT array_to_string(words[i : i + 19], ' ') AS win FROM (SELECT words, unnest(range(1, len(words) - 18)) AS i FROM b)
+), judged AS (
+  SELECT doc_id, place, word, n = 20 AND known.win IS NOT NULL AS again FROM windows LEFT JOIN known ON windows.win = known.win
+), marked AS (
+  SELECT doc_id, place, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM judged
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY place) FILTER (NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op3_tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -1,7 +1,7 @@
 """Removal of repeated word spans by suffix automata of reference shards.
 
-Two uses. ``remove_reference_spans`` streams documents through the automata of a bounded reference table:
-they are broadcast, shard by shard. ``remove_repeats`` takes the corpus itself as the reference, whose
+Two uses. ``remove_reference_spans`` streams documents through the automata of a bounded reference table: every
+shard's automaton is built in a task of its own, and all are broadcast as arrays. ``remove_repeats`` takes the corpus itself as the reference, whose
 automata would grow with it; there, a shard holds the passages of some anchors only, and instead of the
 automata the passages travel, so that a passage meets just the shard that can hold its equals.
 """
@@ -9,9 +9,12 @@ automata the passages travel, so that a passage meets just the shard that can ho
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,36 +96,131 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 # --- a bounded reference, broadcast ---------------------------------------------------------------
 
 
-def remove_reference_spans(docs: DataFrame, reference: DataFrame, window: int = 20, max_bytes: int = 64 << 20) -> DataFrame:
-    """Remove from every text the maximal spans of ``window`` or more words that stand in ``reference``.
+class FlatAutomaton:
+    """A shard's automaton as arrays: transitions sorted by (state, word number), suffix links, lengths, and the words.
 
-    docs: doc_id, text; reference: text. Returns doc_id, n_words, n_removed, text (kept words, joined by one
-    space). The reference is broadcast and each worker builds its automaton once, so its size is checked
-    first: above ``max_bytes`` this raises, and ``remove_repeats`` is the operator to use. Null texts count as
-    empty on both sides; empty tables are fine.
+    ``longest`` walks many texts at once, one word of each a step, so a step is a few array operations.
     """
+
+    def __init__(self, passages: Iterable[list[bytes]]):
+        automaton, numbers = SuffixAutomaton(), {}
+        for words in passages:
+            automaton.add([numbers.setdefault(w, len(numbers)) for w in words])
+        steps = [(s << 32 | w, t) for s, step in enumerate(automaton.next) for w, t in step.items()]
+        steps.sort()
+        self.key = np.array([k for k, _ in steps], np.int64)
+        self.target = np.array([t for _, t in steps], np.int32)
+        self.link, self.length = np.maximum(np.array(automaton.link, np.int32), 0), np.array(automaton.length, np.int32)
+        self.words = pa.array(list(numbers), pa.binary())
+
+    def nbytes(self) -> int:
+        return self.key.nbytes + self.target.nbytes + self.link.nbytes + self.length.nbytes + self.words.nbytes
+
+    def longest(self, number: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Matching statistics of all texts: ``number`` holds word numbers (-1: unknown) text by text."""
+        out = np.zeros(len(number), np.int32)
+        order = np.argsort(-sizes, kind="stable")
+        state, held = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int32)
+        alive = len(order)
+        for j in range(int(sizes.max(initial=0))):
+            while alive and sizes[order[alive - 1]] <= j:
+                alive -= 1
+            texts = order[:alive]
+            word = number[starts[texts] + j]
+            state[texts[word < 0]], held[texts[word < 0]] = 0, 0
+            open_texts, word = texts[word >= 0], word[word >= 0]
+            while len(open_texts):
+                wanted = state[open_texts] << 32 | word
+                at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+                known = self.key[at] == wanted
+                done = open_texts[known]
+                state[done] = self.target[at[known]]
+                held[done] += 1
+                open_texts, word = open_texts[~known], word[~known]
+                root = state[open_texts] == 0
+                held[open_texts[root]] = 0
+                open_texts, word = open_texts[~root], word[~root]
+                state[open_texts] = self.link[state[open_texts]]
+                held[open_texts] = self.length[state[open_texts]]
+            out[starts[texts] + j] = held[texts]
+        return out
+
+
+def reference_shards(reference: DataFrame, window: int, shard_bytes: int, piece_words: int = 20_000) -> DataFrame:
+    """One pickled ``FlatAutomaton`` a shard. Texts are cut into pieces that share ``window`` - 1 words, so no window is cut."""
+    import pickle
+
     size = reference.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for raw in batch.column(0):
+            words = raw.as_py().split()
+            for i in range(0, max(1, len(words) - window + 1), piece_words):
+                if len(words) >= window:
+                    yield (b" ".join(words[i : i + piece_words + window - 1]),)
+
+    def build(key, table):
+        flat = FlatAutomaton([t.as_py().split() for t in table.column("piece")])
+        return pa.table({"shard": [key[0].as_py()], "size": [flat.nbytes()], "automaton": pa.array([pickle.dumps(flat)], pa.binary())})
+
+    cut = map_rows(reference.select(text_bytes().alias("text")), pieces, "piece binary").distinct()
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("piece"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(build, "shard long, size long, automaton binary")
+
+
+def remove_reference_spans(docs: DataFrame, reference: DataFrame, window: int = 20, shard_bytes: int = 1 << 20, max_bytes: int = 256 << 20,
+                           slice_bytes: int = 4 << 20) -> DataFrame:
+    """Remove from every text the maximal spans of ``window`` or more words that stand in ``reference``.
+
+    docs: doc_id, text; reference: text. Returns doc_id, n_words, n_removed, text (kept words, joined by one space), one row for each
+    input row. Null texts count as empty on both sides; null ids, repeated rows, ties and empty tables are fine.
+
+    The reference is cut into shards of about ``shard_bytes`` of text; tasks build one automaton each. They are broadcast as arrays
+    behind a check of their size: above ``max_bytes`` together this raises, and ``remove_repeats`` is the operator to use. A
+    worker unpacks them once, and slices of documents stream past all of them.
+    """
+    from threadlens.llm.tokens import PLAIN_WORDS, slices, tokens
+
+    spark = docs.sparkSession
+    shards = shared_table(reference_shards(reference, window, shard_bytes), "shards")
+    size = shards.agg(F.sum("size")).first()[0] or 0
     if size > max_bytes:
-        raise ValueError(f"the reference has {size} bytes; at most {max_bytes} are broadcast")
-    texts = [r[0] for r in reference.where("text IS NOT NULL").select(F.col("text").cast("binary")).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast([bytes(t) for t in texts])
-    built: dict[int, SuffixAutomaton] = {}
+        raise ValueError(f"the automata of the reference have {size} bytes; at most {max_bytes} are broadcast")
+    shared = spark.sparkContext.broadcast([bytes(r["automaton"]) for r in shards.select("automaton").collect()])
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        if 0 not in built:
-            built[0] = SuffixAutomaton()
-            for t in shared.value:
-                built[0].add(t.split())
-        for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words = raw.as_py().split()
-            ends = np.fromiter((m >= window for m in built[0].matching(words)), bool, len(words))
-            gone = covered(len(words), np.nonzero(ends)[0] - window + 1, window)
-            kept = b" ".join([w for w, g in zip(words, gone) if not g])
-            yield doc_id, len(words), int(gone.sum()), kept.decode()
+        automata = unpacked_automata(shared)
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for start, end in slices([len(t) for t in texts], slice_bytes):
+            owner, number, distinct = tokens(texts[start:end], PLAIN_WORDS)
+            sizes = np.bincount(owner, minlength=end - start)
+            starts, words = np.cumsum(sizes) - sizes, distinct.cast(pa.large_binary()).cast(pa.binary())
+            found = np.zeros(len(number), bool)
+            for automaton in automata:
+                known = pc.fill_null(pc.index_in(words, automaton.words), -1).to_numpy().astype(np.int64)
+                found |= automaton.longest(known[number], starts, sizes) >= window
+            gone = covered(len(number), np.flatnonzero(found) - window + 1, window)  # spans end inside their text
+            kept = words.to_pylist()
+            for i, doc_id in enumerate(ids[start:end]):
+                mine = slice(starts[i], starts[i] + sizes[i])
+                yield doc_id, int(sizes[i]), int(gone[mine].sum()), b" ".join([kept[w] for w in number[mine][~gone[mine]].tolist()]).decode()
 
     return map_rows(docs.select("doc_id", text_bytes().alias("text")), rows, "doc_id long, n_words long, n_removed long, text string")
 
 
+#: Automata that this worker has unpacked, as long as their broadcast is in use.
+_UNPACKED: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def unpacked_automata(shared: Broadcast) -> list[FlatAutomaton]:
+    import pickle
+
+    if shared not in _UNPACKED:
+        _UNPACKED[shared] = [pickle.loads(a) for a in shared.value]
+    return _UNPACKED[shared]
+
+
 # --- the corpus as its own reference --------------------------------------------------------------
 
 

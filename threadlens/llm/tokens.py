@@ -9,14 +9,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def byte_table(blank: Iterable[int]) -> bytes:
-    """For ``bytes.translate``: A-Z lower-cased, the bytes of ``blank`` turned into spaces."""
+def byte_table(blank: Iterable[int], lower: bool = True) -> bytes:
+    """For ``bytes.translate``: A-Z lower-cased if ``lower``, the bytes of ``blank`` turned into spaces."""
     gone = set(blank)
-    return bytes(32 if c in gone else c + 32 if 65 <= c <= 90 else c for c in range(256))
+    return bytes(32 if c in gone else c + 32 if lower and 65 <= c <= 90 else c for c in range(256))
 
 
 #: Words are runs of anything but ASCII white space; only A-Z is lower-cased.
 WORDS = byte_table([32, *range(9, 14)])
+PLAIN_WORDS = byte_table([32, *range(9, 14)], lower=False)
 #: Terms are runs of ASCII letters and of characters beyond ASCII; only A-Z is lower-cased.
 TERMS = byte_table(c for c in range(128) if not chr(c).isalpha())
 
