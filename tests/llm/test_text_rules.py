@@ -82,6 +82,24 @@ def test_tree_rules():
         (("x", True, 0.5),), (("x", True, 0.5), ("y", True, 2.0)), (("x", True, 0.5), ("y", False, 2.0)), (("x", False, 0.5),)}
 
 
+def test_fitted_rules_by_hand(spark):
+    """The compiled column against the fitted rules, evaluated row by row in plain Python."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = rule_ensemble.learn(docs, labels)
+    assert len(model.weighted) > 1
+    got = {r.doc_id: r.score for r in rule_ensemble.scored(docs, model).collect()}
+    rows = docs.select("doc_id", rule_ensemble.statistics_of(docs["text"]).alias("s")).select("doc_id", "s.*").collect()
+    assert len(rows) == len(got) == 1000
+    for r in rows:
+        total = model.intercept
+        for weight, rule in model.weighted:
+            if all(r[name] <= limit if at_most else r[name] > limit for name, at_most, limit in rule.terms):
+                total += weight
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-12)
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = rule_ensemble.quality_scores(docs.withColumn("score", docs.doc_id), labels).join(labels, "doc_id").collect()
@@ -194,7 +212,7 @@ def test_encode_decode(spark):
 
 
 def test_generations_of_segments():
-    model = PieceModel(piece_model(), remember=50)
+    model = PieceModel(piece_model(), remember_bytes=10_000, longest=20)
     texts = [" ".join(f"word{i} thing{i % 7}" for i in range(k, k + 40)) for k in range(0, 200, 20)]
     got = [np.frombuffer(x, "<u4").tolist() for x in model.encode(texts, block=100)]
     assert got == model.library.encode(texts, add_bos=True, add_eos=True)

@@ -174,7 +174,11 @@ def mix_plan(docs: DataFrame, weights: Callable[[Column], Column] = repeating(),
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each document as often as the plan takes it."""
+    """The mix itself: the columns of ``docs``, each document as often as the plan takes it.
+
+    Columns named like those of the plan keep the caller's values. Nulls, repeated rows, documents without words and empty
+    tables as in ``mix_plan``.
+    """
     keep = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_whole_row"))
     plan = mix_plan(keep, **options).where("copies > 0")
     return plan.select("_whole_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_whole_row.*")

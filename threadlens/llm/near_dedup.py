@@ -265,7 +265,9 @@ def near_duplicates(docs: DataFrame, tensor: Tensor = Tensor()) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, tensor: Tensor = Tensor(bands=14, percent=80)) -> DataFrame:
     """The rows of ``docs`` that are kept, one for each document (id and text), with their columns.
 
-    Documents of similarity 0.8 or more are linked; two of similarity 0.8 share a key with probability 0.9999.
+    Documents of similarity 0.8 or more are linked; two of similarity 0.8 share a key with probability 0.9999. Rows repeated in
+    id and text stay once; null and wordless texts are linked with nothing and stay; other columns, whatever their names, pass
+    through; an empty table stays empty.
     """
     kept = linked(docs, tensor).where("kept").select(F.col("doc_id").alias("of"), F.col("t").alias("of_t")).distinct()
     packed = docs.select("doc_id", F.xxhash64("text").alias("t"), F.struct(*docs.columns).alias("row"))

@@ -59,11 +59,12 @@ class PieceModel:
     """Vocabulary of a BPE model file, with the segment encoder and the library's processor.
 
     The file is the library's public model format; its pieces, scores and switches are read through the
-    library. ``remember`` bounds the segments whose ids a worker keeps: when so many are known, they
-    become the older generation, from which those that come up again are taken over.
+    library. ``remember_bytes`` bounds what a worker keeps of segments and their ids: when it is reached, they
+    become the older generation, from which those that come up again are taken over. Segments of more than ``longest``
+    characters (texts without spaces are one segment) are not kept.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember_bytes: int = 96 << 20, longest: int = 64):
         import sentencepiece
 
         with open(path, "rb") as f:
@@ -81,7 +82,7 @@ class PieceModel:
         self.unknown, self.bos, self.eos = lib.unk_id(), lib.bos_id(), lib.eos_id()
         # segments may be cut before a space run only if no piece holds a space after another character
         self.separable = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.remember = remember
+        self.remember_bytes, self.longest, self.held = remember_bytes, longest, 0
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -112,13 +113,20 @@ class PieceModel:
         for s in segments:
             if (ids := self.older.get(s)) is not None:
                 self.known[s] = ids
+                self.held += self._bytes(s, ids)
         new = [s for s in segments if s not in self.known]
         # the library puts the space prefix itself
         for s, want in zip(new, self.library.encode([s[1:] for s in new], num_threads=1)):
             got = self.segment_ids(s)
             if len(s) > 1 and got != want:
                 raise ValueError(f"ids of {s[:80]!r} differ from the library's: {got[:20]} and {want[:20]}")
-            self.known[s] = array("I", got).tobytes()
+            self.known[s] = ids = array("I", got).tobytes()
+            self.held += self._bytes(s, ids)
+
+    @staticmethod
+    def _bytes(segment: str, ids: bytes) -> int:
+        """What an entry takes at most: characters, ids, two objects and a place in the table."""
+        return 4 * len(segment) + len(ids) + 200
 
     def encode(self, texts: Iterable[str], block: int = 1_000_000) -> Iterator[bytes]:
         """Ids of each text with begin and end ids, as little-endian unsigned 32-bit integers.
@@ -139,14 +147,17 @@ class PieceModel:
         begin, end = (array("I", [i]).tobytes() for i in (self.bos, self.eos))
         parts = set().union(*waiting)
         missing = parts.difference(self.known)
-        if missing and len(self.known) + len(missing) > self.remember:
-            self.older, self.known = self.known, {}
+        if missing and self.held > self.remember_bytes:
+            self.older, self.known, self.held = self.known, {}, 0
             missing = parts
         if missing:
             self.learn(missing)
         known = self.known
         for segments in waiting:
             yield begin + b"".join([known[s] for s in segments]) + end
+        for s in parts:
+            if len(s) > self.longest:
+                self.held -= self._bytes(s, known.pop(s))
 
     def decode(self, ids: bytes) -> str:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())

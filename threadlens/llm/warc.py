@@ -116,7 +116,11 @@ def parse(content: bytes, at: int, head: int) -> tuple | None:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place in the archives below ``path`` that reads like a record, with its successor's offset."""
+    """Every place in the archives below ``path`` that reads like a record, with its successor's offset.
+
+    Places inside payloads are among them; an archive without records (or no archive) gives no rows, a header that does not
+    parse is no candidate, and equal archives under several names are read as often.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -156,7 +160,11 @@ def reachable(found: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record below ``path``."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record below ``path``.
+
+    A record without a page id has a null one; repeated records come as often; bytes behind the last whole record of an
+    archive are no record.
+    """
     found = shared_table(candidates(spark, path), "candidates")
     return reachable(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
