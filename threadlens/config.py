@@ -5,13 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 # --- fixed values (must equal the published setup) -------------------------------------------
-SEED = 42
-DEFAULT_THRESHOLD = 0.3
 ANALYSIS_THRESHOLD = 0.35
-ANALYSIS_SEEDS = 50  # seeds 42..91
 MISSING_CONTEXT = ("", "0", "[]")
 NO_CONTEXT = "0_no_context"
-MODELS = ("beto", "roberta_bne", "mbert")
 
 TOPICS = [
     "xenophobia", "suffering", "economic", "migration", "culture",
@@ -21,7 +17,6 @@ IMPLICIT_CATEGORIES = [
     "Context", "Entailment/Evaluation", "Extrapolation", "Figures of speech", "Humor/Jokes",
     "Imperative/Exhortative", "Irony/Sarcasm", "World knowledge", "Others",
 ]
-DATA_NAMES = {"detests": "DETESTS", "stereohoax": "StereoHoax-ES"}
 MODEL_NAMES = {"beto": "BETO", "roberta_bne": "MarIA", "bertin": "BERTIN", "mbert": "M-BERT"}
 CONTEXT_NAMES = {
     "0_no_context": "No Context",
