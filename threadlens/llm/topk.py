@@ -76,7 +76,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 4096, block_rows: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, task_bytes: int = 8 << 20, shard_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
     """The ``k`` highest integer inner products of every query against every other vector.
 
     ``vectors``: vec_id, embedding (others are ignored); ``is_query`` picks the queries among its rows.
@@ -85,9 +85,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 40
     repeated exactly counts once; a vector is only compared with vectors of its own length and never with
     its own id. Ties go to the smaller vec_id. Empty tables give an empty result.
 
-    Scale: a task holds one shard (about ``shard_rows`` vectors) and one block of queries. Queries are
-    sent to every shard and vectors to every block; both counts follow from the table's size, so
-    memory stays flat. Lists merge in a tree of fan-out 32, so no task sees all shards of a query.
+    Components are kept within +-2**62 after scaling; a score beyond a long wraps.
+
+    Scale: a task holds one shard and one block of queries, each of about ``task_bytes`` as 64-bit numbers (or ``shard_rows`` and
+    ``block_rows`` vectors). Queries are sent to every shard and vectors to every block, so what is shuffled is the number of queries times
+    that of vectors over the rows of a task: memory stays flat, and larger tasks shuffle less. Lists merge in a tree of fan-out
+    32, so no task sees all shards of a query.
     """
     ship(vectors.sparkSession)
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
@@ -95,7 +98,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 40
         vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
         .withColumn("asks", F.coalesce(is_query, F.lit(False)))
         .select(F.col("vec_id").cast("long"), "embedding", "asks").where(finite).distinct(), "vectors")
-    rows, asking = clean.agg(F.count("*"), F.count_if("asks")).first()
+    rows, asking, longest = clean.agg(F.count("*"), F.count_if("asks"), F.max(F.size("embedding"))).first()
+    held = max(1, task_bytes // (8 * max(1, longest or 0)))
+    shard_rows, block_rows = shard_rows or held, block_rows or held
     shards, blocks = max(1, math.ceil(rows / shard_rows)), max(1, math.ceil(asking / block_rows))
     width = F.size("embedding")
     dealt = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")
