@@ -6,6 +6,7 @@ group table, with the sets of groups as distributed rows (no driver recursion).
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -303,13 +304,28 @@ def stratified_split(df: DataFrame, key: Sequence[str], labels: Sequence[str], t
     return r.withColumn("split", code.cast("int")).drop("_combo", "_u", "_rank", "_size")
 
 
-def fold_quotas(combos: Sequence[tuple[tuple[int, ...], int]], ratios: Sequence[float]) -> list[list[int]]:
+def fold_quotas(combos: Sequence[tuple[tuple[int, ...], int]], ratios: Sequence[float], single: int = 100_000, tries: int = 32) -> list[list[int]]:
     """How many rows of each label combination go to each fold, by order-2 iterative stratification.
 
-    ``combos``: (labels that are 1, rows). Whole shares of a combination go straight to the folds; what is left of it, fewer rows than
-    folds, is dealt one by one: the label pair (or single label) with the fewest rows left comes first, and a row goes to the fold that
-    lacks that pair most, then all pairs of the row together, then rows at all.
+    ``combos``: (labels that are 1, rows). Of up to ``tries`` deals that differ in how ties are broken (seeded, so reruns agree; fewer where
+    there are many rows to deal) the one counts whose worst pair is nearest to its share.
     """
+    steps = sum(min(n, max(len(ratios), single // max(1, len(combos)))) for _, n in combos)
+    deals = [dealt_quotas(combos, ratios, single, seed) for seed in range(max(1, min(tries, single // max(1, steps))))]
+    return min(deals, key=lambda d: d[0])[1]
+
+
+def dealt_quotas(combos: Sequence[tuple[tuple[int, ...], int]], ratios: Sequence[float], single: int, seed: int, passes: int = 50) -> tuple[tuple, list[list[int]]]:
+    """((worst distance of a pair from its share, sum of eighth powers), quotas) of one deal.
+
+    Rows are dealt one by one: the label pair (or single label) with the fewest rows left comes
+    first, and a row goes to the fold that lacks that pair most, then rows at all, then by chance. Of frequent
+    combinations only a reserve is dealt like this (``single`` rows of all combinations together); the rest of their rows go to the
+    folds by their ratios first, which moves all that a fold lacks alike. In the end the pair that is farthest from its share is
+    mended by moving one of its rows, or exchanging it for another row, where that helps on the whole; at most ``passes`` times.
+    """
+    chance = random.Random(seed)
+    reserve = max(len(ratios), single // max(1, len(combos)))
     folds = range(len(ratios))
     pairs = [[(a, b) for i, a in enumerate(on) for b in on[i:]] for on, _ in combos]
     size: dict = {}
@@ -321,7 +337,7 @@ def fold_quotas(combos: Sequence[tuple[tuple[int, ...], int]], ratios: Sequence[
     quotas = []
     left, holders = [], {p: [] for p in size}
     for c, (mine, (_, n)) in enumerate(zip(pairs, combos)):
-        quotas.append([int(r * n + 1e-9) for r in ratios])
+        quotas.append([int(r * max(0, n - reserve)) for r in ratios])
         left.append(n - sum(quotas[c]))
         for f in folds:
             missing[f] -= quotas[c][f]
@@ -331,21 +347,58 @@ def fold_quotas(combos: Sequence[tuple[tuple[int, ...], int]], ratios: Sequence[
             holders[p].append(c)
 
     def deal(c: int, first: tuple | None) -> None:
-        while left[c]:
-            f = max(folds, key=lambda f: (lacks[first][f] if first else 0, sum(lacks[p][f] for p in pairs[c]), missing[f], -f))
-            quotas[c][f] += 1
-            left[c] -= 1
-            missing[f] -= 1
-            for p in pairs[c]:
-                lacks[p][f] -= 1
+        f = max(folds, key=lambda f: (round(lacks[first][f], 6) if first else 0, round(missing[f], 6), chance.random()))
+        quotas[c][f] += 1
+        left[c] -= 1
+        missing[f] -= 1
+        for p in pairs[c]:
+            lacks[p][f] -= 1
 
     while any(waiting := {p: n for p, cs in holders.items() if (n := sum(left[c] for c in cs))}):
         rarest = min(waiting, key=lambda p: (waiting[p], p))
-        for c in holders[rarest]:
+        rows = [c for c in holders[rarest] for _ in range(left[c])]
+        chance.shuffle(rows)
+        for c in rows:
             deal(c, rarest)
     for c in range(len(combos)):  # rows without labels
-        deal(c, None)
-    return quotas
+        while left[c]:
+            deal(c, None)
+
+    def harm(moves: list[tuple[int, int, int]]) -> float:
+        """What moving a row of each (combination, from, to) changes in the sum of eighth powers of what folds lack."""
+        change: dict = {}
+        for c, f, g in moves:
+            for p in [*pairs[c], None]:  # the size of a fold counts a fourth of a pair
+                change[p, f] = change.get((p, f), 0) + 1
+                change[p, g] = change.get((p, g), 0) - 1
+        now = {k: (missing[k[1]] / 4 if k[0] is None else lacks[k[0]][k[1]]) for k in change}
+        return sum((now[k] + (d / 4 if k[0] is None else d)) ** 8 - now[k] ** 8 for k, d in change.items())
+
+    for _ in range(passes):
+        worst, fold = max(((p, f) for p in lacks for f in folds), key=lambda x: (abs(lacks[x[0]][x[1]]), x), default=(None, 0))
+        if worst is None or abs(lacks[worst][fold]) <= 0.5:
+            break
+        lacking = lacks[worst][fold] > 0
+        tries = []
+        for c in holders[worst]:
+            for other in folds:
+                f, g = (other, fold) if lacking else (fold, other)
+                if f == g or not quotas[c][f]:
+                    continue
+                tries.append([(c, f, g)])
+                if len(combos) <= 512:  # in exchange for a row of another combination
+                    tries += [[(c, f, g), (d, g, f)] for d in range(len(combos)) if quotas[d][g] and worst not in pairs[d]]
+        best = min(tries, key=harm, default=None)
+        if best is None or harm(best) > -1e-9:
+            break
+        for c, f, g in best:
+            for x, step in ((f, -1), (g, 1)):
+                quotas[c][x] += step
+                missing[x] -= step
+                for p in pairs[c]:
+                    lacks[p][x] -= step
+    far = [abs(x) for p in lacks for x in lacks[p]]
+    return (round(max(far, default=0.0), 6), sum(x**8 for x in far)), quotas
 
 
 def iterative_split(df: DataFrame, key: Sequence[str], labels: Sequence[str], test_ratio: float = 0.2, val_ratio: float | None = None,
