@@ -158,7 +158,7 @@ def test_shares_are_exact_for_large_counts():
 
 
 def test_tokens_match_patterns():
-    texts = ["", " a  B\t", "É é\x0b\x0cx", "A-b_c1d e", "日 本", "\n"]
+    texts = ["a\x1cb c\x00d \x1f\x85e\u2003f\xa0g", "\x00", "\x1c \x1d", "A\u0130B", "", " a  B\t", "É é\x0b\x0cx", "A-b_c1d e", "日 本", "\n"]
     for table, pattern in ((tokens.WORDS, r"[^\x20\x09-\x0D]+"), (tokens.TERMS, r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")):
         owner, number, distinct = tokens.tokens([t.encode() for t in texts], table)
         got = [(o, distinct[n].as_py()) for o, n in zip(owner.tolist(), number.tolist())]
