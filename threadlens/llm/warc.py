@@ -140,23 +140,24 @@ def reachable(found: DataFrame) -> DataFrame:
 
     ``found``: file, at, successor. With jumps of 1, 2, 4, ... records, the reached offsets double each
     round, so the number of rounds is the logarithm of the longest chain; each round is two joins of
-    slim rows by (file, offset).
+    slim rows by (file, offset). None of these tables is broadcast: they grow with the archives, but their names
+    and offsets take so little on disk that size estimates are far below what they take in memory.
     """
     jump = shared_table(found.select("file", "at", F.col("successor").alias("to")), "jumps")
     places = jump.select("file", "at")
     reached = shared_table(jump.where("at = 0").select("file", "at"), "reached")
     count = reached.count()
     while True:
-        onward = reached.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))
-        onward = onward.join(places, ["file", "at"], "left_semi")  # only offsets that hold a candidate count
+        onward = reached.join(jump.hint("merge"), ["file", "at"]).select("file", F.col("to").alias("at"))
+        onward = onward.join(places.hint("merge"), ["file", "at"], "left_semi")  # only offsets that hold a candidate count
         reached = shared_table(reached.union(onward).distinct(), "reached")
         now = reached.count()
         if now == count:
             break
         count = now
         after = jump.select("file", F.col("at").alias("to"), F.col("to").alias("then"))
-        jump = shared_table(jump.join(after, ["file", "to"]).select("file", "at", F.col("then").alias("to")), "jumps")
-    return found.join(reached, ["file", "at"], "left_semi")
+        jump = shared_table(jump.join(after.hint("merge"), ["file", "to"]).select("file", "at", F.col("then").alias("to")), "jumps")
+    return found.join(reached.hint("merge"), ["file", "at"], "left_semi")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
