@@ -15,7 +15,7 @@ from threadlens.operators import seeds as S
 from threadlens.operators import splits as SP
 from threadlens.plans.q_changes import CTX, changes_sql
 from threadlens.plans.q_evaluation import CELLS_SQL
-from threadlens.plans.q_sources import RUN_SCHEMA, run_file_names, scratch
+from threadlens.plans.q_sources import RUN_SCHEMA, save_run_files, scratch
 from threadlens.plans.registry import query
 from threadlens.sources import adapters as A
 from threadlens.sources import io as IO
@@ -111,10 +111,9 @@ SELECT 'stereohoax' AS data, model, context, seed, {CELLS_SQL} FROM preds WHERE
 def q_incremental_files(spark, d):
     """Two batches of run files, a year apart by their file times; only those modified after the first are read."""
     root = scratch(spark, "incremental")
-    p = A.preds(spark, d).withColumn("file_name", run_file_names())
-    cols = ["file_name", "doc_id", "stereo", "stereo_pred", "softmax_confidence"]
+    p = A.preds(spark, d)
     for part, rows, year in (("a", F.col("seed") < 47, 2020), ("b", F.col("seed") >= 47, 2021)):
-        p.filter(rows).select(*cols).write.partitionBy("file_name").option("header", True).csv(f"{root}/{part}")
+        save_run_files(p.filter(rows), f"{root}/{part}")
         set_file_times(spark, f"{root}/{part}", datetime.datetime(year, 1, 1, tzinfo=datetime.UTC))
     runs = IO.incremental_files(spark, [root], RUN_SCHEMA, "2020-07-01T00:00:00")
     return M.confusion(runs, ["data", *RUN])

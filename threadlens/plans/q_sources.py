@@ -32,12 +32,23 @@ def run_file_names():
                     F.col("seed").cast("string"), F.lit("_max_tokens_512-task1.csv"))
 
 
+#: Rows of a run in one of its files, about.
+FILE_ROWS = 1_000_000
+
+
+def save_run_files(p, path: str) -> None:
+    """Each run's rows as CSV under a folder named like the run file, in as many files as its rows ask for, however ``p`` is cut."""
+    most = p.groupBy(*RUN).count().agg(F.max("count")).first()[0] or 0
+    slices = 1 + most // FILE_ROWS
+    part = F.pmod(F.xxhash64("doc_id", "stereo_pred"), F.lit(slices))
+    p = p.withColumn("file_name", run_file_names()).select("file_name", "doc_id", "stereo", "stereo_pred", "softmax_confidence")
+    p.repartition("file_name", part).write.partitionBy("file_name").option("header", True).csv(path)
+
+
 def write_run_files(spark, d) -> str:
-    """S5-style writer: each run's rows as CSV under a folder named like the run file."""
+    """S5-style writer: the runs of `preds` as files."""
     path = scratch(spark, "runs")
-    p = A.preds(spark, d).withColumn("file_name", run_file_names())
-    (p.select("file_name", "doc_id", "stereo", "stereo_pred", "softmax_confidence")
-     .write.partitionBy("file_name").option("header", True).csv(path))
+    save_run_files(A.preds(spark, d), path)
     return path
 
 

@@ -69,12 +69,29 @@ def parse_run(df: DataFrame, file_col: str = "file_name") -> DataFrame:
 
 
 def with_run(df: DataFrame) -> DataFrame:
-    """Run columns parsed from the path of each row's file; ``file_name`` is the bare name."""
-    path = F.regexp_extract(F.col("_metadata.file_path"), RUN_PATH, 1)
-    out = parse_run(df.withColumn("file_name", path))
+    """Run columns parsed from the path of each row's file; ``file_name`` is the bare name.
+
+    For streams, whose files are not known beforehand; ``read_predictions`` parses once per file.
+    """
+    out = parse_run(df.withColumn("file_name", run_path(F.col("_metadata.file_path"))))
     return out.withColumn("file_name", F.substring_index("file_name", "/", -1))
 
 
+def run_path(path: Column) -> Column:
+    """``RUN_PATH`` of a full path: only its last four parts, behind the last ``=`` of the folders, can hold it, so nothing else is searched."""
+    name, tail = F.substring_index(path, "/", -1), F.substring_index(path, "/", -4)
+    folders = F.substr(tail, F.lit(1), F.greatest(F.length(tail) - F.length(name) - 1, F.lit(0)))
+    return F.regexp_extract(F.concat_ws("/", F.substring_index(folders, "=", -1), name), RUN_PATH, 1)
+
+
+def run_files(spark: SparkSession, path: str, options: dict[str, str | bool]) -> DataFrame:
+    """One row per file below ``path``: its full path as ``_file`` and the run columns of it. Nothing of a file's content is read."""
+    files = spark.read.format("binaryFile").options(**options).load(path).select("_metadata.file_path")
+    # names are parsed once per file and stored, so no plan can bring the expressions back to the rows
+    named = parse_run(files.select(F.col("file_path").alias("_file"), run_path(F.col("file_path")).alias("file_name")))
+    return write_shared(named.withColumn("file_name", F.substring_index("file_name", "/", -1)), "run-files")
+
+
 def read_predictions(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str,
                      glob: str | None = None, modified_after: str | None = None) -> DataFrame:
     """S3 (+S9): the run files under ``paths``; run columns parsed from the path.
@@ -82,22 +99,27 @@ def read_predictions(spark: SparkSession, paths: Sequence[str], schema: T.Struct
     ``schema`` names and types the columns wanted. Each of ``paths`` is one read, whose files share a header;
     its columns may come in any order, columns that a header lacks are null, others are ignored. A file whose
     header differs from the others of its path fails the read instead of being taken by position.
-    ``modified_after`` (e.g. ``2024-01-01T00:00:00``) keeps only files changed after it (S9).
+    ``modified_after`` (e.g. ``2024-01-01T00:00:00``) keeps only files changed after it (S9). File names are parsed once
+    per file and joined to its rows; the table of files is no larger than the list that the scan itself keeps on the driver.
     """
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     kinds = {f.name: f.dataType for f in wanted.fields}
     frames = []
     for path in paths:
-        r = spark.read.option("header", True).option("recursiveFileLookup", True).option("enforceSchema", False)
+        options: dict[str, str | bool] = {"recursiveFileLookup": True}
         if glob:
-            r = r.option("pathGlobFilter", glob)
+            options["pathGlobFilter"] = glob
         if modified_after:
-            r = r.option("modifiedAfter", modified_after)
+            options["modifiedAfter"] = modified_after
+        r = spark.read.option("header", True).option("enforceSchema", False).options(**options)
         header = r.csv(path).columns
         df = r.schema(T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])).csv(path)
         missing = [F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c not in header]
-        named = with_run(df)
-        run = [c for c in named.columns if c not in header]
+        files = run_files(spark, path, options)
+        run = [c for c in files.columns if c != "_file" and c not in header]
+        own = [c for c in kinds if c in header and c != "file_name"]  # the file's name replaces a column called so
+        rows = df.select(*own, F.col("_metadata.file_path").alias("_file"))
+        named = rows.join(F.broadcast(files.select("_file", *run, *(["file_name"] if "file_name" in header else []))), "_file", "left")
         frames.append(named.select(*[c for c in kinds if c in header], *missing, *run))
     out = frames[0]
     for f in frames[1:]:
