@@ -92,7 +92,9 @@ def stream_evaluate(spark: SparkSession, source_dir: str, schema: T.StructType |
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     runs = with_run(reader.option("enforceSchema", False).csv(source_dir))
     by = [*run, *keys]
-    values = [c for c in runs.columns if c not in by]
+    # of the rest, the state keeps only what the metrics read
+    read = {target, target + "_pred", "softmax_confidence", "implicit", "contextual", target + "_soft", target + "_pred_soft"}
+    values = [c for c in runs.columns if c in read and c not in by]
     # a key that has come once has its values in the state; of one that came again only the count matters
     seen = runs.groupBy(*by).agg(F.count("*").alias("times"), *[F.max(c).alias(c) for c in values])
     extra = [c for c in test.columns if c not in runs.columns or c in keys]
