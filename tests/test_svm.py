@@ -55,3 +55,11 @@ def test_predictions_and_edges(spark):
     one = df.where("label = 1")  # a single class
     assert {r.label_pred for r in MO.linear_svc(one, one, "features", "label").collect()} == {1}
     assert svm.fit_linear(df.limit(0), "features", "label").rounds == 0
+
+
+def test_lists_are_views_of_the_buffer():
+    import pyarrow as pa
+
+    column = pa.array([[9, 9], [1, 2, 3], [], [4]], pa.list_(pa.int64())).slice(1)
+    got = list(svm.pieces(column))
+    assert [x.tolist() for x in got] == [[1, 2, 3], [], [4]] and all(x.base is not None for x in got)

@@ -36,6 +36,12 @@ def sparse(column: pa.Array, bias: int) -> Iterator[tuple[np.ndarray, np.ndarray
         yield np.append(at, bias), np.append(np.array(v["values"], float), 1.0)
 
 
+def pieces(column: pa.Array) -> Iterator[np.ndarray]:
+    """The lists of a column without nulls as views of its buffer, with no Python number made."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=True)
+    return (values[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()))
+
+
 def ascend(rows: list[tuple], w: np.ndarray, scale: float, passes: int, rng: np.random.Generator) -> list[tuple[float, float]]:
     """(proposed change, hinge loss under ``w``) of each (indices, values, y, variable) after some passes in random order.
 
@@ -64,6 +70,7 @@ def fit_linear(train: DataFrame, features: str, target: str, C: float = 1.0, tol
     from pyspark import TaskContext
 
     known = train.where(F.col(features).isNotNull() & F.col(target).isNotNull()).select(features, F.col(target).cast("double").alias("y"))
+    known = write_shared(known, "svm-rows")  # read three times; the vectors are made once
     head = known.first()
     if head is None:
         return LinearFit(np.zeros(1), 1.0, 0.0, 0)
@@ -73,7 +80,8 @@ def fit_linear(train: DataFrame, features: str, target: str, C: float = 1.0, tol
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array([c.tolist() for c in cols[0]], kind[0].type), pa.array([c.tolist() for c in cols[1]], kind[1].type),
+        ends = pa.array(np.cumsum([0, *map(len, cols[0])]), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, np.concatenate(cols[0])), pa.ListArray.from_arrays(ends, np.concatenate(cols[1])),
                                            *(pa.array(c, pa.float64()) for c in cols[2:])], schema=kind)
 
     def start(batches):
@@ -83,13 +91,13 @@ def fit_linear(train: DataFrame, features: str, target: str, C: float = 1.0, tol
                 yield table(rows)
 
     schema = "at array<long>, x array<double>, y double, a double, da double, hinge double"
-    state = write_shared(known.repartition(max(1, -(-n // block_rows))).mapInArrow(start, schema), "svm")
+    state = write_shared(known.mapInArrow(start, schema).repartition(max(1, -(-n // block_rows))), "svm")
     w, scale, far = np.zeros(bias + 1), float(C), 0.0  # lambda n = 1 / C
     fit = LinearFit(w, 1.0, 1.0, 0)
     for k in range(max_rounds + 1):
         def step(batches, w=w, k=k, far=far):
-            rows = [(np.array(at), np.array(x), y, min(1.0, max(0.0, a + far * da))) for b in batches
-                    for at, x, y, a, da in zip(*(b.column(i).to_pylist() for i in range(5)))]
+            rows = [(at, x, y, min(1.0, max(0.0, a + far * da))) for b in batches
+                    for at, x, y, a, da in zip(pieces(b.column(0)), pieces(b.column(1)), *(b.column(i).to_pylist() for i in (2, 3, 4)))]
             rng = np.random.default_rng([seed, k, TaskContext.get().partitionId()])
             done = ascend(rows, w, scale, passes, rng)
             for i in range(0, len(rows), 4096):
