@@ -5,10 +5,11 @@ import math
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from threadlens.llm import queries
-from threadlens.llm.suffix_tree import Tree, tree_scores
+from threadlens.llm.suffix_tree import Level, Tree, Unit, tree_scores
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,6 +85,20 @@ def test_scores_match_plain_counting(spark):
         alike(tree_scores(df, F.col("out"), tree).collect(), want)
 
 
+def test_thresholds_are_those_of_any_corpus():
+    assert Tree().at(1000) == Tree().at(2 * 10**6) == Tree().at(10**11) == Tree()
+
+
+def test_pairs_need_a_frequent_shorter_one():
+    unit = Unit.__new__(Unit)
+    unit.tree, unit.count, unit.train = Tree(least_pair=3), np.array([9, 9, 9, 2, 9]), np.ones(5, bool)
+    level = lambda place, total: Level(np.array(place), np.zeros(len(place), np.int64), np.zeros(1, np.uint64), np.ones(1, np.int64), np.array(place, np.uint64), np.array(total))
+    keys, n = unit.pairs(level([1, 2, 3, 4], [0] * 4), None)
+    assert keys.tolist() == [1, 2, 4] and n.tolist() == [1, 1, 1]
+    keys, n = unit.pairs(level([2, 3, 4], [0] * 3), level([1, 2, 3, 4], [9, 0, 9, 3]))
+    assert keys.tolist() == [4] and n.tolist() == [1]
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (None, None)], "doc_id long, text string")
     got = tree_scores(df, F.lit(True)).collect()  # nothing to learn from

@@ -37,10 +37,9 @@ class Tree:
     """Contexts of up to ``depth`` words with at least ``least_context`` occurrences and followers with ``least_pair``.
 
     A context is kept if its divergence from the shorter ones, in nats over all its occurrences, is above ``penalty`` * ln(occurrences) for each
-    stored follower. ``discount`` is taken off every stored count; what is left goes to the shorter context. The more contexts are tried, the
-    more evidence each needs: ``least_context`` is at least ``rise`` times the square root of the training tokens, and ``least_pair`` rises
-    with it, so the tree grows more slowly than the corpus. A unit holds about ``unit_bytes`` of text, a bucket what ``bucket_bytes``
-    of text make.
+    stored follower. ``discount`` is taken off every stored count; what is left goes to the shorter context. Both thresholds are the same for
+    every corpus, unless ``rise`` is set: then ``least_context`` is at least ``rise`` times the square root of the training tokens, and
+    ``least_pair`` rises with it. A unit holds about ``unit_bytes`` of text, a bucket what ``bucket_bytes`` of text make.
     """
 
     depth: int = 3
@@ -48,7 +47,7 @@ class Tree:
     least_pair: int = 2
     discount: float = 0.75
     penalty: float = 0.5
-    rise: float = 1 / 64
+    rise: float = 0.0
     unit_bytes: int = 13 << 20
     bucket_bytes: int = 8 << 20
 
@@ -304,9 +303,13 @@ class Unit:
         at, total = level.place[kept], level.total[kept]
         self.p[at] = np.where(total > 0, (total - self.tree.discount) / level.n[level.group[kept]], 0.0) + lam[kept] * self.p[at]
 
-    def pairs(self, level: Level) -> tuple[np.ndarray, np.ndarray]:
-        """(key, training occurrences) of the pairs that can be frequent enough to be stored."""
+    def pairs(self, level: Level, shorter: Level | None) -> tuple[np.ndarray, np.ndarray]:
+        """(key, training occurrences) of the pairs that can be frequent enough to be stored: the word is, and so is its pair with the
+        next shorter context, as that occurs wherever the longer one does."""
         can = self.count[level.place] >= self.tree.least_pair
+        if shorter is not None and len(shorter.place):
+            at = np.minimum(np.searchsorted(shorter.place, level.place), len(shorter.place) - 1)
+            can &= (shorter.total[at] >= self.tree.least_pair) | (shorter.place[at] != level.place)
         order = np.argsort(key := level.key[can])
         key, train = key[order], self.train[level.place[can]][order]
         first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
@@ -356,7 +359,7 @@ def heard(states: DataFrame, facts: DataFrame, corpus: Corpus, tree: Tree, k: in
             unit.predict(j, levels[j - 1])
         rows = [(name, 0, None, packed({c: x for c, x in unit.a.items() if c not in before}))] if k > 1 else []
         if k <= tree.depth:
-            keys, n = unit.pairs(levels[k - 1])
+            keys, n = unit.pairs(levels[k - 1], levels[k - 2] if k > 1 else None)
             rows += dealt(name, k, buckets, keys, n=n)
         if k > 1:
             contexts, n, total, pairs, gain, share = unit.statistics(levels[k - 2], lead)
@@ -428,8 +431,8 @@ def tree_scores(docs: DataFrame, held_out, tree: Tree = Tree()) -> DataFrame:
     a context, unknown ones as one, add up to 1.
 
     Scale: what is shuffled is a unit's distinct words and pairs, packed, so a hot word or passage costs one entry a unit (``unit_bytes`` of
-    text, one document at least). Pairs are only counted behind frequent contexts and before words that are frequent enough, which
-    loses none that could be stored. Units and buckets are bounded in size, their numbers grow with the
+    text, one document at least). Pairs are only counted behind frequent contexts and where the word and its
+    pair with the next shorter context are frequent enough, which loses none that could be stored. Units and buckets are bounded in size, their numbers grow with the
     corpus. What a pass adds is written to the shared folder; what no later pass needs is deleted there.
     """
     spark = docs.sparkSession
