@@ -8,8 +8,8 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from threadlens.llm import queries
-from threadlens.llm.suffix_tree import Level, Tree, Unit, tree_scores
+from threadlens.llm import queries, suffix_tree
+from threadlens.llm.suffix_tree import Level, Shelf, Tree, Unit, numbered, tree_scores, unpacked
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,6 +99,33 @@ def test_pairs_need_a_frequent_shorter_one():
     assert keys.tolist() == [4] and n.tolist() == [1]
 
 
+def test_numbered_mends_hashes_alike_in_upper_bits():
+    r = np.random.default_rng(5)
+    some = r.integers(0, 1 << 63, 40).astype(np.uint64)
+    for key in (r.choice(some, 500), r.integers(0, 50, 500).astype(np.uint64), np.sort(some), some[:1], some[:0],
+                np.concatenate([r.choice(some, 300), r.choice(some ^ np.uint64(5), 300)])):
+        keys, number, first = numbered(key)
+        for got, want in zip((keys, first, number), np.unique(key, return_index=True, return_inverse=True)):
+            assert got.tolist() == want.tolist()
+
+
+def test_answers_hold_no_keys_and_units_are_written_once(spark, monkeypatch):
+    tables, put = {}, Shelf.put
+    monkeypatch.setattr(suffix_tree.Shelf, "put", lambda self, df, name: tables.setdefault(name, put(self, df, name)))
+    r = random.Random(3)
+    docs = [(i, " ".join(f"w{int(r.paretovariate(0.4)) % 700}" for _ in range(r.randrange(60))), i % 7 == 2) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, out boolean")
+    tree = Tree(unit_bytes=9000, bucket_bytes=20_000)
+    want, states = plain_scores(docs, tree)
+    assert states
+    alike(tree_scores(df, F.col("out"), tree).collect(), want)
+    assert set(tables) == {"units", "words", "facts-1", "facts-2", "facts-3", "facts-4"}
+    for name in set(tables) - {"units"}:
+        held = [unpacked(x.blob) for x in tables[name].collect()]
+        assert held and all(set(x) <= {"c", "total", "pairs", "lead"} for x in held)
+        assert all(len({len(v) for v in x.values()}) == 1 for x in held)
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (None, None)], "doc_id long, text string")
     got = tree_scores(df, F.lit(True)).collect()  # nothing to learn from

@@ -5,8 +5,9 @@ if those counts diverge from what the shorter contexts predict by more than they
 scored by the longest kept context before it, smoothed with the next shorter one, down to word frequencies.
 
 The corpus is cut into units of bounded size. A unit counts its own words and pairs of a context and a word, and sends
-them, packed, to buckets by hash; a bucket adds up equal ones over all units and sends every unit back what it
-holds itself. So no task sees the whole model, and a row of a shuffle is a packed list instead of one count.
+them, packed, to buckets by hash; a bucket adds up equal ones over all units and answers every unit, in the order in
+which it was asked. A unit finds that order again, so answers are numbers without keys. So no task sees the whole model,
+and a row of a shuffle is a packed list instead of one count.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +60,7 @@ class Tree:
 
 
 class Shelf:
-    """Tables in the shared folder, by kind of row, that are deleted as soon as nothing needs them, with the shuffles behind them."""
+    """Tables in the shared folder, by kind of row; kinds that nothing needs any more are deleted, with the shuffles behind them."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
@@ -69,41 +71,38 @@ class Shelf:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str, rows_of: str | None = None) -> None:
-        """Delete tables, and all rows of ``rows_of`` but those of kind 0."""
-        for path in [self.paths.pop(name) for name in names if name in self.paths]:
-            self._delete(self.spark._jvm.org.apache.hadoop.fs.Path(path))
+    def drop(self, rows_of: str | None = None) -> None:
+        """Delete old shuffles and all rows of ``rows_of`` but those of kind 0."""
         if rows_of:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[rows_of])
-            for part in place.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(place):
+            files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for part in files.listStatus(place):
                 if part.isDirectory() and part.getPath().getName() != "kind=0":
-                    self._delete(part.getPath())
+                    files.delete(part.getPath(), True)
         for _ in range(2):  # Spark deletes shuffles in the background once Python's and then the driver's references are gone
             release(self.spark)
             time.sleep(0.5)
 
-    def _delete(self, path) -> None:
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def packed(arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays as one compressed value; equal byte places of numbers lie together."""
+    """Arrays as one compressed value; equal byte places of numbers lie together, whole numbers in as few bytes as their largest needs."""
     import zstandard
 
-    out = {}
+    out, press = {}, zstandard.ZstdCompressor(level=1)
     for name, x in arrays.items():
-        planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T if len(x) else np.empty(0, np.uint8)
-        out[name] = (x.dtype.str, len(x), zstandard.ZstdCompressor(level=1).compress(planes.tobytes()))
+        small = x.astype(np.min_scalar_type(x.max())) if x.dtype.kind in "iu" and x.itemsize > 1 and len(x) and x.min() >= 0 else x
+        planes = np.ascontiguousarray(small).view(np.uint8).reshape(len(x), small.itemsize).T if len(x) else np.empty(0, np.uint8)
+        out[name] = (x.dtype.str, small.dtype.str, len(x), press.compress(planes.tobytes()))
     return pickle.dumps(out)
 
 
 def unpacked(blob: bytes) -> dict[str, np.ndarray]:
     import zstandard
 
-    out = {}
-    for name, (kind, n, data) in pickle.loads(blob).items():
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-        out[name] = np.ascontiguousarray(planes.reshape(-1, n).T).view(kind).ravel() if n else np.empty(0, kind)
+    out, press = {}, zstandard.ZstdDecompressor()
+    for name, (kind, small, n, data) in pickle.loads(blob).items():
+        planes = np.frombuffer(press.decompress(data), np.uint8)
+        out[name] = np.ascontiguousarray(planes.reshape(-1, n).T).view(small).ravel().astype(kind, copy=False) if n else np.empty(0, kind)
     return out
 
 
@@ -126,21 +125,62 @@ def keys_of(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"key": np.cumsum(arrays["step"], dtype=np.uint64)} | {c: x for c, x in arrays.items() if c != "step"}
 
 
+def ranges(key: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, end) of sorted 64-bit keys, cut into buckets of equal ranges; empty ones are left out."""
+    cuts = np.searchsorted(key, np.array([-(-(i << 64) // buckets) for i in range(buckets)], np.uint64)).tolist()
+    return ((i, start, end) for i, (start, end) in enumerate(zip(cuts, [*cuts[1:], len(key)])) if end > start)
+
+
 def dealt(unit: int, kind: int, buckets: int, key: np.ndarray, **columns: np.ndarray) -> Iterator[tuple]:
-    """Rows of SENT: sorted 64-bit keys, cut into buckets of equal ranges, with their columns."""
-    cuts = np.searchsorted(key, np.array([-(-(i << 64) // buckets) for i in range(buckets)], np.uint64))
-    for i, (start, end) in enumerate(zip(cuts, [*cuts[1:], len(key)])):
-        if end > start:
-            yield unit, kind, i, packed({"step": steps(key[start:end])} | {c: x[start:end] for c, x in columns.items()})
+    """Rows of SENT: sorted 64-bit keys by bucket, with their columns."""
+    for i, start, end in ranges(key, buckets):
+        yield unit, kind, i, packed({"step": steps(key[start:end])} | {c: x[start:end] for c, x in columns.items()})
+
+
+def ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of 64-bit hashes in order, equal ones as they came; the hashes in order), by one sort of plain numbers.
+
+    Places fill the lower bits of what is sorted; hashes that are alike in all upper bits are few and mended afterwards.
+    """
+    low = np.uint64((1 << max(len(key) - 1, 1).bit_length()) - 1)
+    code = np.sort(key & ~low | np.arange(len(key), dtype=np.uint64))
+    order = (code & low).astype(np.int64)
+    out = key[order]
+    for top in np.unique(out[1:][out[1:] < out[:-1]] & ~low):
+        alike = slice(np.searchsorted(code, top), np.searchsorted(code, top | low, "right"))
+        order[alike] = order[alike][np.argsort(out[alike], kind="stable")]
+        out[alike] = key[order[alike]]
+    return order, out
+
+
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes in order, each entry's number among them, the first entry of each)."""
+    order, key = ordered(key)
+    new = np.empty(len(key), bool)
+    new[:1], new[1:] = True, key[1:] != key[:-1]
+    number = np.empty(len(key), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], number, order[new]
+
+
+def gathered(table: pa.Table) -> tuple[list[tuple[int, int, int]], dict[str, np.ndarray]]:
+    """([(unit, start, end) of its entries], all columns one after the other, keys among them)."""
+    parts = [keys_of(unpacked(b.as_py())) for b in table.column("blob")]
+    ends = np.cumsum([len(x["key"]) for x in parts]).tolist()
+    return list(zip(table.column("unit").to_pylist(), [0, *ends], ends)), {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
 
 
-def gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """(units in order, place of each entry's unit, all columns one after the other, keys among them)."""
-    units = np.array(table.column("unit").to_pylist(), np.int64)
-    order = np.argsort(units, kind="stable")
-    parts = [keys_of(unpacked(table.column("blob")[int(i)].as_py())) for i in order]
-    of = np.repeat(np.arange(len(parts)), [len(x["key"]) for x in parts])
-    return units[order], of, {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
+def spaced(words: pa.Array) -> pa.Array:
+    """Words with a space behind each."""
+    empty, space = (pa.scalar(x, pa.large_binary()) for x in (b"", b" "))
+    return pc.binary_join_element_wise(words.cast(pa.large_binary()), empty, space)
+
+
+def joined(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(where each of some newly made values starts and the last one ends, their bytes, one after the other)."""
+    _, at, data = words.buffers()
+    at = np.frombuffer(at, np.int64)[: len(words) + 1]
+    return at, np.frombuffer(data, np.uint8)[: at[-1]] if len(words) else np.empty(0, np.uint8)
 
 
 def units(docs: DataFrame, unit_bytes: int, buckets: int) -> DataFrame:
@@ -155,20 +195,16 @@ def units(docs: DataFrame, unit_bytes: int, buckets: int) -> DataFrame:
         often = np.argsort(-np.bincount(number, minlength=len(distinct)), kind="stable")  # frequent words get small numbers
         rank = np.empty(len(often), np.int64)
         rank[often] = np.arange(len(often))
-        number, words = rank[number], distinct.take(pa.array(often)).cast(pa.large_binary()).to_pylist()
-        n = np.bincount(number, weights=~held[owner], minlength=len(words)).astype(np.int64)
-        letters = np.frombuffer(b" ".join(words), np.uint8)
-        h = hashes.of(letters.tobytes())
+        number, words = rank[number], spaced(distinct.take(pa.array(often)))
+        n = np.bincount(number[~held[owner]], minlength=len(words))
+        _, letters = joined(words)
         state = {"doc": np.array([0 if d is None else d for d, *_ in waiting], np.int64), "none": np.array([d is None for d, *_ in waiting], bool),
                  "held": held, "length": np.bincount(owner, minlength=len(held)), "ids": number.astype(np.uint32), "letters": letters}
         rows = [(unit, 0, None, packed(state))]
-        order = np.argsort(h)
-        cuts = np.searchsorted(h[order], np.array([-(-(i << 64) // buckets) for i in range(buckets)], np.uint64))
-        for i, (start, end) in enumerate(zip(cuts, [*cuts[1:], len(words)])):
-            if end > start:
-                mine = order[start:end]
-                some = np.frombuffer(b" ".join([words[w] for w in mine.tolist()]), np.uint8)
-                rows.append((unit, 1, i, packed({"letters": some, "local": mine.astype(np.uint32), "n": n[mine]})))
+        order, h = ordered(hashes.of(letters.tobytes()))
+        at, letters = joined(words.take(pa.array(order)))
+        for i, start, end in ranges(h, buckets):
+            rows.append((unit, 1, i, packed({"letters": letters[at[start] : at[end]], "n": n[order[start:end]]})))
         yield from sent(rows).to_batches()
         pa.default_memory_pool().release_unused()
 
@@ -193,80 +229,54 @@ def word_counts(coded: DataFrame) -> DataFrame:
 
     def run(key, table):
         parts = [unpacked(b.as_py()) for b in table.column("blob")]
-        owner, number, distinct = tokens([x["letters"].tobytes() for x in parts], WORDS)  # equal words, not equal hashes
+        _, number, distinct = tokens([x["letters"].tobytes() for x in parts], WORDS)  # equal words, not equal hashes
         n = np.concatenate([x["n"] for x in parts])
         count = np.bincount(number, weights=n, minlength=len(distinct)).astype(np.int64)
-        rows = [(u, 0, key[0].as_py(), packed({"local": x["local"], "c": count[number[owner == i]]}))
-                for i, (u, x) in enumerate(zip(table.column("unit").to_pylist(), parts))]
+        ends = np.cumsum([len(x["n"]) for x in parts]).tolist()
+        rows = [(u, 0, key[0].as_py(), packed({"c": count[number[start:end]]})) for u, start, end in zip(table.column("unit").to_pylist(), [0, *ends], ends)]
         return sent([*rows, (-1, 0, key[0].as_py(), packed({"total": np.array([count.sum(), (count > 0).sum()])}))])
 
     return coded.where("kind = 1").groupBy("bucket").applyInArrow(run, SENT)
 
 
-class Lookup:
-    """Values by 64-bit key; ``missing`` where a key is unknown."""
-
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], [v[order] for v in values]
-
-    def __call__(self, wanted: np.ndarray, missing: float = 0) -> list[np.ndarray]:
-        if not len(self.keys):
-            return [np.full(len(wanted), missing, v.dtype) for v in self.values]
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        found = self.keys[at] == wanted
-        return [np.where(found, v[at], missing) for v in self.values]
-
-
 @dataclass(frozen=True)
 class Level:
-    """Places behind frequent contexts of one length: the context's number, hash and count, the pair's key and count."""
+    """Places behind frequent contexts of one length: the context's number, hash and count, the pair's key and count; and once pairs
+    are counted, of each pair one of these places."""
 
     place: np.ndarray
     group: np.ndarray
-    contexts: np.ndarray  # by number
+    contexts: np.ndarray  # by number, in order
     n: np.ndarray  # by number
     key: np.ndarray
     total: np.ndarray
+    spots: np.ndarray | None = None  # by pair, in order of keys
 
 
 class Unit:
-    """A unit's documents and what the corpus says of its words (c), pairs (total, by place) and states (ctx, lam)."""
-
-    def __init__(self, state: pa.Table, corpus: Corpus, tree: Tree):
-        self.a, self.corpus, self.tree = {}, corpus, tree
-        for blob in state.column("blob"):
-            self.a |= unpacked(blob.as_py())
-
-    def learn(self, facts: pa.Table) -> np.ndarray:
-        """Take in what buckets sent: word counts (kind 0), pairs (kind k), states (kind -k). Returns the pair keys that this
-        unit speaks for, sorted."""
-        lead = np.empty(0, np.uint64)
-        kinds = facts.column("kind").to_numpy()
-        for k in np.unique(kinds).tolist():
-            parts = [unpacked(facts.column("blob")[int(i)].as_py()) for i in np.flatnonzero(kinds == k)]
-            parts = parts if k == 0 else [keys_of(x) for x in parts]
-            all_of = {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
-            if k == 0:
-                self.a["c"] = np.zeros(1 + int(self.a["ids"].max(initial=0)), np.int64)
-                self.a["c"][all_of["local"]] = all_of["c"]
-            elif k > 0:
-                self.a[f"key{k}"], self.a[f"pair{k}"] = all_of["key"], all_of["total"]
-                lead = np.sort(all_of["key"][all_of["lead"]])
-            else:
-                self.a[f"ctx{-k}"], self.a[f"lam{-k}"] = all_of["key"], all_of["lam"]
-        return lead
+    """A unit's documents and what buckets answered: counts of its words (kind 0) and of its pairs (k), sums of kept states (-k)."""
+
+    def __init__(self, state: pa.Table, facts: pa.Table, corpus: Corpus, tree: Tree):
+        self.a, self.corpus, self.tree = unpacked(state.column("blob")[0].as_py()), corpus, tree
+        kind, bucket = facts.column("kind").to_numpy(), facts.column("bucket").to_numpy()
+        parts: dict[int, list] = {}
+        for i in np.lexsort((bucket, kind)).tolist():  # buckets are ranges of keys, so answers come in the order of keys
+            parts.setdefault(int(kind[i]), []).append(unpacked(facts.column("blob")[i].as_py()))
+        self.facts = {k: {c: np.concatenate([x[c] for x in p]) for c in p[0]} for k, p in parts.items()}
 
     def stream(self) -> None:
         """Every document's words and its end, one after the other."""
         self.h = WordHashes().of(self.a["letters"].tobytes())
+        self.c = np.zeros(len(self.h), np.int64)
+        if 0 in self.facts:
+            self.c[ordered(self.h)[0]] = self.facts[0]["c"]
         n = self.a["length"] + 1
         self.starts = np.cumsum(n) - n
         end = np.zeros(int(n.sum()), bool)
         end[self.starts + n - 1] = True
         self.symbol, self.count = np.full(len(end), END), np.full(len(end), self.corpus.docs, np.int64)
         if len(self.a["ids"]):
-            self.symbol[~end], self.count[~end] = self.h[self.a["ids"]], self.a["c"][self.a["ids"]]
+            self.symbol[~end], self.count[~end] = self.h[self.a["ids"]], self.c[self.a["ids"]]
         self.end, self.train = end, np.repeat(~self.a["held"], n)
         self.p = (self.count + 1) / (self.corpus.tokens + self.corpus.distinct + 1)
 
@@ -274,57 +284,64 @@ class Unit:
         """All places with a frequent context before them, by context length."""
         out = []
         with np.errstate(over="ignore"):
-            often = np.flatnonzero(self.a["c"] >= self.tree.least_context) if "c" in self.a else np.empty(0, np.int64)
-            group_of = np.full(len(self.h), -1)
+            often = np.flatnonzero(self.c >= self.tree.least_context)
+            often = often[ordered(mix64(self.h[often]))[0]]
+            group_of = np.full(len(self.h), -1, np.int32)
             group_of[often] = np.arange(len(often))
             before = np.flatnonzero(~self.end)
-            group = group_of[self.a["ids"]] if len(before) else np.empty(0, np.int64)
+            group = group_of[self.a["ids"]] if len(before) else np.empty(0, np.int32)
             before, group = before[group >= 0], group[group >= 0]
-            contexts, n = mix64(self.h[often]), self.a["c"][often] if len(often) else np.empty(0, np.int64)
+            contexts, n = mix64(self.h[often]), self.c[often]
             for k in range(1, depth + 1):
                 place = before + 1
                 key = mix64(contexts[group] * STEP + self.symbol[place])
-                if f"key{k}" in self.a:  # found once, then kept by place
-                    (self.a[f"total{k}"],) = Lookup(self.a.pop(f"key{k}"), self.a.pop(f"pair{k}"))(key)
-                total = self.a.get(f"total{k}", np.zeros(len(key), np.int64))
-                out.append(Level(place, group, contexts, n, key, total))
-                again = (total >= self.tree.least_context) & ~self.end[place]
-                before = place[again]
-                contexts, first, group = np.unique(key[again], return_index=True, return_inverse=True)
-                n = total[again][first]
+                level = Level(place, group, contexts, n, key, np.zeros(len(key), np.int64))
+                before, group, contexts, n = before[:0], group[:0], contexts[:0], n[:0]
+                if k in self.facts:
+                    at, (keys, number, spots) = self.counted(level, out[-1] if out else None)
+                    total = self.facts[k]["total"]
+                    level.total[at] = total[number]
+                    level = replace(level, spots=at[spots])
+                    more = (total >= self.tree.least_context) & ~self.end[place[level.spots]]
+                    again = more[number]
+                    before, group = place[at[again]], (np.cumsum(more, dtype=np.int32) - 1)[number[again]]
+                    contexts, n = keys[more], total[more]
+                out.append(level)
         return out
 
     def predict(self, k: int, level: Level) -> None:
         """The probabilities after contexts of length k have been heard, too."""
-        if f"ctx{k}" not in self.a:
+        if -k not in self.facts:
             return
-        lam = Lookup(self.a[f"ctx{k}"], self.a[f"lam{k}"])(level.contexts, np.nan)[0][level.group]
-        kept = ~np.isnan(lam)
-        at, total = level.place[kept], level.total[kept]
-        self.p[at] = np.where(total > 0, (total - self.tree.discount) / level.n[level.group[kept]], 0.0) + lam[kept] * self.p[at]
+        total, pairs = (self.facts[-k][c] for c in ("total", "pairs"))
+        lam = 1.0 - (total - self.tree.discount * pairs) / level.n
+        kept = (pairs > 0)[level.group]
+        at, total, group = level.place[kept], level.total[kept], level.group[kept]
+        self.p[at] = np.where(total > 0, (total - self.tree.discount) / level.n[group], 0.0) + lam[group] * self.p[at]
+
+    def counted(self, level: Level, shorter: Level | None) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """(places in the level, their pairs as ``numbered``) of the pairs that can be frequent enough to be stored: the word is, and so is its
+        pair with the next shorter context, as that occurs wherever the longer one does."""
+        can = self.count[level.place] >= self.tree.least_pair
+        if shorter is not None:
+            behind = np.full(len(self.count), self.tree.least_pair)
+            behind[shorter.place] = shorter.total
+            can &= behind[level.place] >= self.tree.least_pair
+        at = np.flatnonzero(can)
+        return at, numbered(level.key[at])
 
     def pairs(self, level: Level, shorter: Level | None) -> tuple[np.ndarray, np.ndarray]:
-        """(key, training occurrences) of the pairs that can be frequent enough to be stored: the word is, and so is its pair with the
-        next shorter context, as that occurs wherever the longer one does."""
-        can = self.count[level.place] >= self.tree.least_pair
-        if shorter is not None and len(shorter.place):
-            at = np.minimum(np.searchsorted(shorter.place, level.place), len(shorter.place) - 1)
-            can &= (shorter.total[at] >= self.tree.least_pair) | (shorter.place[at] != level.place)
-        order = np.argsort(key := level.key[can])
-        key, train = key[order], self.train[level.place[can]][order]
-        first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
-        return key[first], np.add.reduceat(train.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-
-    def statistics(self, level: Level, lead: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(context, its count, stored count, stored pairs, gain, expected share) by context, of the pairs in ``lead``."""
-        stored = np.flatnonzero(level.total > 0)
-        keys, at = np.unique(level.key[stored], return_index=True)
-        at = stored[at[np.isin(keys, lead, assume_unique=True)]]
+        """(key, training occurrences) of the pairs to be counted."""
+        at, (keys, number, _) = self.counted(level, shorter)
+        return keys, np.bincount(number[self.train[level.place[at]]], minlength=len(keys))
+
+    def statistics(self, k: int, level: Level) -> tuple[np.ndarray, ...]:
+        """(context, its count, stored count, stored pairs, gain, expected share) by context, of the pairs that this unit speaks for."""
+        at = level.spots[self.facts[k]["lead"]] if k in self.facts else np.empty(0, np.int64)
         t, q, g = level.total[at], self.p[level.place[at]], level.group[at]
         add = lambda w: np.bincount(g, weights=w, minlength=len(level.n)).astype(np.int64)  # noqa: E731  exact: whole numbers below 2**53
         sums = add(t), add(np.ones(len(t))), add(np.rint(MICRO * t * np.log(t / (level.n[g] * q)))), add(np.rint(PICO * q))
-        order = np.argsort(level.contexts)
-        return tuple(x[order] for x in (level.contexts, level.n, *sums))
+        return level.contexts, level.n, *sums
 
     def scores(self) -> dict[str, np.ndarray]:
         add = lambda x: np.add.reduceat(x, self.starts)  # noqa: E731  every document has an end
@@ -342,27 +359,25 @@ class Corpus:
 
 
 def heard(states: DataFrame, facts: DataFrame, corpus: Corpus, tree: Tree, k: int, buckets: int) -> DataFrame:
-    """One pass over the units, with new facts of every unit: rows of SENT.
+    """One pass over the units, with all answers so far: rows of SENT.
 
     kind k: pairs of contexts of length k, to be counted; kind -(k - 1): what this unit adds to the statistics of
-    contexts of length k - 1; kind 0: what the unit has learnt and keeps (from k = 2 on).
+    contexts of length k - 1.
     """
 
     def run(key, state: pa.Table, news: pa.Table) -> pa.Table:
         name = key[0].as_py()
-        unit = Unit(state, corpus, tree)
-        before = set(unit.a)
-        lead = unit.learn(news)
+        unit = Unit(state, news, corpus, tree)
         unit.stream()
         levels = unit.levels(min(k, tree.depth))
         for j in range(1, k - 1):
             unit.predict(j, levels[j - 1])
-        rows = [(name, 0, None, packed({c: x for c, x in unit.a.items() if c not in before}))] if k > 1 else []
+        rows = []
         if k <= tree.depth:
             keys, n = unit.pairs(levels[k - 1], levels[k - 2] if k > 1 else None)
             rows += dealt(name, k, buckets, keys, n=n)
         if k > 1:
-            contexts, n, total, pairs, gain, share = unit.statistics(levels[k - 2], lead)
+            contexts, n, total, pairs, gain, share = unit.statistics(k - 1, levels[k - 2])
             rows += dealt(name, 1 - k, buckets, contexts, n=n, total=total, pairs=pairs, gain=gain, share=share)
         pa.default_memory_pool().release_unused()
         return sent(rows)
@@ -371,40 +386,31 @@ def heard(states: DataFrame, facts: DataFrame, corpus: Corpus, tree: Tree, k: in
 
 
 def stored_pairs(table: pa.Table, kind: int, bucket: int, tree: Tree) -> pa.Table:
-    """The corpus counts of pairs that are frequent enough, for every unit that holds them; the first one speaks for a pair."""
-    units, of, x = gathered(table)
-    _, first, same = np.unique(x["key"], return_index=True, return_inverse=True)
-    total = np.bincount(same, weights=x["n"]).astype(np.int64)[same]
+    """For every unit the corpus counts of its pairs, 0 of those that are not frequent enough; one unit speaks for a pair."""
+    units, x = gathered(table)
+    keys, same, first = numbered(x["key"])
+    total = np.bincount(same, weights=x["n"], minlength=len(keys)).astype(np.int64)
+    total[total < tree.least_pair] = 0
     lead = np.zeros(len(same), bool)
-    lead[first] = True
-    often = total >= tree.least_pair
-    rows = []
-    for i, u in enumerate(units.tolist()):
-        mine = often & (of == i)
-        if mine.any():
-            rows.append((u, kind, bucket, packed({"step": steps(x["key"][mine]), "total": total[mine], "lead": lead[mine]})))
-    return sent(rows)
+    lead[first[total > 0]] = True
+    total = total[same]
+    return sent([(u, kind, bucket, packed({"total": total[start:end], "lead": lead[start:end]})) for u, start, end in units])
 
 
 def kept_states(table: pa.Table, kind: int, bucket: int, tree: Tree) -> pa.Table:
-    """The share that a kept context leaves to shorter ones, for every unit that holds it.
+    """For every unit the stored count and pairs of its contexts, 0 of those that are not kept.
 
     The divergence is that of the stored followers and all others together from what shorter contexts predict.
     """
-    units, of, x = gathered(table)
-    _, first, same = np.unique(x["key"], return_index=True, return_inverse=True)
+    units, x = gathered(table)
+    _, same, first = numbered(x["key"])
     n = x["n"][first]
     total, pairs, gain, share = (np.bincount(same, weights=x[c]) for c in ("total", "pairs", "gain", "share"))  # whole numbers below 2**53
     rest = n - total
     gain = gain / MICRO + np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / (n * np.maximum(1 - share / PICO, 1 / PICO))), 0.0)
-    kept = ((pairs > 0) & (gain > tree.penalty * pairs * np.log(n)))[same]
-    lam = (1.0 - (total - tree.discount * pairs) / n)[same]
-    rows = []
-    for i, u in enumerate(units.tolist()):
-        mine = kept & (of == i)
-        if mine.any():
-            rows.append((u, kind, bucket, packed({"step": steps(x["key"][mine]), "lam": lam[mine]})))
-    return sent(rows)
+    kept = (pairs > 0) & (gain > tree.penalty * pairs * np.log(n))
+    total, pairs = (np.where(kept, w, 0).astype(np.int64)[same] for w in (total, pairs))
+    return sent([(u, kind, bucket, packed({"total": total[start:end], "pairs": pairs[start:end]})) for u, start, end in units])
 
 
 def settled(found: DataFrame, tree: Tree) -> DataFrame:
@@ -414,7 +420,7 @@ def settled(found: DataFrame, tree: Tree) -> DataFrame:
         kind, bucket = key[0].as_py(), key[1].as_py()
         return (stored_pairs if kind > 0 else kept_states)(table, kind, bucket, tree)
 
-    return found.where("kind <> 0").groupBy("kind", "bucket").applyInArrow(run, SENT)
+    return found.groupBy("kind", "bucket").applyInArrow(run, SENT)
 
 
 def tree_scores(docs: DataFrame, held_out, tree: Tree = Tree()) -> DataFrame:
@@ -433,7 +439,7 @@ def tree_scores(docs: DataFrame, held_out, tree: Tree = Tree()) -> DataFrame:
     Scale: what is shuffled is a unit's distinct words and pairs, packed, so a hot word or passage costs one entry a unit (``unit_bytes`` of
     text, one document at least). Pairs are only counted behind frequent contexts and where the word and its
     pair with the next shorter context are frequent enough, which loses none that could be stored. Units and buckets are bounded in size, their numbers grow with the
-    corpus. What a pass adds is written to the shared folder; what no later pass needs is deleted there.
+    corpus. Units are written to the shared folder once; a pass adds its answers there, about a byte for each pair or context asked for.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -453,18 +459,12 @@ def tree_scores(docs: DataFrame, held_out, tree: Tree = Tree()) -> DataFrame:
     tree = tree.at(corpus.tokens)
 
     states, facts = coded.where("kind = 0").select("unit", "blob"), words.where("unit >= 0")
-    facts = words.where("unit >= 0").unionByName(shelf.put(settled(heard(states, facts, corpus, tree, 1, buckets), tree), "facts-1"))
-    shelf.drop()
-    for k in range(2, tree.depth + 2):
-        found = shelf.put(heard(states, facts, corpus, tree, k, buckets), f"found-{k}")
-        shelf.drop("words", f"facts-{k - 1}")
-        facts = shelf.put(settled(found, tree), f"facts-{k}")
-        shelf.drop(rows_of=f"found-{k}")
-        states = states.unionByName(found.where("kind = 0").select("unit", "blob"))
+    for k in range(1, tree.depth + 2):
+        facts = facts.unionByName(shelf.put(settled(heard(states, facts, corpus, tree, k, buckets), tree), f"facts-{k}"))
+        shelf.drop()
 
     def score(key, state: pa.Table, news: pa.Table) -> pa.Table:
-        unit = Unit(state, corpus, tree)
-        unit.learn(news)
+        unit = Unit(state, news, corpus, tree)
         unit.stream()
         for k, level in enumerate(unit.levels(tree.depth), 1):
             unit.predict(k, level)
