@@ -59,8 +59,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: in
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = write_shared(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = write_shared(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        moved = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = write_shared(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
     alone = ends.where("u = v").select("u").join(stars.select("u"), "u", "left_anti")
     roots = stars.select(F.col("v").alias("u")).union(alone).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
