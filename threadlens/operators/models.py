@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.common import md5_uniform
+from threadlens.session import write_shared
 
 
 def constant_baseline(test: DataFrame, key: Sequence[str], target: str, value: int, name: str) -> DataFrame:
@@ -116,7 +117,7 @@ def fit_bag_of_words(train: DataFrame, fields: Sequence[str], target: str, max_w
     for field in fields:
         words = rows.select(target, F.explode(F.regexp_extract_all(field, F.lit(BAG_WORD), F.lit(0))).alias("word")).withColumn("word", F.lower("word"))
         counts = words.groupBy("word").agg(*[c.alias(f"n{k}") for k, c in enumerate(n)])
-        top = counts.orderBy((F.col("n0") + F.col("n1")).desc(), "word").limit(max_words)
+        top = write_shared(counts.orderBy((F.col("n0") + F.col("n1")).desc(), "word").limit(max_words), "top-words")  # read for its sums and for its rows
         size = top.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count("*").alias("v")).first()  # three numbers
         share = [log(F.col(f"n{k}") + 1, F.lit((size[f"t{k}"] or 0) + size["v"])).alias(f"w{k}") for k in (0, 1)]
         out = out.unionByName(top.select(F.lit(field).alias("field"), "word", *share))

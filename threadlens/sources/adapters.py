@@ -99,6 +99,28 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tweet_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tweet_id, stereo, text and txt_father: the rows of ``tweets``, computed once and stored, with each text moved once.
+
+    Texts of parents that no tweet shows stay behind. Heads give no column here but repeat a tweet as often as their id
+    comes, so only ids that come more than once are joined.
+    """
+    from threadlens.llm.common import release
+    from threadlens.session import materialize_small, write_shared
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d, reply = F.col("doc_id"), F.col("doc_id") + 1
+    parent = docs.select(d.alias("p_id"), F.when((reply % 6 != 0) & (reply % 11 != 0) & (reply % 13 != 0), F.col("text")).alias("p_text"))
+    heads = docs.where(d % 6 == 0).groupBy(d.alias("h_id")).count().where("count > 1")
+    joined = docs.join(parent, d - 1 == F.col("p_id"), "left").join(materialize_small(heads), d - d % 6 == F.col("h_id"), "left")
+    father = F.when(d % 6 == 0, F.lit("")).when(d % 11 == 0, F.lit("[]")).when(d % 13 == 0, F.col("text")).otherwise(F.col("p_text"))
+    stereo = _tweet_labels(d)[0]
+    times = F.when(F.col("count").isNull(), F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.col("count").cast("int")))
+    pairs = write_shared(joined.select(d.alias("tweet_id"), stereo, "text", father.alias("txt_father"), F.explode(times).alias("_t")).drop("_t"), "tweet-pairs")
+    release(spark)
+    return pairs
+
+
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All prediction runs in one long table: item x model x context x seed.
 
